@@ -20,9 +20,13 @@ def numeric_or_zero(c: Column | str) -> Column:
 
 
 def timestamp_of(c: Column | str) -> Column:
-    """Epoch seconds when the value is a number, otherwise a parsed timestamp text."""
+    """Epoch seconds when the value is a number, otherwise a parsed timestamp text.
+
+    Seconds go through a decimal: a double would lose the last microsecond.
+    """
     text = col(c).cast("string")
-    return F.coalesce(F.timestamp_seconds(lenient_double(text)), text.try_cast("timestamp"))
+    seconds = F.timestamp_seconds(text.try_cast("decimal(20,6)"))
+    return F.coalesce(seconds, text.try_cast("timestamp"))
 
 
 def guarded_ratio(num: Column | str, den: Column | str) -> Column:

@@ -28,7 +28,7 @@ def packets_to_connections(packets: DataFrame) -> DataFrame:
     )
 
 
-def _as_connection(flows: DataFrame) -> DataFrame:
+def as_connection(flows: DataFrame) -> DataFrame:
     return flows.select(
         F.col("src_ip").alias("orig_h"),
         F.col("sport").alias("orig_p"),
@@ -63,7 +63,7 @@ def assemble_flows(packets: DataFrame, timeout: float | None = None) -> DataFram
     """
     ip = packets.filter(F.col("src_ip").isNotNull())
     if timeout is None:
-        return _as_connection(ip.groupBy(*FLOW_KEY).agg(*flow_aggregates()))
+        return as_connection(ip.groupBy(*FLOW_KEY).agg(*flow_aggregates()))
     gap = int(timeout * 1_000_000)
     slot = F.floor(micros("ts") / F.lit(gap)).alias("slot")
     pieces = ip.groupBy(*FLOW_KEY, slot).agg(*flow_aggregates())
@@ -78,7 +78,7 @@ def assemble_flows(packets: DataFrame, timeout: float | None = None) -> DataFram
         F.sum("orig_bytes").alias("orig_bytes"),
         F.sum("orig_pkts").alias("orig_pkts"),
     )
-    return _as_connection(flows)
+    return as_connection(flows)
 
 
 def flow_features(flows: DataFrame, wanted: list[str] = FEATURES) -> DataFrame:
@@ -95,7 +95,7 @@ def flow_features(flows: DataFrame, wanted: list[str] = FEATURES) -> DataFrame:
         F.col(c).cast("double").alias(c) if c in full.columns else F.lit(0.0).alias(c)
         for c in wanted
     ]
-    return full.select("orig_h", "orig_p", "resp_h", "resp_p", "proto", "ts_start", *cells)
+    return full.select("orig_h", "orig_p", "resp_h", "resp_p", "proto", "ts_start", "ts_end", *cells)
 
 
 def packet_stat_columns(exact_distinct: bool = True) -> list:

@@ -5,8 +5,11 @@ from flowmarrow.plans import (  # noqa: F401
     drift_queries,
     feature_queries,
     flow_queries,
+    io_queries,
     label_queries,
     metric_queries,
+    model_queries,
+    stream_queries,
 )
 from flowmarrow.plans.registry import QUERIES, SQL_CHECKS
 

@@ -58,7 +58,8 @@ def read_conn_log(
     )
     cells = [_typed(c).alias(renamed(c)) for c in columns]
     if with_folder:
-        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        # conn.log may be one file or a folder of part files
+        folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/conn\.log(/|$)", 1)
         cells.append(folder.alias("folder"))
     return raw.select(*cells)
 

@@ -42,7 +42,8 @@ def write_conn_log(df: DataFrame, path: str, columns: list[str] | None = None) -
     for c in wanted:
         value = F.col(renamed(c))
         if CONN_LOG_TYPES.get(c) == "time" and dict(df.dtypes)[c].startswith("timestamp"):
-            value = F.format_number(F.unix_micros(value.cast("timestamp")) / F.lit(1e6), "0.000000")
+            whole = F.unix_micros(value.cast("timestamp")).cast("decimal(20,0)")
+            value = (whole / 1_000_000).cast("decimal(20,6)")
         elif dict(df.dtypes)[renamed(c)].startswith("array"):
             value = F.array_join(value, ",")
         elif dict(df.dtypes)[renamed(c)] == "boolean":

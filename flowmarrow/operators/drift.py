@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmarrow.operators import metrics as mt
-from flowmarrow.operators.ordered import percentile_values, prefix_sums
+from flowmarrow.operators.ordered import percentile_values, prefix_sums, value_table
 
 EMPTY_SHARE = 0.0001
 
@@ -15,7 +15,8 @@ def ks_statistic(baseline: DataFrame, current: DataFrame, value: str) -> DataFra
     """Two-sample Kolmogorov-Smirnov distance with both sample sizes, as one row."""
     one = lambda df, a, b: df.select(F.col(value).alias("v"), F.lit(a).alias("nb"), F.lit(b).alias("nc"))
     both = one(baseline, 1, 0).unionByName(one(current, 0, 1))
-    sums = prefix_sums(both, "v", ["nb", "nc"])
+    table = value_table(both, "v", {c: F.col(c) for c in ("nb", "nc")})
+    sums = prefix_sums(table, "v", ["nb", "nc"])
     gap = F.abs(
         F.try_divide(F.col("cum_nb").cast("double"), "all_nb")
         - F.try_divide(F.col("cum_nc").cast("double"), "all_nc")
@@ -202,7 +203,8 @@ def ks_by_window(
     both = baseline.select(F.col(value).alias("v"), F.lit(1).alias("b"), *zeros).unionByName(
         current.select(F.col(value).alias("v"), F.lit(0).alias("b"), *ones)
     )
-    sums = prefix_sums(both, "v", ["b", *[f"w{i}" for i in range(len(names))]])
+    counts = ["b", *[f"w{i}" for i in range(len(names))]]
+    sums = prefix_sums(value_table(both, "v", {c: F.col(c) for c in counts}), "v", counts)
     share = lambda c: F.try_divide(F.col(f"cum_{c}").cast("double"), f"all_{c}")
     wide = sums.agg(
         *[F.max(F.abs(share("b") - share(f"w{i}"))).alias(f"d{i}") for i in range(len(names))]

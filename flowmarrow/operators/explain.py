@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowmarrow.functions.columns import severity
 from flowmarrow.operators.metrics import trailing_count
+from flowmarrow.operators.ordered import with_group_stats
 
 # What a deviating feature means. The texts are those an operator console shows.
 ACTIONS = {
@@ -235,12 +236,13 @@ def filter_alerts(
 ) -> DataFrame:
     """Alerts of enough priority; where the trailing hour is full only the top ``keep`` remain.
 
-    The trailing counts are one row per distinct time. They meet the alerts in an equi-join on
-    time; rows of one instant are spread by the join as any other key.
+    The trailing counts are one row per distinct time and join back as group statistics, so an
+    instant with very many alerts is split.
     """
     enough = df.filter(F.col("priority_score") >= min_priority)
     counts = trailing_count(enough.select(ts), ts).withColumnRenamed("ts", "_at")
-    joined = enough.join(counts, enough[ts].cast("timestamp") == counts["_at"], "left").drop("_at")
+    timed = enough.withColumn("_at", F.col(ts).cast("timestamp"))
+    joined = with_group_stats(timed, counts, ["_at"], "n", [row_id]).drop("_at", "n")
     calm = joined.filter(F.col("recent") < max_per_hour)
     busy = joined.filter(F.col("recent") >= max_per_hour)
     return calm.unionByName(busy.orderBy(F.desc("priority_score"), row_id).limit(keep))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmarrow.functions.columns import is_truthy_label, micros
-from flowmarrow.operators.ordered import with_ordinal
+from flowmarrow.operators import ordered
+from flowmarrow.operators.ordered import salted_pair, with_ordinal
 from flowmarrow.schemas import CONN_COLUMNS, renamed
 
 # Capture folder to (label, attack type).
@@ -202,7 +203,7 @@ def label_by_intervals(
 
     A log of at most ``max_resolved`` rows is resolved into disjoint intervals first: each row
     then meets at most one, in a broadcast join without any shuffle of the rows. A larger log
-    is joined on time slots and reduced to the winner per row.
+    is joined on time slots, busy slots salted, and reduced to the winner per row.
     """
     intervals = _prepared(attacks)
     n, width = _slot_width(intervals)
@@ -215,16 +216,19 @@ def label_by_intervals(
         best = F.greatest(*found) if len(found) > 1 else found[0]
         labelled = timed.withColumn("_w", best)
     else:
-        narrow = timed.select(row_id, "_t", *(["orig_h", "resp_h"] if match_hosts else []))
+        hosts = ["orig_h", "resp_h"] if match_hosts else []
+        slotted = timed.select(row_id, "_t", *hosts, F.floor(F.col("_t") / width).alias("slot"))
+        busy = slotted.groupBy("slot").agg(F.count("*").alias("_n")).filter("slot IS NOT NULL")
         hits = None
         for log, keys in lookups:
             pieces = _pieces(log, width, list(keys.values()))
-            cond = (F.floor(F.col("_t") / width) == F.col("slot")) & F.col("_t").between(
-                F.col("s"), F.col("e")
-            )
+            left, right = salted_pair(slotted, pieces, busy, ["slot"], "_n", [row_id])
             for mine, theirs in keys.items():
-                cond = cond & (F.col(mine) == F.col(theirs))
-            part = narrow.join(pieces, cond).select(row_id, F.struct("idx", "attack_type").alias("w"))
+                right = right.withColumnRenamed(theirs, mine)
+            joined = left.join(right, ["slot", "_salt", *keys])
+            part = joined.filter(F.col("_t").between(F.col("s"), F.col("e"))).select(
+                row_id, F.struct("idx", "attack_type").alias("w")
+            )
             hits = part if hits is None else hits.unionByName(part)
         winners = hits.groupBy(row_id).agg(F.max("w").alias("_w"))
         labelled = timed.join(winners, row_id, "left")
@@ -252,7 +256,7 @@ def only_anomalies(df: DataFrame) -> DataFrame:
 
 def first_rows(df: DataFrame, order: str, n: int = 20_000) -> DataFrame:
     """The first ``n`` rows in ``order``, a training cap of the detectors."""
-    return df.orderBy(order).limit(n)
+    return ordered.first_rows(df, [order], n)
 
 
 def feature_label_join(features: DataFrame, labels: DataFrame, key: str = "conn_id") -> DataFrame:

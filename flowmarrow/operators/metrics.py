@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmarrow.functions.columns import flag, safe_div
-from flowmarrow.operators.ordered import percentiles, prefix_sums
+from flowmarrow.operators.ordered import first_rows, percentiles, prefix_sums, value_table
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -45,14 +45,19 @@ def binary_metrics(
     return with_rates(df.groupBy(*(by or [])).agg(*confusion_columns(y, pred)))
 
 
+def score_table(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+    """Distinct scores with their positive and negative rows: all that the curves and searches need."""
+    rows = df.select(F.col(score).cast("double").alias("threshold"), F.col(y).cast("long").alias("y"))
+    return value_table(rows, "threshold", {"pos": F.col("y"), "neg": 1 - F.col("y")})
+
+
 def score_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """One row per distinct score: tp / fp at ``>= score``, the tp / fp above it, and totals."""
-    rows = df.select(
-        F.col(score).cast("double").alias("threshold"),
-        F.col(y).cast("long").alias("pos"),
-        (1 - F.col(y)).cast("long").alias("neg"),
-    )
-    sums = prefix_sums(rows, "threshold", ["pos", "neg"])
+    return curve_of(score_table(df, y, score))
+
+
+def curve_of(table: DataFrame) -> DataFrame:
+    sums = prefix_sums(table, "threshold", ["pos", "neg"])
     return sums.select(
         "threshold",
         (F.col("all_pos") - F.col("cum_pos") + F.col("pos")).alias("tp"),
@@ -297,7 +302,7 @@ def top_scores(df: DataFrame, score: str = "score", row_id: str = "conn_id", n:
 
 def last_rows(df: DataFrame, order: list[str], n: int | None = 1000) -> DataFrame:
     """The newest ``n`` rows (all when n is None)."""
-    return df if n is None else df.orderBy(*[F.desc(c) for c in order]).limit(n)
+    return df if n is None else first_rows(df, order, n, newest=True)
 
 
 def trailing_count(df: DataFrame, ts: str, seconds: int = 3600) -> DataFrame:
@@ -307,20 +312,15 @@ def trailing_count(df: DataFrame, ts: str, seconds: int = 3600) -> DataFrame:
     into one hour is spread over the time ranges.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    counts = df.filter(F.col(ts).isNotNull()).groupBy(at.alias("t")).agg(F.count("*").alias("n"))
     span = seconds * 1_000_000
     # one point for the rows themselves and one that reads the running count before the window
-    points = counts.select(
-        F.explode(
-            F.array(
-                F.struct((F.col("t") * 2 + 1).alias("k"), F.col("n").alias("n"), F.lit(0).alias("probe")),
-                F.struct(((F.col("t") - span) * 2).alias("k"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("probe")),
-            )
-        ).alias("p")
-    ).select("p.k", "p.n", "p.probe")
-    running = prefix_sums(points, "k", ["n", "probe"])
+    own = F.struct((at * 2 + 1).alias("k"), F.lit(1).alias("n"), F.lit(0).alias("probe"))
+    before = F.struct(((at - span) * 2).alias("k"), F.lit(0).alias("n"), F.lit(1).alias("probe"))
+    points = df.filter(F.col(ts).isNotNull()).select(F.inline(F.array(own, before)))
+    running = prefix_sums(value_table(points, "k", {"n": F.col("n")}), "k", ["n"])
     odd = F.pmod("k", F.lit(2)) == 1
     time = F.when(odd, (F.col("k") - 1) / 2).otherwise(F.col("k") / 2 + span).cast("long")
     signed = F.when(odd, F.col("cum_n")).otherwise(-F.col("cum_n"))
-    both = running.groupBy(time.alias("t")).agg(F.sum(signed).alias("recent"))
-    return both.select(F.timestamp_micros("t").alias("ts"), "recent")
+    both = running.groupBy(time.alias("t")).agg(F.sum(signed).alias("recent"), F.sum("n").alias("n"))
+    # a probe of one time may coincide with the point of another; n > 0 keeps the real times
+    return both.filter("n > 0").select(F.timestamp_micros("t").alias("ts"), "recent", "n")

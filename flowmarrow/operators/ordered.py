@@ -17,6 +17,7 @@ MAX_RANGES = 1024
 HOT_SHARE = 1000
 BROADCAST_ROWS = 100_000
 BROADCAST_WIDTH = 1_000
+NARROW_ABOVE = 1_000
 
 
 def range_bounds(df: DataFrame, key: str, ranges: int | None = None) -> list[float]:
@@ -41,20 +42,21 @@ def with_range(df: DataFrame, key: str, bounds: list[float], name: str = "_range
     return Bucketizer(splits=splits, inputCol=key, outputCol=name).transform(df)
 
 
-def prefix_sums(
-    df: DataFrame, key: str, values: list[str], bounds: list[float] | None = None
-) -> DataFrame:
-    """One row per distinct ``key`` with ``v``, running ``cum_v`` and overall ``all_v``.
+def value_table(df: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """One row per distinct ``key`` with the given sums, written to the checkpoint folder.
 
-    Ties are added up first (with map-side combine), so a value that holds a third of the
-    rows is a single row afterwards.
+    The input is read once, with map-side combine; everything that follows (range bounds, range
+    totals, running sums, several searches) reads this narrow table. A value that holds a third
+    of the rows is a single row in it.
     """
-    if bounds is None:
-        bounds = range_bounds(df, key)
-    summed = (
-        df.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.sum(v).alias(v) for v in values])
-    )
-    grouped = with_range(summed, key, bounds)
+    shared_dir(df.sparkSession)
+    present = df.filter(F.col(key).isNotNull())
+    return present.groupBy(key).agg(*[F.sum(c).alias(n) for n, c in sums.items()]).checkpoint()
+
+
+def prefix_sums(table: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """Running ``cum_v`` and overall ``all_v`` over a table of distinct keys (``value_table``)."""
+    grouped = with_range(table, key, range_bounds(table, key))
     per_range = grouped.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     # at most MAX_RANGES rows from here on, so an unpartitioned window is bounded
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,10 +76,17 @@ def prefix_sums(
     )
 
 
-def ranked_values(df: DataFrame, value: str, bounds: list[float] | None = None) -> DataFrame:
-    """Distinct values with the half-open interval [first, last) of their sorted positions."""
-    rows = df.select(F.col(value).cast("double").alias("value"), F.lit(1).alias("n"))
-    sums = prefix_sums(rows, "value", ["n"], bounds)
+def ranked_values(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
+    """Distinct values with the half-open interval [first, last) of their sorted positions.
+
+    With ``weight`` the input is a table of distinct values already, with that many rows each.
+    """
+    number = F.col(value).cast("double").alias("value")
+    if weight is None:
+        table = value_table(df.select(number), "value", {"n": F.lit(1)})
+    else:
+        table = df.select(number, F.col(weight).cast("long").alias("n")).filter("value IS NOT NULL")
+    sums = prefix_sums(table, "value", ["n"])
     return sums.select(
         "value", (F.col("cum_n") - F.col("n")).alias("first"), F.col("cum_n").alias("last"),
         F.col("all_n").alias("total"),
@@ -101,14 +110,14 @@ def _candidate_shares(shares: list[float]) -> Column:
 
 
 def percentiles(
-    df: DataFrame, value: str, shares: list[float], bounds: list[float] | None = None
+    df: DataFrame, value: str, shares: list[float], weight: str | None = None
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, as rows ``(share, value)``.
 
     ``shares`` run from 0 to 1. Each share needs the values at two sorted positions; a value
     keeps the shares whose positions fall into its interval, so nothing is held per group.
     """
-    ranked = ranked_values(df, value, bounds)
+    ranked = ranked_values(df, value, weight)
     wanted = _candidate_shares([float(s) for s in shares])
     low = lambda s: F.floor(s * (F.col("total") - 1))
     high = lambda s: F.ceil(s * (F.col("total") - 1))
@@ -135,20 +144,47 @@ def percentiles(
 
 
 def percentile_values(
-    df: DataFrame, value: str, shares: list[float], bounds: list[float] | None = None
+    df: DataFrame, value: str, shares: list[float], weight: str | None = None
 ) -> list[float]:
     """The same percentiles as a short list on the driver (one number per share)."""
-    found = {r["share"]: r["value"] for r in percentiles(df, value, shares, bounds).collect()}
+    found = {r["share"]: r["value"] for r in percentiles(df, value, shares, weight).collect()}
     return [found[float(s)] for s in shares] if found else []
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, width: int = BROADCAST_WIDTH) -> bool:
     """Whether a table (materialised, so cheap to read) is proven small enough to broadcast."""
     text = F.length(F.to_json(F.struct(*df.columns)))
-    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.max(text).alias("w")).first()
+    seen = df.agg(F.count("*").alias("n"), F.max(text).alias("w")).first()
     return seen["n"] <= rows and (seen["w"] or 0) <= width
 
 
+def salted_pair(
+    df: DataFrame, other: DataFrame, counts: DataFrame, keys: list[str], weight: str, row_id: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Both join sides with a ``_salt`` column that splits the hot keys of ``df``.
+
+    ``counts`` has the rows of ``df`` per key in ``weight``. A key above 1/HOT_SHARE of all rows is
+    split in proportion. At most HOT_SHARE keys can be that large, which bounds the broadcast list
+    and the copies on the other side. Rows with a null key match nothing and are spread by id.
+    """
+    total = counts.agg(F.sum(weight).alias("total")).scalar()
+    splits = F.ceil(F.col(weight) * HOT_SHARE / total).cast("int")
+    hot = counts.filter(F.col(weight) * HOT_SHARE >= total).select(*keys, splits.alias("_splits"))
+    spread = F.xxhash64(*row_id)
+    any_null = F.lit(False)
+    for k in keys:
+        any_null = any_null | F.col(k).isNull()
+    salt = (
+        F.when(any_null, F.pmod(spread, F.lit(HOT_SHARE)))
+        .when(F.col("_splits").isNotNull(), F.pmod(spread, F.col("_splits")))
+        .otherwise(F.lit(0))
+    )
+    left = df.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt.cast("int")).drop("_splits")
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)
+    right = other.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies))
+    return left, right.drop("_splits")
+
+
 def with_group_stats(
     df: DataFrame,
     stats: DataFrame,
@@ -160,33 +196,39 @@ def with_group_stats(
     """Left-join per-group statistics back to the rows, safe for hot and null keys.
 
     The statistics are checkpointed, so the rows are aggregated once. A checked-small table is
-    broadcast and the rows do not move. Otherwise ``weight``, the row count of a group, decides
-    on salt: a group above 1/HOT_SHARE of all rows is split. At most HOT_SHARE groups can be
-    that large, which bounds the broadcast and the copies. Rows with a null key match nothing
-    and are spread out by their id.
+    broadcast and the rows do not move. Otherwise hot groups are salted by ``weight``, the row
+    count of a group.
     """
     shared_dir(df.sparkSession)
     stats = stats.checkpoint()
     if small_enough(stats, broadcast_rows):
         return df.join(F.broadcast(stats), keys, "left")
-    total = stats.agg(F.sum(weight).alias("total")).scalar()
-    is_hot = F.col(weight) * HOT_SHARE >= total
-    splits = F.ceil(F.col(weight) * HOT_SHARE / total).cast("int")
-    hot = stats.filter(is_hot).select(*keys, splits.alias("_splits"))
-    spread = F.xxhash64(*row_id)
-    any_null = F.lit(False)
-    for k in keys:
-        any_null = any_null | F.col(k).isNull()
-    salted = df.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.when(any_null, F.pmod(spread, F.lit(HOT_SHARE)))
-        .when(F.col("_splits").isNotNull(), F.pmod(spread, F.col("_splits")))
-        .otherwise(F.lit(0))
-        .cast("int"),
-    )
-    copies = F.when(is_hot, splits).otherwise(F.lit(1))
-    spread_stats = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
-    return salted.drop("_splits").join(spread_stats, [*keys, "_salt"], "left").drop("_salt")
+    left, right = salted_pair(df, stats, stats.select(*keys, weight), keys, weight, row_id)
+    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+
+
+def first_rows(df: DataFrame, order: list[str], n: int, newest: bool = False) -> DataFrame:
+    """The first ``n`` rows by ``order`` (the last ones with ``newest``).
+
+    A plain top-n ships n rows of every task to one place. While far more rows than that remain,
+    the range of the first order column is narrowed by an approximate percentile.
+    """
+    lead = F.col(order[0])
+    if dict(df.dtypes)[order[0]].startswith("timestamp"):
+        lead = F.unix_micros(lead.cast("timestamp"))
+    rows, total = df, df.count()
+    while total > NARROW_ABOVE * n:
+        share = max(4.0 * n / total, 0.001)
+        pick = 1.0 - share if newest else share
+        bound = rows.agg(F.percentile_approx(lead, pick, 10000).alias("b")).first()["b"]
+        if bound is None:
+            break
+        narrow = rows.filter(lead >= bound if newest else lead <= bound)
+        left = narrow.count()
+        if left < n or left > total // 2:
+            break
+        rows, total = narrow, left
+    return rows.orderBy(*[F.desc(c) if newest else F.asc(c) for c in order]).limit(n)
 
 
 def with_ordinal(df: DataFrame, order: list[str | Column], name: str = "ordinal") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -33,13 +34,22 @@ def at_thresholds(
     and task); running sums over the ranges then give every threshold. ``score > t`` is the
     same as ``score >= `` the next double after ``t``.
     """
-    spark = df.sparkSession
+    rows = df.filter(F.col(score).isNotNull()).select(
+        F.col(score).cast("double").alias("threshold"),
+        F.col(y).cast("long").alias("pos"),
+        (1 - F.col(y)).cast("long").alias("neg"),
+    )
+    return table_rates(rows, thresholds, strict)
+
+
+def table_rates(rows: DataFrame, thresholds: list[float], strict: bool = False) -> DataFrame:
+    """The same on rows ``(threshold, pos, neg)``, such as a score table."""
+    spark = rows.sparkSession
     distinct = sorted(set(float(t) for t in thresholds))
     bounds = [math.nextafter(t, math.inf) if strict else t for t in distinct]
-    scored = df.filter(F.col(score).isNotNull())
-    ranged = with_range(scored.withColumn(score, F.col(score).cast("double")), score, bounds)
+    ranged = with_range(rows, "threshold", bounds)
     counts = ranged.groupBy(F.col("_range").cast("int").alias("i")).agg(
-        F.sum(F.col(y).cast("long")).alias("pos"), F.sum((1 - F.col(y)).cast("long")).alias("neg")
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
     slots = [(i, t) for i, t in enumerate([None, *distinct])]
     grid = spark.createDataFrame(slots, "i int, threshold double")
@@ -65,11 +75,18 @@ def percentile_sweep(
     df: DataFrame, grid: list[float] = WIDE_GRID, y: str = "y", score: str = "score"
 ) -> DataFrame:
     """Metrics of ``score >= percentile`` for each percentile of the grid."""
-    values = percentile_values(df, score, [p / 100 for p in grid])
-    rates = at_thresholds(df, values, y, score)
-    spark = df.sparkSession
-    names = spark.createDataFrame([(float(p), v) for p, v in zip(grid, values)], "percentile double, threshold double")
-    return F.broadcast(names).join(rates, "threshold")
+    table = mt.score_table(df, y, score)
+    values = table_percentiles(table, [p / 100 for p in grid])
+    names = df.sparkSession.createDataFrame(
+        [(float(p), v) for p, v in zip(grid, values)], "percentile double, threshold double"
+    )
+    return F.broadcast(names).join(table_rates(table, values), "threshold")
+
+
+def table_percentiles(table: DataFrame, shares: list[float]) -> list[float]:
+    """Percentiles of the scores behind a score table (at most one number per share)."""
+    weighted = table.select("threshold", (F.col("pos") + F.col("neg")).alias("n"))
+    return percentile_values(weighted, "threshold", shares, weight="n")
 
 
 def step_sweep(
@@ -93,9 +110,10 @@ def youden(curve: DataFrame) -> DataFrame:
     return _first(roc, F.desc("j_score"), F.desc("threshold"))
 
 
-def score_grid(df: DataFrame, score: str = "score", low: float = 0.0, high: float = 100.0, points: int = 1000) -> list[float]:
-    """Percentile values on an even grid (at most ``points`` numbers on the driver)."""
-    return percentile_values(df, score, list(np.linspace(low / 100, high / 100, points)))
+def grid_rates(table: DataFrame, low: float = 0.0, high: float = 100.0, points: int = 1000) -> DataFrame:
+    """Rates of ``score > t`` at an even grid of percentiles of a score table."""
+    values = table_percentiles(table, list(np.linspace(low / 100, high / 100, points)))
+    return table_rates(table, values, strict=True)
 
 
 def f_beta(rates: DataFrame, beta: float = 1.0) -> DataFrame:
@@ -142,16 +160,18 @@ def _pr_f1(curve: DataFrame) -> DataFrame:
     return mt.pr_of(curve).withColumn("f1", 2 * (p * r) / (p + r + 1e-10))
 
 
-def percentile_rule(df: DataFrame, share: float = 99.0, y: str = "y", score: str = "score") -> DataFrame:
-    """Metrics of ``score > percentile``."""
-    value = percentile_values(df, score, [share / 100])
-    return at_thresholds(df, value, y, score, strict=True)
+def percentile_rule(table: DataFrame, share: float = 99.0) -> DataFrame:
+    """Metrics of ``score > percentile`` on a score table."""
+    return table_rates(table, table_percentiles(table, [share / 100]), strict=True)
 
 
 def compare_methods(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
-    """Seven methods in one layout: method, threshold, precision, recall, objective."""
-    curve = mt.score_curve(df, y, score)
-    rates = at_thresholds(df, score_grid(df, score), y, score, strict=True)
+    """Seven methods in one layout: method, threshold, precision, recall, objective.
+
+    The scored rows are read once; all methods work on the table of distinct scores.
+    """
+    table = mt.score_table(df, y, score)
+    curve, rates = mt.curve_of(table), grid_rates(table)
     null = F.lit(None).cast("double")
 
     def row(method: str, rows: DataFrame, objective: str) -> DataFrame:
@@ -168,15 +188,11 @@ def compare_methods(df: DataFrame, y: str = "y", score: str = "score") -> DataFr
         row("Cost-sensitive", cost_sensitive(rates), "total_cost"),
         row("Precision-0.9", precision_target(curve, 0.90), "recall"),
         row("Recall-0.9", recall_target(curve, 0.90), "precision"),
-        row("Percentile-99", percentile_rule(df, 99.0, y, score), "f1"),
+        row("Percentile-99", percentile_rule(table, 99.0), "f1"),
     ]
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
-    return table
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def f1_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """F1 of strict thresholds at 100 even percentiles from 80 to 99.9."""
-    values = score_grid(df, score, 80.0, 99.9, 100)
-    return at_thresholds(df, values, y, score, strict=True).select("threshold", "f1")
+    return grid_rates(mt.score_table(df, y, score), 80.0, 99.9, 100).select("threshold", "f1")

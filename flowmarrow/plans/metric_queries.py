@@ -422,8 +422,7 @@ def _curve(spark, sf_dir):
 
 
 def _grid_rates(spark, sf_dir):
-    rows = scored_lines(spark, sf_dir)
-    return th.at_thresholds(rows, th.score_grid(rows), strict=True)
+    return th.grid_rates(mt.score_table(scored_lines(spark, sf_dir)))
 
 
 YOUDEN = """SELECT round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr,

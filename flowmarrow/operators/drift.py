@@ -97,11 +97,19 @@ def bin_of(value: str, edges: list[float]) -> Column:
     return F.when(v.between(edges[0], edges[-1]), F.least(passed, F.lit(last)))
 
 
-def _shares(value: str, edges: list[float]) -> Column:
-    """Array aggregate: share of all rows per bin, 0 replaced by a small constant."""
-    which, n = bin_of(value, edges), F.count(value)
-    share = lambda i: safe_share(F.count_if(which == i), n)
-    return F.array(*[share(i) for i in range(len(edges) - 1)])
+def _shares(df: DataFrame, value: str, edges: list[float], by: list[str], name: str) -> DataFrame:
+    """Per group an array with the share of all its rows per bin, 0 replaced by a small constant.
+
+    The rows are counted per bin first, so the bin is worked out once per row.
+    """
+    counts = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*by, bin_of(value, edges).alias("bin"))
+        .agg(F.count("*").alias("k"))
+    )
+    n = F.sum("k")
+    share = lambda i: safe_share(F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("k"))), F.lit(0)), n)
+    return counts.groupBy(*by).agg(F.array(*[share(i) for i in range(len(edges) - 1)]).alias(name))
 
 
 def safe_share(k: Column, n: Column) -> Column:
@@ -127,8 +135,8 @@ def psi_drift(
     Values outside the baseline range fall into no bin but stay in the denominator.
     """
     edges = edges or quantile_edges(baseline, value, bins)
-    base = baseline.agg(_shares(value, edges).alias("b")).scalar()
-    shares = current.groupBy(*(by or [])).agg(_shares(value, edges).alias("c"))
+    base = _shares(baseline, value, edges, [], "b").scalar()
+    shares = _shares(current, value, edges, by or [], "c")
     paired = shares.withColumn("b", base)
     rows = paired.select(*(by or []), psi_of(F.col("c"), F.col("b")).alias("psi_value"))
     severity = (

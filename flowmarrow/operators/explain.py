@@ -91,20 +91,26 @@ def _action_info(name: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), name), info(UNKNOWN_FEATURE, [], []))
 
 
+def _fixed(df: DataFrame, **cells: Column) -> DataFrame:
+    """Add columns behind a generator of one row.
+
+    The optimizer neither copies their expressions into later ones nor moves a filter on them
+    below, where it would work the nested expressions out many times per row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cells.items()]))))
+
+
 def with_errors(df: DataFrame, original: str, expected: str) -> DataFrame:
     """Absolute errors per feature, their mean, and contributions in percent of the mean."""
     errors = F.zip_with(original, expected, lambda a, b: F.abs(a - b))
     mean = F.aggregate("errors", F.lit(0.0), lambda s, e: s + e) / F.size("errors")
     share = lambda e: F.coalesce(F.try_divide(e, F.col("anomaly_score")), F.lit(0.0)) * 100
-    return (
-        df.withColumn("errors", errors)
-        .withColumn("anomaly_score", mean)
-        .withColumn("contributions", F.transform("errors", share))
-    )
+    rows = _fixed(_fixed(df, errors=errors), anomaly_score=mean)
+    return rows.withColumn("contributions", F.transform("errors", share))
 
 
 def with_severity(df: DataFrame, threshold: float) -> DataFrame:
-    return df.withColumn("severity", severity(F.col("anomaly_score") / F.lit(float(threshold))))
+    return _fixed(df, severity=severity(F.col("anomaly_score") / F.lit(float(threshold))))
 
 
 def with_priority(df: DataFrame, threshold: float) -> DataFrame:
@@ -114,12 +120,13 @@ def with_priority(df: DataFrame, threshold: float) -> DataFrame:
     square = F.aggregate(
         "errors", F.lit(0.0), lambda s, e: s + (e - F.col("anomaly_score")) * (e - F.col("anomaly_score"))
     )
-    far = F.col("anomaly_score") + F.sqrt(square / n)
-    spread = F.size(F.filter("errors", lambda e: e > far)) / n.cast("double") * 30
+    rows = _fixed(df, _far=F.col("anomaly_score") + F.sqrt(square / n))
+    spread = F.size(F.filter("errors", lambda e: e > F.col("_far"))) / n.cast("double") * 30
     bonus = F.lit(0)
     for level, points in BONUS.items():
         bonus = F.when(F.col("severity") == level, points).otherwise(bonus)
-    return df.withColumn("priority_score", F.least(F.floor(size + spread + bonus), F.lit(100)).cast("int"))
+    total = F.least(F.floor(size + spread + bonus), F.lit(100)).cast("int")
+    return _fixed(rows, priority_score=total).drop("_far")
 
 
 def with_top_features(
@@ -139,7 +146,7 @@ def with_top_features(
         at("errors", x["i"]).alias("deviation"),
         _action_info(F.get(order, x["i"])).alias("action_info"),
     )
-    return df.withColumn("anomalous_features", F.transform(best, detail))
+    return _fixed(df, anomalous_features=F.transform(best, detail))
 
 
 def with_guidance(df: DataFrame) -> DataFrame:
@@ -176,8 +183,7 @@ def with_guidance(df: DataFrame) -> DataFrame:
     last = step(F.least(F.size(top), F.lit(2)) + 4, F.lit(LAST_STEP[0]), F.lit(LAST_STEP[1]))
     threats = F.array_distinct(F.flatten(F.transform(top, lambda f: f["action_info"]["indicators"])))
     return (
-        df.withColumn("_listed", listed)
-        .withColumn("_texts", texts)
+        _fixed(_fixed(df, _listed=listed), _texts=texts)
         .withColumns(
             {
                 "recommended_actions": first,

@@ -7,17 +7,21 @@ with salt on the keys that hold more than a thousandth of the rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowmarrow.session import shared_dir
+from flowmarrow.session import frozen
 
 MAX_RANGES = 1024
 HOT_SHARE = 1000
 BROADCAST_ROWS = 100_000
 BROADCAST_WIDTH = 1_000
 NARROW_ABOVE = 1_000
+ONE_RANGE = 100_000
+ONE_AGGREGATE = 1_000_000
 
 
 def range_bounds(df: DataFrame, key: str, ranges: int | None = None) -> list[float]:
@@ -43,20 +47,23 @@ def with_range(df: DataFrame, key: str, bounds: list[float], name: str = "_range
 
 
 def value_table(df: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
-    """One row per distinct ``key`` with the given sums, written to the checkpoint folder.
+    """One row per distinct ``key`` with the given sums, frozen in the shared folder.
 
     The input is read once, with map-side combine; everything that follows (range bounds, range
     totals, running sums, several searches) reads this narrow table. A value that holds a third
     of the rows is a single row in it.
     """
-    shared_dir(df.sparkSession)
     present = df.filter(F.col(key).isNotNull())
-    return present.groupBy(key).agg(*[F.sum(c).alias(n) for n, c in sums.items()]).checkpoint()
+    return frozen(present.groupBy(key).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), "values")
 
 
 def prefix_sums(table: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """Running ``cum_v`` and overall ``all_v`` over a table of distinct keys (``value_table``)."""
-    grouped = with_range(table, key, range_bounds(table, key))
+    """Running ``cum_v`` and overall ``all_v`` over a table of distinct keys (``value_table``).
+
+    A table of few rows is one range, any other is cut into ranges of about equal size.
+    """
+    bounds = [] if table.count() <= ONE_RANGE else range_bounds(table, key)
+    grouped = with_range(table, key, bounds)
     per_range = grouped.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     # at most MAX_RANGES rows from here on, so an unpartitioned window is bounded
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,16 +83,16 @@ def prefix_sums(table: DataFrame, key: str, values: list[str]) -> DataFrame:
     )
 
 
-def ranked_values(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
-    """Distinct values with the half-open interval [first, last) of their sorted positions.
-
-    With ``weight`` the input is a table of distinct values already, with that many rows each.
-    """
+def _value_counts(df: DataFrame, value: str, weight: str | None) -> DataFrame:
+    """Distinct values with their row counts; a weighted input is such a table already."""
     number = F.col(value).cast("double").alias("value")
     if weight is None:
-        table = value_table(df.select(number), "value", {"n": F.lit(1)})
-    else:
-        table = df.select(number, F.col(weight).cast("long").alias("n")).filter("value IS NOT NULL")
+        return value_table(df.select(number), "value", {"n": F.lit(1)})
+    return df.select(number, F.col(weight).cast("long").alias("n")).filter("value IS NOT NULL")
+
+
+def ranked_values(table: DataFrame) -> DataFrame:
+    """Distinct values with the half-open interval [first, last) of their sorted positions."""
     sums = prefix_sums(table, "value", ["n"])
     return sums.select(
         "value", (F.col("cum_n") - F.col("n")).alias("first"), F.col("cum_n").alias("last"),
@@ -114,14 +121,24 @@ def percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, as rows ``(share, value)``.
 
-    ``shares`` run from 0 to 1. Each share needs the values at two sorted positions; a value
-    keeps the shares whose positions fall into its interval, so nothing is held per group.
+    ``shares`` run from 0 to 1. A checked-small number of distinct values goes through the built-in
+    aggregate. Otherwise each share needs the values at two sorted positions, and a value keeps the
+    shares whose positions fall into its interval, so nothing is held per group.
     """
-    ranked = ranked_values(df, value, weight)
+    table = _value_counts(df, value, weight)
+    if table.count() <= ONE_AGGREGATE:
+        listed = F.array(*[F.lit(float(s)) for s in shares])
+        found = table.agg(F.percentile("value", listed, F.col("n")).alias("v"))
+        pairs = F.arrays_zip(listed.alias("share"), F.col("v").alias("value"))
+        return found.select(F.inline(pairs)).filter("value IS NOT NULL").distinct()
+    ranked = ranked_values(table)
     wanted = _candidate_shares([float(s) for s in shares])
     low = lambda s: F.floor(s * (F.col("total") - 1))
     high = lambda s: F.ceil(s * (F.col("total") - 1))
     inside = lambda p: (p >= F.col("first")) & (p < F.col("last"))
+    if len(shares) < 32:  # plain comparisons first: few values hold any of few shares
+        near = [inside(end(F.lit(float(s)))) for s in shares for end in (low, high)]
+        ranked = ranked.filter(reduce(lambda a, b: a | b, near))
     hits = ranked.select(
         "value",
         "total",
@@ -153,8 +170,8 @@ def percentile_values(
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, width: int = BROADCAST_WIDTH) -> bool:
     """Whether a table (materialised, so cheap to read) is proven small enough to broadcast."""
-    text = F.length(F.to_json(F.struct(*df.columns)))
-    seen = df.agg(F.count("*").alias("n"), F.max(text).alias("w")).first()
+    sizes = [F.coalesce(F.length(c), F.lit(0)) if t == "string" else F.lit(16) for c, t in df.dtypes]
+    seen = df.agg(F.count("*").alias("n"), F.max(reduce(lambda a, b: a + b, sizes)).alias("w")).first()
     return seen["n"] <= rows and (seen["w"] or 0) <= width
 
 
@@ -195,12 +212,11 @@ def with_group_stats(
 ) -> DataFrame:
     """Left-join per-group statistics back to the rows, safe for hot and null keys.
 
-    The statistics are checkpointed, so the rows are aggregated once. A checked-small table is
+    The statistics are frozen, so the rows are aggregated once. A checked-small table is
     broadcast and the rows do not move. Otherwise hot groups are salted by ``weight``, the row
     count of a group.
     """
-    shared_dir(df.sparkSession)
-    stats = stats.checkpoint()
+    stats = frozen(stats, "group-stats")
     if small_enough(stats, broadcast_rows):
         return df.join(F.broadcast(stats), keys, "left")
     left, right = salted_pair(df, stats, stats.select(*keys, weight), keys, weight, row_id)
@@ -234,19 +250,17 @@ def first_rows(df: DataFrame, order: list[str], n: int, newest: bool = False) ->
 def with_ordinal(df: DataFrame, order: list[str | Column], name: str = "ordinal") -> DataFrame:
     """Global row number (from 0) by ``order``, without a single-task window.
 
-    A range-partitioned sort gives each row its partition and position; the checkpoint fixes
+    A range-partitioned sort gives each row its partition and position; freezing the rows fixes
     both, so a lost executor cannot change them. Offsets are one row per partition.
     """
-    shared_dir(df.sparkSession)
-    place = F.monotonically_increasing_id()
-    frozen = df.orderBy(*order).withColumn("_place", place).checkpoint()
+    placed = frozen(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()), "ordinal")
     part = F.shiftright("_place", 33)
     inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = frozen.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     return (
-        frozen.withColumn("_part", part)
+        placed.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_base") + inside)
         .drop("_part", "_base", "_place")

@@ -18,6 +18,7 @@ from flowmarrow.operators.metrics import per_attack_metrics
 from flowmarrow.operators.scaling import stratified_split
 from flowmarrow.plans.registry import query
 from flowmarrow.plans.tables import conn, r6, table
+from flowmarrow.session import spread
 
 COLUMNS = [
     "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts",
@@ -30,7 +31,7 @@ def model_rows(spark, sf_dir):
     bad = F.col("label") == "anomaly"
     rows = with_totals_and_ratios(coerce_numeric(conn(spark, sf_dir)))
     pushed = {c: F.when(bad, F.col(c) * 4 + 30).otherwise(F.col(c)) for c in COLUMNS}
-    return rows.withColumns({**pushed, "y": bad.cast("int")})
+    return spread(rows.withColumns({**pushed, "y": bad.cast("int")}))
 
 
 def normals(df):

@@ -90,6 +90,11 @@ def _typed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    """One task per capture file; packets leave the task in bounded batches."""
+    """One task per capture file; packets leave the task in bounded batches.
+
+    A folder without a non-empty capture is refused; a file that is no capture fails the job.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap").load(path)
+    if files.select("length").isEmpty():
+        raise ValueError(f"no packets in {path}")
     return files.select("content").mapInPandas(_frames, PACKET_SCHEMA)

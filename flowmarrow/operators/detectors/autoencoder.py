@@ -11,7 +11,8 @@ from flowmarrow.operators.detectors.base import Detector, hash_draw, stacked
 from flowmarrow.operators.detectors.nets import dense_net, lstm_net
 from flowmarrow.operators.detectors.training import adam, averaged_training
 from flowmarrow.operators.features import sliding_sequences
-from flowmarrow.operators.scaling import fit_scaler
+from flowmarrow.operators.scaling import fit_scaler, scaled_array
+from flowmarrow.session import cached_spread
 
 
 class _Reconstructing(Detector):
@@ -112,8 +113,6 @@ class DenseAutoencoder(_Reconstructing):
         return (len(self.columns),)
 
     def _scaled(self) -> Column:
-        from flowmarrow.operators.scaling import scaled_array
-
         return scaled_array(self.scaler)
 
     def encode(self, df: DataFrame, name: str = "latent") -> DataFrame:
@@ -179,7 +178,7 @@ class LstmAutoencoder(_Reconstructing):
         self.columns = list(columns)
         self.scaler = fit_scaler(df, self.columns)
         rows = self.windows(df, order, host)
-        flat = rows.select(order[-1], self._flat(F.col("sequence")).alias("x")).persist()
+        flat = cached_spread(rows.select(order[-1], self._flat(F.col("sequence")).alias("x")))
         try:
             self._fit(flat, order[-1])
         finally:

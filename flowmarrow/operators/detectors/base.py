@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowmarrow.operators.ordered import percentile_values
 from flowmarrow.operators.scaling import fit_scaler, scaled_array
-from flowmarrow.session import spread
+from flowmarrow.session import cached_spread
 
 # Detector names and the order in which a missing one is replaced.
 FALLBACK_ORDER = ["ensemble", "standard_ae", "isolation_forest", "one_class_svm", "lstm_ae"]
@@ -62,7 +62,7 @@ class Detector:
     def fit(self, df: DataFrame, columns: list[str], row_id: str = "conn_id") -> Detector:
         self.columns = list(columns)
         self.scaler = fit_scaler(df, self.columns)
-        rows = spread(df.select(row_id, scaled_array(self.scaler).alias("x"))).persist()
+        rows = cached_spread(df.select(row_id, scaled_array(self.scaler).alias("x")))
         try:
             self._fit(rows, row_id)
         finally:

@@ -11,10 +11,16 @@ from flowmarrow.operators.ordered import percentile_values, prefix_sums, value_t
 EMPTY_SHARE = 0.0001
 
 
-def ks_statistic(baseline: DataFrame, current: DataFrame, value: str) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance with both sample sizes, as one row."""
-    one = lambda df, a, b: df.select(F.col(value).alias("v"), F.lit(a).alias("nb"), F.lit(b).alias("nc"))
-    both = one(baseline, 1, 0).unionByName(one(current, 0, 1))
+def ks_statistic(
+    baseline: DataFrame, current: DataFrame, value: str, weight: str | None = None
+) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov distance with both sample sizes, as one row.
+
+    ``weight`` names the row counts of a baseline given as a table of distinct values.
+    """
+    one = lambda df, nb, nc: df.select(F.col(value).alias("v"), nb.cast("long").alias("nb"), nc.cast("long").alias("nc"))
+    rows = F.col(weight) if weight else F.lit(1)
+    both = one(baseline, rows, F.lit(0)).unionByName(one(current, F.lit(0), F.lit(1)))
     table = value_table(both, "v", {c: F.col(c) for c in ("nb", "nc")})
     sums = prefix_sums(table, "v", ["nb", "nc"])
     gap = F.abs(
@@ -67,11 +73,12 @@ def ks_drift(
     order: list[str] | None = None,
     window: int | None = 1000,
     limit: float = 0.05,
+    weight: str | None = None,
 ) -> DataFrame:
     """KS test on the newest ``window`` rows of each side; drift when p < limit."""
     if order and window:
         baseline, current = mt.last_rows(baseline, order, window), mt.last_rows(current, order, window)
-    found = ks_statistic(baseline, current, value)
+    found = ks_statistic(baseline, current, value, weight)
     return found.withColumns(
         {
             "method": F.lit("KS-test"),
@@ -97,7 +104,9 @@ def bin_of(value: str, edges: list[float]) -> Column:
     return F.when(v.between(edges[0], edges[-1]), F.least(passed, F.lit(last)))
 
 
-def _shares(df: DataFrame, value: str, edges: list[float], by: list[str], name: str) -> DataFrame:
+def _shares(
+    df: DataFrame, value: str, edges: list[float], by: list[str], name: str, weight: str | None = None
+) -> DataFrame:
     """Per group an array with the share of all its rows per bin, 0 replaced by a small constant.
 
     The rows are counted per bin first, so the bin is worked out once per row.
@@ -105,7 +114,7 @@ def _shares(df: DataFrame, value: str, edges: list[float], by: list[str], name:
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, bin_of(value, edges).alias("bin"))
-        .agg(F.count("*").alias("k"))
+        .agg((F.sum(weight) if weight else F.count("*")).alias("k"))
     )
     n = F.sum("k")
     share = lambda i: safe_share(F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("k"))), F.lit(0)), n)
@@ -129,13 +138,14 @@ def psi_drift(
     limit: float = 0.2,
     by: list[str] | None = None,
     edges: list[float] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Population stability index of the current rows, overall or per group ``by``.
 
-    Values outside the baseline range fall into no bin but stay in the denominator.
+    ``weight`` is as in ``ks_statistic``; it needs ``edges``. Values outside the baseline range fall into no bin but stay in the denominator.
     """
     edges = edges or quantile_edges(baseline, value, bins)
-    base = _shares(baseline, value, edges, [], "b").scalar()
+    base = _shares(baseline, value, edges, [], "b", weight).scalar()
     shares = _shares(current, value, edges, by or [], "c")
     paired = shares.withColumn("b", base)
     rows = paired.select(*(by or []), psi_of(F.col("c"), F.col("b")).alias("psi_value"))

@@ -80,22 +80,18 @@ def fit_stack(df: DataFrame, scores: list[str], y: str = "y"):
     return score
 
 
-def min_max(df: DataFrame, column: str, name: str) -> DataFrame:
-    """(x - min) / (max - min + 1e-10) with both bounds as scalar subqueries."""
-    low = df.agg(F.min(column).alias("v")).scalar()
-    high = df.agg(F.max(column).alias("v")).scalar()
-    return df.withColumn(name, (F.col(column) - low) / (high - low + 1e-10))
+def min_max(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """(x - min) / (max - min + 1e-10) per column; one pass finds all bounds."""
+    aggs = [f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    row = df.agg(*aggs).first()
+    bounds = [(row[f"lo{i}"] or 0.0, row[f"hi{i}"] or 0.0) for i in range(len(columns))]
+    return {c: (F.col(c) - F.lit(lo)) / F.lit(hi - lo + 1e-10) for c, (lo, hi) in zip(columns, bounds)}
 
 
 def min_max_weighted(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Weighted sum of min-max normalised scores as ``score``."""
-    normal = df
-    for i, c in enumerate(weights):
-        low = df.agg(F.min(c).alias("v")).scalar()
-        high = df.agg(F.max(c).alias("v")).scalar()
-        normal = normal.withColumn(f"_n{i}", (F.col(c) - low) / (high - low + 1e-10))
-    total = _sum([F.col(f"_n{i}") * F.lit(w) for i, w in enumerate(weights.values())])
-    return normal.withColumn("score", total).drop(*[f"_n{i}" for i in range(len(weights))])
+    normal = min_max(df, list(weights))
+    return df.withColumn("score", _sum([normal[c] * F.lit(w) for c, w in weights.items()]))
 
 
 def confidence_rule(df: DataFrame, primary: str, secondary: str) -> DataFrame:
@@ -161,11 +157,10 @@ class Ensemble:
         raise ValueError(f"unknown method {method!r}")
 
     def compare(self, df: DataFrame, y: str = "y", methods: tuple[str, ...] = ("voting", "weighted", "averaging", "stacking")) -> DataFrame:
-        """Metrics of every method as rows."""
-        rows = [
-            mt.binary_metrics(self.predict(df, m), y).select(
-                F.lit(m).alias("model"), "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1"
-            )
-            for m in methods
-        ]
-        return reduce(lambda a, b: a.unionByName(b), rows)
+        """Metrics of every method as rows, from one pass over the table."""
+        own = df
+        for m in methods:
+            own = self.predict(own, m).withColumnRenamed("prediction", f"_p_{m}").drop("score")
+        cells = [F.struct(F.lit(m).alias("model"), F.col(f"_p_{m}").alias("prediction")) for m in methods]
+        long = own.select(y, F.inline(F.array(*cells)))
+        return mt.binary_metrics(long, y, by=["model"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowmarrow.functions.columns import severity
 from flowmarrow.operators.metrics import trailing_count
 from flowmarrow.operators.ordered import with_group_stats
+from flowmarrow.session import frozen
 
 # What a deviating feature means. The texts are those an operator console shows.
 ACTIONS = {
@@ -245,7 +246,7 @@ def filter_alerts(
     The trailing counts are one row per distinct time and join back as group statistics, so an
     instant with very many alerts is split.
     """
-    enough = df.filter(F.col("priority_score") >= min_priority)
+    enough = frozen(df.filter(F.col("priority_score") >= min_priority), "alerts")
     counts = trailing_count(enough.select(ts), ts).withColumnRenamed("ts", "_at")
     timed = enough.withColumn("_at", F.col(ts).cast("timestamp"))
     joined = with_group_stats(timed, counts, ["_at"], "n", [row_id]).drop("_at", "n")
@@ -296,7 +297,11 @@ def threat_counts(df: DataFrame, k: int = 10) -> DataFrame:
 
 
 def alert_summary(df: DataFrame) -> DataFrame:
-    """Report head as one row: totals, mean priority and three small maps."""
+    """Report head as one row: totals, mean priority and three small maps.
+
+    The explanations are worked out once, into a narrow table that all parts read.
+    """
+    df = frozen(df.select("severity", "priority_score", "anomalous_features", "potential_threats"), "alerts")
     as_map = lambda rows, key: rows.agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias("m")
     ).scalar()

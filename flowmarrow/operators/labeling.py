@@ -9,6 +9,7 @@ from flowmarrow.functions.columns import is_truthy_label, micros
 from flowmarrow.operators import ordered
 from flowmarrow.operators.ordered import salted_pair, with_ordinal
 from flowmarrow.schemas import CONN_COLUMNS, renamed
+from flowmarrow.session import frozen
 
 # Capture folder to (label, attack type).
 FOLDER_LABELS = {
@@ -115,22 +116,20 @@ def _pieces(intervals: DataFrame, width: int, keys: list[str]) -> DataFrame:
     return intervals.select(*keys, "s", "e", "idx", "attack_type", F.explode(slots).alias("slot"))
 
 
-def _disjoint(intervals: DataFrame, keys: list[str]) -> DataFrame:
+def _disjoint(intervals: DataFrame, width: int, keys: list[str]) -> DataFrame:
     """Overlapping intervals as disjoint ones; where several cover a point the last wins.
 
-    Only used on a checked number of intervals, so the covering join is bounded.
+    Only used on a checked number of intervals. Points meet intervals on their time slot.
     """
     points = intervals.select(*keys, F.explode(F.array("s", F.col("e") + 1)).alias("p")).distinct()
     by_point = Window.partitionBy(*keys).orderBy("p") if keys else Window.orderBy("p")
     segments = points.withColumn("until", F.lead("p").over(by_point) - 1).filter("until IS NOT NULL")
-    a, b = segments.alias("a"), intervals.alias("b")
-    covered = (F.col("b.s") <= F.col("a.p")) & (F.col("b.e") >= F.col("a.p"))
-    for k in keys:
-        covered = covered & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    slotted = segments.withColumn("slot", F.floor(F.col("p") / width))
     return (
-        a.join(b, covered)
-        .groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], "a.p", "a.until")
-        .agg(F.max(F.struct("b.idx", "b.attack_type")).alias("w"))
+        slotted.join(_pieces(intervals, width, keys), ["slot", *keys])
+        .filter(F.col("p").between(F.col("s"), F.col("e")))
+        .groupBy(*keys, "p", "until")
+        .agg(F.max(F.struct("idx", "attack_type")).alias("w"))
         .select(*keys, F.col("p").alias("s"), F.col("until").alias("e"), "w.idx", "w.attack_type")
     )
 
@@ -159,7 +158,7 @@ def _winner(
 ) -> DataFrame:
     """Add the winning interval per row as a struct; a broadcast equi-join on the time slot."""
     own = list(keys.values())
-    pieces = _pieces(_disjoint(intervals, own), width, own)
+    pieces = _pieces(_disjoint(intervals, width, own), width, own)
     right = pieces.select(
         F.col("slot").alias("_slot"),
         F.col("s").alias("_s"),
@@ -218,7 +217,8 @@ def label_by_intervals(
     else:
         hosts = ["orig_h", "resp_h"] if match_hosts else []
         slotted = timed.select(row_id, "_t", *hosts, F.floor(F.col("_t") / width).alias("slot"))
-        busy = slotted.groupBy("slot").agg(F.count("*").alias("_n")).filter("slot IS NOT NULL")
+        counts = slotted.filter("slot IS NOT NULL").groupBy("slot").agg(F.count("*").alias("_n"))
+        busy = frozen(counts, "slots")
         hits = None
         for log, keys in lookups:
             pieces = _pieces(log, width, list(keys.values()))

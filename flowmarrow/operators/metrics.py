@@ -13,7 +13,7 @@ from flowmarrow.operators.ordered import first_rows, percentiles, prefix_sums, v
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows per combination and their share of all rows in percent."""
     counts = df.groupBy(*columns).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("t")).scalar()
+    total = counts.agg(F.sum("n").alias("t")).scalar()
     return counts.withColumn("pct", F.col("n") * 100.0 / total)
 
 

@@ -62,8 +62,12 @@ def prefix_sums(table: DataFrame, key: str, values: list[str]) -> DataFrame:
 
     A table of few rows is one range, any other is cut into ranges of about equal size.
     """
-    bounds = [] if table.count() <= ONE_RANGE else range_bounds(table, key)
-    grouped = with_range(table, key, bounds)
+    if table.count() <= ONE_RANGE:
+        overall = Window.partitionBy(F.lit(1))
+        upto = overall.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+        running = {f"cum_{v}": F.sum(v).over(upto) for v in values}
+        return table.withColumns({**running, **{f"all_{v}": F.sum(v).over(overall) for v in values}})
+    grouped = with_range(table, key, range_bounds(table, key))
     per_range = grouped.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     # at most MAX_RANGES rows from here on, so an unpartitioned window is bounded
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -180,13 +184,14 @@ def salted_pair(
 ) -> tuple[DataFrame, DataFrame]:
     """Both join sides with a ``_salt`` column that splits the hot keys of ``df``.
 
-    ``counts`` has the rows of ``df`` per key in ``weight``. A key above 1/HOT_SHARE of all rows is
+    ``counts`` (a frozen table) has the rows of ``df`` per key in ``weight``. A key above 1/HOT_SHARE of all rows is
     split in proportion. At most HOT_SHARE keys can be that large, which bounds the broadcast list
     and the copies on the other side. Rows with a null key match nothing and are spread by id.
     """
-    total = counts.agg(F.sum(weight).alias("total")).scalar()
-    splits = F.ceil(F.col(weight) * HOT_SHARE / total).cast("int")
-    hot = counts.filter(F.col(weight) * HOT_SHARE >= total).select(*keys, splits.alias("_splits"))
+    total = counts.agg(F.sum(weight).alias("total")).first()["total"] or 1
+    splits = F.ceil(F.col(weight) * HOT_SHARE / F.lit(total)).cast("int")
+    is_hot = F.col(weight) * HOT_SHARE >= F.lit(total)
+    hot = frozen(counts.filter(is_hot).select(*keys, splits.alias("_splits")), "hot-keys")
     spread = F.xxhash64(*row_id)
     any_null = F.lit(False)
     for k in keys:

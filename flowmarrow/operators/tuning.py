@@ -78,10 +78,10 @@ def cross_validate(
     )
 
 
-def _fold_f1(folds, fold, y, columns, row_id, detector):
+def _fold_metrics(folds, fold, y, columns, row_id, detector, scorer):
     train, test = folds.filter(F.col("fold") != fold), folds.filter(F.col("fold") == fold)
     fitted = detector.fit(train.filter(F.col(y) == 0), columns, row_id)
-    return mt.binary_metrics(fitted.predict(test), y).first()
+    return scorer(fitted.predict(test), y).first()
 
 
 def search(
@@ -95,15 +95,19 @@ def search(
     k: int = 5,
     seed: int = 42,
     workers: int = 2,
+    scorer: Callable[[DataFrame, str], DataFrame] = mt.binary_metrics,
 ) -> DataFrame:
-    """Grid (or random) search by F1 on held-out folds: one row per candidate and fold."""
+    """Grid (or random) search by F1 on held-out folds: one row per candidate and fold.
+
+    ``scorer`` turns a predicted table into a row with f1, precision and recall.
+    """
     spark = df.sparkSession
     folds = stratified_folds(df, y, row_id, k, seed).persist()
     tasks = [(p, f) for p in candidates(grid, n_iter, seed) for f in range(k)]
 
     def run(task):
         params, fold = task
-        m = _fold_f1(folds, fold, y, columns, row_id, make(**params))
+        m = _fold_metrics(folds, fold, y, columns, row_id, make(**params), scorer)
         return (json.dumps(params), fold, *[m[r] for r in RATES])
 
     try:

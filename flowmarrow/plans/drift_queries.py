@@ -171,7 +171,7 @@ def performance_records(spark, sf_dir):
 
 @query(
     f"""WITH {WEEK_PRED}, last AS (SELECT arg_max(f1, wk) AS f FROM rated)
-    SELECT 0.9 AS baseline_f1, round(f, 6) AS current_f1, round(0.9 - f, 6) AS degradation, 0.9 - f > 0.1 AS degraded FROM last"""
+    SELECT CAST(0.9 AS DOUBLE) AS baseline_f1, round(f, 6) AS current_f1, round(0.9 - f, 6) AS degradation, 0.9 - f > 0.1 AS degraded FROM last"""
 )
 def perf_degradation(spark, sf_dir):
     found = dr.degradation(_weekly_records(spark, sf_dir), 0.9, "wk")
@@ -266,7 +266,7 @@ def minmax_weighted(spark, sf_dir):
 
 
 @query(
-    f"""WITH {MINMAX}, thr AS (SELECT unnest({th.VOTE_STEPS}) AS threshold),
+    f"""WITH {MINMAX}, thr AS (SELECT unnest(CAST({th.VOTE_STEPS} AS DOUBLE[])) AS threshold),
       rates AS (SELECT threshold, sum(CASE WHEN s >= threshold THEN y ELSE 0 END) AS tp,
         sum(CASE WHEN s >= threshold THEN 1 - y ELSE 0 END) AS fp,
         sum(CASE WHEN s >= threshold THEN 0 ELSE y END) AS fn FROM thr, mm GROUP BY threshold)

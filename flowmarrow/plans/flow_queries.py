@@ -56,9 +56,9 @@ def host_sessions(spark, sf_dir):
     f"""WITH {CONN}, f AS (SELECT {KEY}, min(ts) AS ts_start, max(ts) AS ts_end,
         CAST(sum(length) AS DOUBLE) AS b, CAST(count(*) AS DOUBLE) AS n FROM conn GROUP BY {KEY})
     SELECT {KEY}, ts_start, round((epoch_us(ts_end) - epoch_us(ts_start)) / 1e6, 6) AS duration,
-      b AS orig_bytes, 0.0 AS resp_bytes, n AS orig_pkts, 0.0 AS resp_pkts, b AS total_bytes, n AS total_pkts,
-      0.0 AS bytes_ratio, 0.0 AS pkts_ratio, 0.0 AS src_port_entropy, 0.0 AS dst_port_entropy,
-      0.0 AS connections_per_min FROM f"""
+      b AS orig_bytes, CAST(0 AS DOUBLE) AS resp_bytes, n AS orig_pkts, CAST(0 AS DOUBLE) AS resp_pkts, b AS total_bytes, n AS total_pkts,
+      CAST(0 AS DOUBLE) AS bytes_ratio, CAST(0 AS DOUBLE) AS pkts_ratio, CAST(0 AS DOUBLE) AS src_port_entropy, CAST(0 AS DOUBLE) AS dst_port_entropy,
+      CAST(0 AS DOUBLE) AS connections_per_min FROM f"""
 )
 def flow_features(spark, sf_dir):
     rows = fl.flow_features(fl.assemble_flows(packets(spark, sf_dir)))
@@ -91,7 +91,7 @@ def packet_stats(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CONN} SELECT 0 AS total_packets, 0.0 AS total_bytes, 0.0 AS syn_ratio, 0.0 AS std_size,
+    f"""WITH {CONN} SELECT 0 AS total_packets, CAST(0 AS DOUBLE) AS total_bytes, CAST(0 AS DOUBLE) AS syn_ratio, CAST(0 AS DOUBLE) AS std_size,
       count(*) AS rows_read FROM conn"""
 )
 def packet_stats_empty(spark, sf_dir):
@@ -107,7 +107,7 @@ def _cell(name):
 
 
 @query(
-    f"""WITH {CONN} SELECT round(epoch_us(ts) / 1e6, 6) AS ts, {KEY}, 0.0 AS duration, length AS orig_bytes,
+    f"""WITH {CONN} SELECT round(epoch_us(ts) / 1e6, 6) AS ts, {KEY}, CAST(0 AS DOUBLE) AS duration, length AS orig_bytes,
       CAST(0 AS BIGINT) AS resp_bytes, 'S0' AS conn_state, '-' AS service FROM conn"""
 )
 def packet_connections(spark, sf_dir):

@@ -146,8 +146,8 @@ def _unsw_rows(spark, sf_dir):
 
 @query(
     """SELECT label, attack_type, count(*) AS n, round(sum(l_discount), 4) AS duration,
-      sum(CAST(l_quantity AS BIGINT)) AS orig_bytes, max(CAST(round(l_extendedprice) AS BIGINT)) AS resp_bytes,
-      sum(l_linenumber) AS orig_pkts, max(l_shipdate + INTERVAL 1 SECOND * l_linenumber) AS last_ts,
+      CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS orig_bytes, max(CAST(round(l_extendedprice) AS BIGINT)) AS resp_bytes,
+      CAST(sum(l_linenumber) AS BIGINT) AS orig_pkts, max(l_shipdate + INTERVAL 1 SECOND * l_linenumber) AS last_ts,
       0 AS orig_p, '-' AS history
     FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 'anomaly' ELSE 'normal' END AS label,
       CASE WHEN l_returnflag = 'R' THEN 'Exploits' ELSE 'normal' END AS attack_type FROM lineitem)

@@ -289,7 +289,7 @@ SHARES = [0.0, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
 
 
 @query(
-    f"""WITH {CONN} SELECT unnest({SHARES}) AS share,
+    f"""WITH {CONN} SELECT unnest(CAST({SHARES} AS DOUBLE[])) AS share,
       round(unnest(quantile_cont(duration, {SHARES})), 6) AS value FROM conn"""
 )
 def score_percentiles(spark, sf_dir):
@@ -372,7 +372,7 @@ def pr_auc(spark, sf_dir):
 
 @query(
     f"""WITH {CURVE}, m AS (SELECT {CELLS} FROM (SELECT y, CASE WHEN score >= 0.08 THEN 1 ELSE 0 END AS prediction FROM sc))
-    SELECT tn, fp, fn, tp, {RATES_SQL}, 0.08 AS threshold,
+    SELECT tn, fp, fn, tp, {RATES_SQL}, CAST(0.08 AS DOUBLE) AS threshold,
       (SELECT round(CAST(sum(neg * (2 * tp - pos)) AS DOUBLE) / 2 / max(p) / max(n), 6) FROM curve) AS roc_auc FROM m"""
 )
 def evaluate_threshold(spark, sf_dir):
@@ -384,7 +384,7 @@ def evaluate_threshold(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CURVE}, names AS (SELECT unnest({[float(p) for p in th.WIDE_GRID]}) AS percentile,
+    f"""WITH {CURVE}, names AS (SELECT unnest(CAST({[float(p) for p in th.WIDE_GRID]} AS DOUBLE[])) AS percentile,
         unnest(quantile_cont(score, {[p / 100 for p in th.WIDE_GRID]})) AS threshold FROM sc),
       thr AS (SELECT DISTINCT threshold FROM names), {rates_at('>=')}
     SELECT percentile, round(threshold, 6) AS threshold, tp, fp, fn, tn, {RATES_SQL}
@@ -409,7 +409,7 @@ STEPS = [0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.14]
 
 
 @query(
-    f"""WITH {CURVE}, thr AS (SELECT unnest({STEPS}) AS threshold), {rates_at('>=')}
+    f"""WITH {CURVE}, thr AS (SELECT unnest(CAST({STEPS} AS DOUBLE[])) AS threshold), {rates_at('>=')}
     SELECT threshold, tp, fp, fn, tn, round({F1}, 6) AS f1 FROM rates"""
 )
 def thr_step_sweep(spark, sf_dir):

@@ -17,6 +17,8 @@ def session(app: str = "flowmarrow", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # a busy flow is merged before the shuffle, as in any other aggregation
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.sql.streaming.stateStore.providerClass": (
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
         ),
@@ -61,9 +63,26 @@ def frozen(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition a table that has fewer partitions than the cluster has cores.
+    """Repartition a plain scan that has fewer partitions than the cluster has cores.
 
-    For work that is heavy per row; a large table has enough partitions and stays as it is.
+    For work that is heavy per row; a large table has enough partitions and stays as it is. Only
+    for inputs without shuffles, since asking for the partitions would run those.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
+def cached_spread(df: DataFrame) -> DataFrame:
+    """Rows kept for several passes, on at least as many partitions as there are cores.
+
+    The caller unpersists the result.
+    """
+    kept = df.persist()
+    kept.count()
+    wide = spread(kept)
+    if wide is kept:
+        return kept
+    wide = wide.persist()
+    wide.count()
+    kept.unpersist()
+    return wide

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowmarrow.functions.columns import clipped_finite, lenient_double, timestamp_of
@@ -139,7 +139,11 @@ def load_connections(
     raise ValueError(f"unknown source {source!r}")
 
 
-def drop_invalid_times(df: DataFrame, ts: str = "ts") -> DataFrame:
+def drop_invalid_times(df: DataFrame, ts: str = "ts", dropped: Observation | None = None) -> DataFrame:
+    """Rows with a usable time; ``dropped`` observes ``rows`` and ``dropped`` while the query runs."""
+    if dropped is not None:
+        bad = F.count_if(F.col(ts).isNull()).alias("dropped")
+        df = df.observe(dropped, F.count(F.lit(1)).alias("rows"), bad)
     return df.filter(F.col(ts).isNotNull())
 
 

@@ -18,6 +18,7 @@ from flowmarrow.operators import ensemble as en
 from flowmarrow.operators import explain as ex
 from flowmarrow.operators import flows as fl
 from flowmarrow.operators.detectors import Detector, LstmAutoencoder
+from flowmarrow.operators.ordered import percentile_values, value_table
 from flowmarrow.schemas import FLOW_KEY, WINDOW_FEATURES
 from flowmarrow.session import scratch_path
 
@@ -222,14 +223,18 @@ def score_batches(rows: DataFrame, score: Callable[[DataFrame], DataFrame], out:
 
 
 def drift_batches(rows: DataFrame, baseline: DataFrame, value: str, out: str, **trigger) -> StreamingQuery:
-    """Combined drift check of every micro-batch, appended to a history."""
-    edges = dr.quantile_edges(baseline, value)
+    """Combined drift check of every micro-batch, appended to a history.
+
+    The baseline is reduced once to its distinct values, which every batch reads.
+    """
+    table = value_table(baseline.select(value), value, {"n": F.lit(1)})
+    edges = percentile_values(table, value, [i / 10 for i in range(11)], weight="n")
 
     def make(batch: DataFrame, batch_id: int) -> DataFrame | None:
         if batch.isEmpty():
             return None
-        ks = dr.ks_drift(baseline, batch, value, window=None)
-        psi = dr.psi_drift(baseline, batch, value, edges=edges)
+        ks = dr.ks_drift(table, batch, value, window=None, weight="n")
+        psi = dr.psi_drift(table, batch, value, edges=edges, weight="n")
         tagged = lambda df, stat: df.select(
             "method", F.col(stat).alias("statistic"), "drift_detected", F.lit(batch_id).alias("checked_at")
         )

@@ -3,6 +3,7 @@ import socket
 import struct
 
 import pytest
+from pyspark.sql import Observation
 
 from flowmarrow.operators.flows import assemble_flows
 from flowmarrow.sources import captures, readers, writers
@@ -21,6 +22,13 @@ def test_conn_log(spark, tmp_path):
     assert r["local_orig"] is True and r["local_resp"] is False and r["tunnel_parents"] is None
 
 
+def test_dropped_times_are_counted(spark):
+    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, None)], "id int, ts timestamp")
+    seen = Observation()
+    assert readers.drop_invalid_times(df, dropped=seen).count() == 1
+    assert seen.get == {"rows": 2, "dropped": 1}
+
+
 def test_folders_and_malformed_lines(spark, tmp_path):
     for folder, extra in (("logs_udp", "\tshort"), ("logs_other", "")):
         (tmp_path / folder).mkdir()

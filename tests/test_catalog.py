@@ -1,5 +1,7 @@
 """A sample of the catalogue against its SQL; tools/check_queries.py runs all of it."""
 
+import os
+import subprocess
 import sys
 from pathlib import Path
 
@@ -49,3 +51,20 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_workers_need_no_package(tmp_path):
+    """Python tasks run although only the driver can import the package."""
+    root = Path(__file__).resolve().parent.parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+import __spark_entry__ as entry
+from flowmarrow import session
+spark = session("elsewhere", "local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
+spark.sparkContext.setLogLevel("OFF")
+print("rows", entry.queries()["conn_log_roundtrip"](spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 1000" in done.stdout, done.stderr[-2000:]

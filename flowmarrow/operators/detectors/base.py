@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,8 +140,3 @@ def score_all(df: DataFrame, detectors: dict[str, Detector]) -> DataFrame:
     for name, d in detectors.items():
         df = d.predict(df, score=f"score_{name}", prediction=f"pred_{name}")
     return df
-
-
-def mean_of(columns: Iterable[Column]) -> Column:
-    listed = list(columns)
-    return sum(listed[1:], listed[0]) / F.lit(float(len(listed)))

@@ -157,7 +157,6 @@ def fpr(spark, sf_dir):
     return rounded(found, ["false_positive_rate"], ["orig_h", "fp", "tn"])
 
 
-GUESS_SQL = """CASE event_id % 3 WHEN 0 THEN attack_type WHEN 1 THEN 'normal' ELSE 'syn_flood' END"""
 MULTI = f"""{CONN}, g AS (SELECT attack_type AS y,
   CASE conn_id % 3 WHEN 0 THEN attack_type WHEN 1 THEN 'normal' ELSE 'syn_flood' END AS p FROM conn)"""
 KINDS = ["dns_amplification", "http_flood", "normal", "syn_flood", "udp_flood"]

@@ -1,7 +1,6 @@
 import datetime as dt
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from flowmarrow.operators import flows as fl
 from flowmarrow.schemas import FEATURES, PACKET_SCHEMA, WINDOW_FEATURES

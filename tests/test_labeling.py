@@ -2,7 +2,6 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from flowmarrow.operators import labeling as lb
 

@@ -1,6 +1,6 @@
 """Imports every operator of the subpackage, which fills the registry."""
 
-from flowmarrow.llm import contamination, quality, simhash  # noqa: F401
+from flowmarrow.llm import contamination, quality, simhash, toxicity  # noqa: F401
 from flowmarrow.llm.text import QUERIES, SQL_CHECKS
 
 __all__ = ["QUERIES", "SQL_CHECKS"]

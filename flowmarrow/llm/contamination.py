@@ -5,7 +5,8 @@ set of its word shingles; a text contains it only if it contains every one of th
 necessary prefix. The documents are scanned once for shingles that occur in the benchmark; these occurrences give the
 frequencies of the shingles, hence the order by rarity, and the windows of which every shingle occurs. Occurrences of
 prefix shingles give candidate places, bounded by the position of the shingle in its window and by the length of the
-text, and the words at those places are compared with the whole window.
+text, and a place counts if every shingle of the window stands there in turn. Shingles are compared by 64-bit hash, a
+window of ten words by six of them. The texts themselves are never shuffled.
 
 Null and empty texts have no words: no hits as documents, no windows as items. Items without an id mark words but are
 neither counted nor listed; rows of one item id are one item. Equal texts have equal results, whatever their ids.
@@ -72,12 +73,14 @@ def _occurrences(docs: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFr
 
 
 def _rarest(found: DataFrame, parts: DataFrame) -> DataFrame:
-    """(len, off, sh): the rarest shingle of every window whose shingles all occur."""
+    """(window, len, n_shingles, off, sh): the rarest shingle of every window whose shingles all occur."""
     counts = found.groupBy("sh").agg(F.count(F.lit(1)).alias("n_found"))
     least = parts.join(counts, "sh", "left").groupBy("window", "len").agg(
-        F.min(F.struct("n_found", "off", "sh")).alias("first"), F.bool_and(F.col("n_found").isNotNull()).alias("all")
+        F.min(F.struct("n_found", "off", "sh")).alias("first"),
+        F.bool_and(F.col("n_found").isNotNull()).alias("all"),
+        F.count(F.lit(1)).alias("n_shingles"),
     )
-    return least.where("all").select("len", "first.off", "first.sh").distinct()
+    return least.where("all").select("window", "len", "n_shingles", "first.off", "first.sh")
 
 
 def occurring_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -86,18 +89,14 @@ def occurring_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     if not sizes:
         sizes = [SHINGLE]
     parts = frozen(_window_shingles(windows, sizes), "window-shingles")
-    found = frozen(_occurrences(docs, parts.select("sh").distinct(), sizes), "shingle-places")
-    places = found.join(_rarest(found, parts), "sh").select("key", (F.col("pos") - F.col("off")).alias("start"), "len", "n")
-    places = places.where("start >= 0 AND start + len <= n").groupBy("key").agg(F.collect_set(F.struct("start", "len")).alias("at"))
+    found = frozen(_occurrences(docs, parts.select("sh").distinct(), sizes).distinct(), "shingle-places")
+    places = found.join(_rarest(found, parts), "sh").withColumn("start", F.col("pos") - F.col("off"))
+    places = places.where("start >= 0 AND start + len <= n").select("key", "start", "len", "window", "n_shingles")
     places = frozen(places, "window-candidates")
-    texts = docs.select(F.md5(whole(F.col("text"))).alias("key"), F.col("text").alias("text")).join(places, "key")
-    texts = texts.select("key", "at", words_of(F.col("text")).alias("words"))
-    run = lambda p: F.array_join(F.slice("words", p["start"] + 1, p["len"]), " ")
-    seen = texts.select(
-        "key",
-        F.inline(F.transform("at", lambda p: F.struct(p["start"].alias("start"), p["len"].alias("len"), run(p).alias("window")))),
-    )
-    return seen.join(windows.select("window", "len").distinct(), ["window", "len"]).select("key", "start", "len", "window").distinct()
+    due = places.join(parts, ["window", "len"]).withColumn("pos", F.col("start") + F.col("off"))
+    met = due.join(found.select("key", "pos", "sh"), ["key", "pos", "sh"])
+    met = met.groupBy("key", "start", "len", "window").agg(F.count(F.lit(1)).alias("n_met"), F.first("n_shingles").alias("n_shingles"))
+    return met.where("n_met = n_shingles").select("key", "start", "len", "window")
 
 
 def hits_by_text(docs: DataFrame, items: DataFrame) -> DataFrame:

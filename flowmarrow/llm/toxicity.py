@@ -37,7 +37,7 @@ LANDMARKS = 128
 #: Characters that the kernel tells apart, besides the end marks; all others are one.
 LETTERS = 40
 TRAIN_TEXTS = 3000
-ROUNDS = 7
+PHASES, ROUNDS = 3, 3
 #: Deviance from which a run of characters marks a string as toxic from the start (one in a million by chance).
 SURE = 24.0
 #: Strings whose scores a task remembers at most.
@@ -219,40 +219,46 @@ def fit(bags: list[list[str]], toxic: np.ndarray) -> Model | None:
     n0, n1 = max(1, (train & (toxic == 0)).sum()), max(1, (train & (toxic == 1)).sum())
     hint, run = hints(vocabulary, [r for r, t in zip(rows, train) if t], toxic[train])
     rare = seen[1] / n1 > 20 * seen[0] / n0
-    half, taken, marks = LANDMARKS * 2 // 3, {}, []
+    share, taken, marks = LANDMARKS // 2, {}, []
     for i in np.lexsort((-seen[1], -hint)):  # several strings for each telling run
-        if len(marks) < half and hint[i] > 0 and rare[i] and taken.setdefault(run[i], 0) < 4:
+        if len(marks) < share and hint[i] > 0 and rare[i] and taken.setdefault(run[i], 0) < 4:
             taken[run[i]] += 1
             marks.append(vocabulary[i])
-    marks += [vocabulary[i] for i in np.argsort(-seen[0], kind="stable")[: LANDMARKS - len(marks)] if vocabulary[i] not in marks]
-    often = Counter(c for w in marks for c in w)
-    letters = sorted(sorted(often, key=lambda c: (-often[c], c))[:LETTERS])
-    kernel = Kernel({c: i + 1 for i, c in enumerate(["^", "$", *letters])})
-    gram, used_codes, profile = kernel.with_landmarks(marks, marks)
-    size, turn = np.linalg.eigh(gram.astype(np.float64))
-    root = turn / np.sqrt(np.maximum(size, 1e-6)) * (size > 1e-5)
-    score, offset, values = hint, 0.0, np.zeros(kernel.base**4, np.float32)
-    worst: dict[int, int] = {}  # strings of clean texts that ever scored high stay
-    for learned in range(ROUNDS):
-        label = dict(worst)
-        for r, y, t in zip(rows, toxic, train):
-            if t and len(r):
-                for i in r[np.argsort(-score[r], kind="stable")[: 1 if y else 3]]:
-                    label[i] = int(y and rare[i])
-                    if not y:
-                        worst[i] = 0
-                if y:  # a toxic text may hold several toxic strings
-                    label.update((i, 1) for i in r[rare[r] & ((hint[r] > SURE) | (score[r] > 0) & (learned > 0))])
-        used = sorted(label)
-        y = np.array([1.0 if label[i] else -1.0 for i in used])
-        if y.min() == y.max():
-            break
-        k, _, _ = kernel.with_landmarks([vocabulary[i] for i in used], marks)
-        weight = np.where(y > 0, seen[1, used], 1.0)
-        weight = np.where(y > 0, weight / weight[y > 0].sum(), weight / weight[y < 0].sum())
-        w, offset = fit_linear(k @ root, y, weight)
-        values[used_codes] = profile @ (root @ w)
-        score = kernel.score(vocabulary, values) + offset
+    common = [vocabulary[i] for i in np.argsort(-seen[0], kind="stable")[: LANDMARKS // 4]]
+    marks += [w for w in common if w not in marks]
+    score, worst = hint, {}
+    for phase in range(PHASES):
+        if phase:  # the clean strings that look most toxic become landmarks as well
+            hard = [vocabulary[i] for i in np.lexsort((-seen[0], -score)) if seen[0, i] and not rare[i]]
+            marks += [w for w in hard[: LANDMARKS // 4 // (PHASES - 1)] if w not in marks]
+        often = Counter(c for w in marks for c in w)
+        letters = sorted(sorted(often, key=lambda c: (-often[c], c))[:LETTERS])
+        kernel = Kernel({c: i + 1 for i, c in enumerate(["^", "$", *letters])})
+        gram, used_codes, profile = kernel.with_landmarks(marks, marks)
+        size, turn = np.linalg.eigh(gram.astype(np.float64))
+        root = turn / np.sqrt(np.maximum(size, 1e-6)) * (size > 1e-5)
+        offset, values = 0.0, np.zeros(kernel.base**4, np.float32)
+        for _ in range(ROUNDS):
+            label = dict(worst)  # strings of clean texts that ever scored high stay
+            for r, y, t in zip(rows, toxic, train):
+                if t and len(r):
+                    for i in r[np.argsort(-score[r], kind="stable")[: 1 if y else 3]]:
+                        label[i] = int(y and rare[i])
+                        if not y:
+                            worst[i] = 0
+                    if y:  # a toxic text may hold several toxic strings
+                        sure = (hint[r] > SURE) if score is hint else (hint[r] > SURE) | (score[r] > 0)
+                        label.update((i, 1) for i in r[rare[r] & sure])
+            used = sorted(label)
+            y = np.array([1.0 if label[i] else -1.0 for i in used])
+            if y.min() == y.max():
+                break
+            k, _, _ = kernel.with_landmarks([vocabulary[i] for i in used], marks)
+            weight = np.where(y > 0, seen[1, used], seen[0, used]) + 0.5
+            weight = np.where(y > 0, weight / weight[y > 0].sum(), weight / weight[y < 0].sum())
+            w, offset = fit_linear(k @ root, y, weight)
+            values[used_codes] = profile @ (root @ w)
+            score = kernel.score(vocabulary, values) + offset
     lowest = float(score.min()) if len(score) else 0.0
     best = np.array([score[r].max() if len(r) else lowest for r in rows])
     slope, level = fit_curve(best[~train], toxic[~train].astype(float))

@@ -1,6 +1,6 @@
 """Imports every operator of the subpackage, which fills the registry."""
 
-from flowmarrow.llm import contamination, lines, passages, pieces, quality, simhash, toxicity, urls  # noqa: F401
+from flowmarrow.llm import contamination, licenses, lines, passages, pieces, quality, simhash, surrogates, toxicity, urls  # noqa: F401
 from flowmarrow.llm.text import QUERIES, SQL_CHECKS
 
 __all__ = ["QUERIES", "SQL_CHECKS"]

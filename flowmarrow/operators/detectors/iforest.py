@@ -13,7 +13,6 @@ from flowmarrow.operators.detectors.base import Detector, hash_draw, stacked
 from flowmarrow.operators.ordered import percentile_values
 
 NODE_SCHEMA = "tree int, node int, feature int, split double, low int, high int, depth double"
-TRAINING_ROWS = 20_000
 
 
 def average_path(n) -> np.ndarray:
@@ -52,8 +51,8 @@ def build_tree(x: np.ndarray, features: np.ndarray, rng: np.random.Generator) ->
 class IsolationForest(Detector):
     """Trees are built one group each from a bounded hash sample; scoring is a vectorised UDF.
 
-    ``max_samples`` is 'auto' (256 rows per tree) or a share of the training cap of 20 000 rows,
-    so a tree's group never grows with the data.
+    ``max_samples`` is the number of rows per tree, 'auto' for 256, so a tree's group never grows with the data;
+    a share is refused.
     """
 
     name = "isolation_forest"
@@ -62,7 +61,7 @@ class IsolationForest(Detector):
         self,
         contamination: float = 0.1,
         n_estimators: int = 100,
-        max_samples: str | float = "auto",
+        max_samples: str | int = "auto",
         max_features: float = 1.0,
         seed: int = 42,
     ) -> None:
@@ -107,8 +106,9 @@ class IsolationForest(Detector):
         n = rows.count()
         if n == 0:
             raise ValueError("no training rows")
-        cap = min(n, TRAINING_ROWS)
-        wanted = 256 if self.max_samples == "auto" else int(self.max_samples * cap)
+        wanted = 256 if self.max_samples == "auto" else self.max_samples
+        if not isinstance(wanted, int) or wanted < 2:
+            raise ValueError("max_samples is a number of rows, at least 2, or 'auto'")
         self.sample_size = max(2, min(wanted, n))
         width = len(self.columns)
         picked = max(1, int(self.max_features * width))

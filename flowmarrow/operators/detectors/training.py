@@ -35,17 +35,23 @@ def averaged_training(
 
     ``step(weights, batch, state)`` updates the weights in place; ``loss(weights, batch)`` gives one
     loss per row. Held-out rows only measure: they see the weights the epoch started with, so one
-    job both trains and validates. The best weights win; ``patience`` stops early.
+    job both trains and validates. The best weights win, or the newest ones if no row is held out;
+    ``patience`` stops early. A loss that is not finite is an error.
     """
     best, best_loss, history, waited = weights, np.inf, [], 0
     for epoch in range(epochs + 1):
         last = epoch == epochs  # the final pass only measures the last average
         mean, val = _epoch(rows, weights, step, loss, batch_size, train=not last)
-        history.append(val)
-        if val < best_loss - 1e-12:
+        if val is None:  # nothing is held out: the newest average stands
+            best = weights
+        elif not np.isfinite(val):
+            raise ValueError("the validation loss is not finite")
+        elif val < best_loss - 1e-12:
             best, best_loss, waited = weights, val, 0
         else:
             waited += 1
+        if val is not None:
+            history.append(val)
         if mean is None or (patience is not None and waited >= patience):
             break
         weights = mean
@@ -79,7 +85,7 @@ def _epoch(rows, weights, step, loss, batch_size, train):
     mean = Summarizer.metrics("mean").summary(array_to_vector("weights"), F.col("n"))
     found = {r["chunk"]: r["s"]["mean"].toArray() for r in parts.groupBy("chunk").agg(mean.alias("s")).collect()}
     held = found.pop(-1, None)
-    val = float(held[0]) if held is not None else np.inf
+    val = float(held[0]) if held is not None else None
     if not found:
         return None, val
     return np.concatenate([found[k] for k in sorted(found)]), val

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmarrow.functions.columns import severity
@@ -229,6 +229,10 @@ def explain(
     )
 
 
+#: Slices of a busy hour that are ranked apart before the hour is.
+SLICES = 64
+
+
 def top_feature() -> Column:
     return F.col("anomalous_features")[0]["name"]
 
@@ -241,7 +245,9 @@ def filter_alerts(
     max_per_hour: int = 100,
     keep: int = 10,
 ) -> DataFrame:
-    """Alerts of enough priority; where the trailing hour is full only the top ``keep`` remain.
+    """Alerts of enough priority; where the trailing hour is full only the top ``keep`` of each hour remain.
+
+    ``suppressed`` counts the alerts of that hour that went.
 
     The trailing counts are one row per distinct time and join back as group statistics, so an
     instant with very many alerts is split.
@@ -250,9 +256,16 @@ def filter_alerts(
     counts = trailing_count(enough.select(ts), ts).withColumnRenamed("ts", "_at")
     timed = enough.withColumn("_at", F.col(ts).cast("timestamp"))
     joined = with_group_stats(timed, counts, ["_at"], "n", [row_id]).drop("_at", "n")
-    calm = joined.filter(F.col("recent") < max_per_hour)
-    busy = joined.filter(F.col("recent") >= max_per_hour)
-    return calm.unionByName(busy.orderBy(F.desc("priority_score"), row_id).limit(keep))
+    calm = joined.filter(F.col("recent") < max_per_hour).withColumn("suppressed", F.lit(0).cast("long"))
+    busy = joined.filter(F.col("recent") >= max_per_hour).withColumn("_hour", F.date_trunc("hour", ts))
+    busy = busy.withColumn("_slice", F.pmod(F.xxhash64(row_id), F.lit(SLICES)))
+    # the best of every slice of an hour, then the best of those: no task sees a whole hour
+    order = [F.desc("priority_score"), F.col(row_id)]
+    best = lambda df, keys: df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rank") <= keep)
+    top = best(best(busy, ["_hour", "_slice"]), ["_hour"])
+    sizes = busy.groupBy(F.col("_hour").alias("_of")).agg((F.count("*") - keep).alias("_over"))
+    top = top.join(sizes, F.col("_hour") == F.col("_of")).withColumn("suppressed", F.greatest("_over", F.lit(0)))
+    return calm.unionByName(top.drop("_hour", "_slice", "_rank", "_of", "_over"))
 
 
 def deduplicate_alerts(df: DataFrame, row_id: str = "conn_id") -> DataFrame:

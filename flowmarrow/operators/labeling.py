@@ -26,6 +26,7 @@ UNSW_RENAMES = {
     "dport": "resp_p", "srcip": "orig_h", "dstip": "resp_h",
     "proto": "proto", "state": "conn_state", "service": "service",
 }
+# Column names that hold a label.
 LABEL_CANDIDATES = ["label", "class", "attack_cat"]
 TRUTH_CANDIDATES = ["label", "Label", "y", "attack", "attack_cat"]
 MAX_RESOLVED_INTERVALS = 5_000
@@ -71,7 +72,7 @@ def unsw_to_connections(df: DataFrame, row_id: str | None = None) -> DataFrame:
             cells[target] = F.col(lower[source])
         else:
             cells.setdefault(target, F.lit(0))
-    kept = [lower[c] for c in ("label", "attack_cat") if c in lower]
+    kept = [F.col(f"`{lower[c]}`").alias(c) for c in ("label", "attack_cat") if c in lower]
     if "stime" in lower:
         cells["ts"] = F.timestamp_seconds(F.col(lower["stime"]).try_cast("double"))
     elif row_id is not None:
@@ -254,11 +255,6 @@ def only_anomalies(df: DataFrame) -> DataFrame:
     return df.filter(F.col("label") == "anomaly")
 
 
-def first_rows(df: DataFrame, order: str, n: int = 20_000) -> DataFrame:
-    """The first ``n`` rows in ``order``, a training cap of the detectors."""
-    return ordered.first_rows(df, [order], n)
-
-
 def feature_label_join(features: DataFrame, labels: DataFrame, key: str = "conn_id") -> DataFrame:
     """Features and labels meet on the row id, never by position."""
     return features.join(labels, key)

@@ -9,14 +9,15 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowmarrow.functions.columns import numeric_or_zero
 from flowmarrow.operators.ordered import with_ordinal
 
 
 def fit_scaler(df: DataFrame, columns: list[str], with_mean: bool = True) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation per column, one pass; a constant column gets deviation 1."""
+    """Mean and population deviation per column, one pass; a constant column gets deviation 1, null and NaN are 0."""
     aggs = []
     for i, c in enumerate(columns):
-        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
+        aggs += [F.avg(numeric_or_zero(c)).alias(f"m{i}"), F.stddev_pop(numeric_or_zero(c)).alias(f"s{i}")]
     row = df.agg(*aggs).first()
     return {
         c: ((row[f"m{i}"] or 0.0) if with_mean else 0.0, row[f"s{i}"] or 1.0)
@@ -29,7 +30,7 @@ def scale(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFrame:
 
 
 def scaled_array(scaler: dict[str, tuple[float, float]]) -> Column:
-    cells = [(F.col(c).cast("double") - F.lit(m)) / F.lit(s) for c, (m, s) in scaler.items()]
+    cells = [(numeric_or_zero(c) - F.lit(m)) / F.lit(s) for c, (m, s) in scaler.items()]
     return F.array(*cells)
 
 

@@ -20,7 +20,7 @@ from flowmarrow.operators.scaling import stratified_folds, stratified_split
 IFOREST_GRID = {
     "contamination": [0.05, 0.1, 0.15, 0.2],
     "n_estimators": [50, 100, 200],
-    "max_samples": ["auto", 0.5, 0.8],
+    "max_samples": ["auto", 10_000, 16_000],
     "max_features": [0.5, 0.8, 1.0],
 }
 SVM_GRID = {

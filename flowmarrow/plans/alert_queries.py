@@ -158,13 +158,14 @@ def alert_rate(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ALERTS} SELECT conn_id, priority_score, recent FROM en WHERE recent < 5
-    UNION ALL (SELECT conn_id, priority_score, recent FROM en WHERE recent >= 5 ORDER BY priority_score DESC, conn_id LIMIT 10)"""
+    f"""WITH {ALERTS} SELECT conn_id, priority_score, recent, CAST(0 AS BIGINT) AS suppressed FROM en WHERE recent < 5
+    UNION ALL (SELECT conn_id, priority_score, recent, greatest(n - 10, 0) AS suppressed FROM (SELECT *, count(*) OVER (PARTITION BY date_trunc('hour', ts)) AS n,
+      row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY priority_score DESC, conn_id) AS rk FROM en WHERE recent >= 5) WHERE rk <= 10)"""
 )
 def alert_filter(spark, sf_dir):
     rows = explained(spark, sf_dir).select("conn_id", "ts", "priority_score")
     kept = ex.filter_alerts(rows, min_priority=30, max_per_hour=5)
-    return kept.select("conn_id", "priority_score", "recent")
+    return kept.select("conn_id", "priority_score", "recent", "suppressed")
 
 
 @query(

@@ -73,6 +73,13 @@ def _weekly(spark, sf_dir):
     return base, rows.filter("label = 'anomaly'").select("wk", stretched.alias("duration"))
 
 
+def _windows(spark, sf_dir):
+    rows = conn(spark, sf_dir).withColumn("wk", F.dayofyear("ts") * 24 + F.hour("ts"))
+    stretched = F.col("duration") * (1 + F.hour("ts") / 4.0)
+    base = rows.filter("label = 'normal'").select("duration")
+    return base, rows.filter("label = 'anomaly'").select("wk", stretched.alias("duration"))
+
+
 KS = """v AS (SELECT duration AS x, 1 AS b, 0 AS c FROM base UNION ALL SELECT duration, 0, 1 FROM cur),
   g AS (SELECT x, sum(b) AS b, sum(c) AS c FROM v GROUP BY x),
   r AS (SELECT sum(b) OVER w AS cb, sum(c) OVER w AS cc, sum(b) OVER () AS nb, sum(c) OVER () AS nc
@@ -80,7 +87,7 @@ KS = """v AS (SELECT duration AS x, 1 AS b, 0 AS c FROM base UNION ALL SELECT du
   ks AS (SELECT max(abs(cb / CAST(nb AS DOUBLE) - cc / CAST(nc AS DOUBLE))) AS d,
     CAST(max(nb) AS BIGINT) AS nb, CAST(max(nc) AS BIGINT) AS nc FROM r)"""
 # Kolmogorov's series in plain SQL
-P_SERIES = """(SELECT CASE WHEN d <= 0 THEN 1.0 ELSE least(greatest(sum(
+P_SERIES = """(SELECT CASE WHEN d * sqrt(nb * nc / CAST(nb + nc AS DOUBLE)) < 0.2 THEN 1.0 ELSE least(greatest(sum(
     2 * CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * d * d * nb * nc / (nb + nc))), 0), 1) END
   FROM range(1, 101) t(k))"""
 CONN_CUT = "TIMESTAMP '2024-01-16'"
@@ -109,17 +116,17 @@ LAST = "SELECT * FROM conn WHERE {cond} ORDER BY ts DESC, conn_id DESC LIMIT 100
 
 @query(
     f"""WITH {CONN}, base AS ({LAST.format(cond=f'ts < {CONN_CUT}')}), cur AS ({LAST.format(cond=f'ts >= {CONN_CUT}')}), {KS}
-    SELECT round(d, 6) AS statistic, nb AS n_baseline, nc AS n_current FROM ks"""
+    SELECT round(d, 6) AS statistic, nb AS n_baseline, nc AS n_current, round({P_SERIES}, 6) AS p_value, {P_SERIES} < 0.05 AS drift_detected FROM ks"""
 )
 def ks_drift_last_rows(spark, sf_dir):
     base, cur = _conn_halves(spark, sf_dir)
     found = dr.ks_drift(base, cur, "duration", order=["ts", "conn_id"])
-    return rounded(found, ["statistic"], ["n_baseline", "n_current"])
+    return rounded(found, ["statistic", "p_value"], ["n_baseline", "n_current", "drift_detected"])
 
 
 @query(
     f"""WITH {CONN}, base AS (SELECT duration FROM conn WHERE label = 'normal'),
-      cur AS (SELECT CAST(week(ts) AS INTEGER) AS wk, duration * (1 + week(ts) / 4.0) AS duration FROM conn WHERE label = 'anomaly'),
+      cur AS (SELECT CAST(dayofyear(ts) * 24 + hour(ts) AS INTEGER) AS wk, duration * (1 + hour(ts) / 4.0) AS duration FROM conn WHERE label = 'anomaly'),
       v AS (SELECT w.wk, duration AS x, 1 AS b, 0 AS c FROM base, (SELECT DISTINCT wk FROM cur) w
         UNION ALL SELECT wk, duration, 0, 1 FROM cur),
       g AS (SELECT wk, x, sum(b) AS b, sum(c) AS c FROM v GROUP BY wk, x),
@@ -128,9 +135,9 @@ def ks_drift_last_rows(spark, sf_dir):
     SELECT wk, round(max(abs(cb / CAST(nb AS DOUBLE) - cc / CAST(nc AS DOUBLE))), 6) AS statistic FROM r GROUP BY wk"""
 )
 def ks_by_window(spark, sf_dir):
-    base, cur = _weekly(spark, sf_dir)
-    weeks = sorted(r["wk"] for r in cur.select("wk").distinct().limit(60).collect())
-    return rounded(dr.ks_by_window(base, cur, "duration", "wk", weeks), ["statistic"], ["wk"])
+    """Every hour of the weeks is a window, several hundred of them."""
+    base, cur = _windows(spark, sf_dir)
+    return rounded(dr.ks_by_window(base, cur, "duration", "wk"), ["statistic"], ["wk"])
 
 
 @query(

@@ -13,7 +13,6 @@ from flowmarrow.operators.detectors import (
     score_all,
 )
 from flowmarrow.operators.features import coerce_numeric, with_totals_and_ratios
-from flowmarrow.operators.labeling import first_rows
 from flowmarrow.operators.metrics import per_attack_metrics
 from flowmarrow.operators.scaling import stratified_split
 from flowmarrow.plans.registry import query
@@ -51,7 +50,7 @@ def iforest_score(spark, sf_dir):
 @query()
 def ocsvm_score(spark, sf_dir):
     rows = model_rows(spark, sf_dir)
-    return _out(OneClassSvm().fit(first_rows(normals(rows), "conn_id"), COLUMNS).predict(rows))
+    return _out(OneClassSvm().fit(normals(rows), COLUMNS).predict(rows))
 
 
 @query()

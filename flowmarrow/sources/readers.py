@@ -65,11 +65,13 @@ def read_conn_log(
 
 
 def read_conn_log_with_header(spark: SparkSession, path: str) -> DataFrame:
-    """A log whose columns are named by its own ``#fields`` line."""
-    head = spark.read.text(path).filter(F.col("value").startswith("#fields")).first()
-    if head is None:
+    """Logs whose columns are named by their own ``#fields`` lines; files with different columns are refused."""
+    heads = spark.read.text(path).filter(F.col("value").startswith("#fields")).distinct().limit(2).collect()
+    if not heads:
         raise ValueError(f"no #fields line in {path}")
-    return read_conn_log(spark, path, head["value"].split("\t")[1:])
+    if len(heads) > 1:
+        raise ValueError(f"the logs in {path} have different columns; read them one by one")
+    return read_conn_log(spark, path, heads[0]["value"].split("\t")[1:])
 
 
 def read_labelled_folders(spark: SparkSession, base: str) -> DataFrame:

@@ -32,7 +32,7 @@ def auc(df):
     "make",
     [
         lambda: dt.IsolationForest(n_estimators=50),
-        lambda: dt.IsolationForest(n_estimators=20, max_samples=0.5, max_features=0.5),
+        lambda: dt.IsolationForest(n_estimators=20, max_samples=128, max_features=0.5),
         lambda: dt.OneClassSvm(),
         lambda: dt.DenseAutoencoder(encoding_dim=6, epochs=5),
     ],
@@ -164,3 +164,30 @@ def test_cross_validation(data):
     folds = tn.cross_validate(data, COLUMNS, k=2, make=lambda: dt.IsolationForest(n_estimators=10))
     summary = {r["metric"]: r for r in mt.cv_summary(folds, ["f1", "roc_auc"]).collect()}
     assert folds.count() == 2 and summary["roc_auc"]["mean"] >= 0.95
+
+
+def test_nothing_held_out_trains_all_the_same(spark):
+    from flowmarrow.operators.detectors.training import averaged_training
+
+    rows = spark.createDataFrame([([float(i % 3)], False) for i in range(60)], "x array<double>, held boolean")
+
+    def step(w, batch, state):
+        w += 0.1 * (batch.mean(axis=0) - w)
+
+    loss = lambda w, batch: ((batch - w) ** 2).sum(axis=1)
+    weights, history = averaged_training(rows, np.zeros(1), step, loss, 5, batch_size=8)
+    assert weights[0] > 0.3 and history == []
+    held = rows.withColumn("held", F.lit(True))
+    with pytest.raises(ValueError):
+        averaged_training(held, np.zeros(1), step, lambda w, b: np.full(len(b), np.nan), 2)
+
+
+def test_null_cells_count_as_zero(spark, data):
+    rows = data.withColumn(COLUMNS[0], F.when(F.col("y") == 0, F.col(COLUMNS[0])))
+    fitted = dt.DenseAutoencoder(encoding_dim=2, epochs=1).fit(rows.filter("y = 0 OR y = 1"), COLUMNS)
+    assert fitted.predict(rows).filter("score IS NULL OR prediction IS NULL").count() == 0
+
+
+def test_samples_are_row_counts(data):
+    with pytest.raises(ValueError):
+        dt.IsolationForest(n_estimators=2, max_samples=0.5).fit(data, COLUMNS)

@@ -55,6 +55,16 @@ def test_alert_filter(spark):
     assert got == calm | set(busy)
 
 
+def test_alert_filter_keeps_some_of_every_busy_hour(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(h * 100 + i, t + dt.timedelta(hours=5 * h, seconds=i), 60 + i % 7) for h in range(4) for i in range(50)]
+    found = ex.filter_alerts(alerts(spark, rows), max_per_hour=20, keep=5).collect()
+    for h in range(4):
+        late = [r for r in found if r["conn_id"] // 100 == h and r["conn_id"] % 100 >= 19]
+        best = sorted(range(19, 50), key=lambda i: (-(60 + i % 7), i))[:5]
+        assert sorted(r["conn_id"] % 100 for r in late) == sorted(best) and {r["suppressed"] for r in late} == {26}
+
+
 def test_deduplication_and_report(spark):
     base = one(spark)
     rows = base.unionByName(base.withColumn("conn_id", F.lit(2).cast("long")))

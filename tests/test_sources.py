@@ -147,3 +147,11 @@ def test_broken_capture(spark, tmp_path):
     (tmp_path / "c.pcap").write_bytes(b"not a capture at all, whatever its name")
     with pytest.raises(Exception, match="not a packet capture"):
         captures.read_packets(spark, str(tmp_path)).count()
+
+
+def test_logs_with_different_columns_are_refused(spark, tmp_path):
+    for name, fields in (("a.log", "uid\tproto"), ("b.log", "proto\tuid")):
+        (tmp_path / name).write_text(f"#separator \\x09\n#fields\t{fields}\nx\ty\n")
+    with pytest.raises(ValueError):
+        readers.read_conn_log_with_header(spark, str(tmp_path))
+    assert readers.read_conn_log_with_header(spark, str(tmp_path / "b.log")).first()["proto"] == "x"

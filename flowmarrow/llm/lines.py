@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmarrow.llm.text import query, rows_only, split_words, table, whole, with_row
+from flowmarrow.operators.ordered import with_ordinal
 from flowmarrow.session import frozen
 
 PERCENT = 80
@@ -88,50 +89,74 @@ def occurrences(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(x, y): candidate pairs of distinct sets, x the longer one, that pass the length, position and overlap bounds."""
-    entries = sets.select("sid", "n", "bits0", "bits1", F.posexplode("codes").alias("at", "code"))
+    """(late, early): candidate pairs of distinct sets that pass the length, position and overlap bounds."""
+    # n and the place in the prefix share a column, which halves the rows that are shuffled
+    entries = sets.select("rid", "n", "bits0", "bits1", F.posexplode("codes").alias("at", "code"))
+    entries = entries.select("code", "rid", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"), "bits0", "bits1")
     x, y = entries.alias("x"), entries.alias("y")
     c = F.col
-    need = F.ceil((c("x.n") + c("y.n")) * percent / (100 + percent))
-    index_size = c("y.n") - F.ceil(c("y.n") * 2 * percent / (100 + percent)) + 1
+    size = lambda side: F.shiftright(c(f"{side}.place"), 32)
+    at = lambda side: c(f"{side}.place").bitwiseAND(F.lit(2**32 - 1))
+    need = F.ceil((size("x") + size("y")) * percent / (100 + percent))
+    index_size = size("y") - F.ceil(size("y") * 2 * percent / (100 + percent)) + 1
     apart = F.bit_count(c("x.bits0").bitwiseXOR(c("y.bits0"))) + F.bit_count(c("x.bits1").bitwiseXOR(c("y.bits1")))
     fits = (
         (c("x.code") == c("y.code"))
-        & ((c("x.n") > c("y.n")) | ((c("x.n") == c("y.n")) & (c("x.sid") > c("y.sid"))))
-        & (100 * c("y.n") >= percent * c("x.n")) & (c("y.at") < index_size)
-        & (F.least(c("x.n") - c("x.at"), c("y.n") - c("y.at")) >= need)
-        & (c("x.n") + c("y.n") - apart >= 2 * need)  # a bit on one side only is a word on one side only
+        & ((size("x") > size("y")) | ((size("x") == size("y")) & (c("x.rid") > c("y.rid"))))
+        & (100 * size("y") >= percent * size("x")) & (at("y") < index_size)
+        & (F.least(size("x") - at("x"), size("y") - at("y")) >= need)
+        & (size("x") + size("y") - apart >= 2 * need)  # a bit on one side only is a word on one side only
     )
-    return x.join(y, fits).select(c("x.sid").alias("x"), c("y.sid").alias("y")).distinct()
+    late, early = F.greatest(c("x.rid"), c("y.rid")), F.least(c("x.rid"), c("y.rid"))
+    return x.join(y, fits).select(late.alias("late"), early.alias("early")).distinct()
+
+
+def _alike(pairs: DataFrame, whole_sets: DataFrame, percent: int) -> DataFrame:
+    """(rid): the later sets of pairs that are similar word by word."""
+    a = whole_sets.select(F.col("rid").alias("late"), F.col("words").alias("a"))
+    b = whole_sets.select(F.col("rid").alias("early"), F.col("words").alias("b"))
+    both = pairs.join(a, "late").join(b, "early")
+    common = F.size(F.array_intersect("a", "b"))
+    alike = both.where((100 + percent) * common >= percent * (F.size("a") + F.size("b")))
+    return alike.select(F.col("late").alias("rid")).distinct()
 
 
 def later_sets(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(sid): the sets for which an earlier set is similar, compared word by word."""
+    """(rid): the sets for which an earlier set is similar, compared word by word.
+
+    One similar partner is enough, so every set is first compared with its earliest candidate alone; only sets for which
+    that fails meet the others. A large group of near copies thus costs a comparison for each, not for each pair.
+    """
     pairs = frozen(similar_pairs(sets, percent), "line-candidates")
-    wanted = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
-    wanted = frozen(sets.join(wanted, "sid").select("sid", "first"), "line-wanted")
-    at = wanted.select("sid", "first", F.col("first.key").alias("at_key"), F.col("first.no").alias("at_no"))
+    wanted = pairs.select(F.col("late").alias("rid")).union(pairs.select("early")).distinct()
+    at = sets.join(wanted, "rid").select("rid", "sid", F.col("key").alias("at_key"), F.col("no").alias("at_no"))
+    at = frozen(at, "line-wanted")
     t = whole(F.col("text"))
     d = docs.select(F.xxhash64(t).alias("key"), t.alias("text")).join(_small(at), F.col("key") == F.col("at_key"))
-    d = d.select("sid", "first", words_of(F.get(F.split("text", "\n"), F.col("at_no"))).alias("words"))
+    d = d.select("rid", "sid", words_of(F.get(F.split("text", "\n"), F.col("at_no"))).alias("words"))
     d = d.where(F.xxhash64(F.sort_array("words")) == F.col("sid"))
-    whole_sets = frozen(d.groupBy("sid").agg(F.first("first").alias("first"), F.first("words").alias("words")), "line-sets")
-    a = whole_sets.select(F.col("sid").alias("x"), F.col("first").alias("x_first"), F.col("words").alias("x_words"))
-    b = whole_sets.select(F.col("sid").alias("y"), F.col("first").alias("y_first"), F.col("words").alias("y_words"))
-    both = pairs.join(a, "x").join(b, "y")
-    common = F.size(F.array_intersect("x_words", "y_words"))
-    alike = both.where((100 + percent) * common >= percent * (F.size("x_words") + F.size("y_words")))
-    return alike.select(F.when(F.col("x_first") > F.col("y_first"), F.col("x")).otherwise(F.col("y")).alias("sid")).distinct()
+    whole_sets = frozen(d.groupBy("rid").agg(F.first("words").alias("words")), "line-sets")
+    first = pairs.groupBy("late").agg(F.min("early").alias("early"))
+    found = frozen(_alike(first, whole_sets, percent), "line-later")
+    rest = pairs.join(found.withColumnRenamed("rid", "late"), "late", "left_anti").join(first, ["late", "early"], "left_anti")
+    return found.union(_alike(frozen(rest, "line-rest"), whole_sets, percent))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc, key, removed): the numbers of the lines to remove, from 0, for every document that loses some."""
     found = frozen(occurrences(docs, percent), "lines")
-    order = F.struct(F.col("doc").isNull().alias("none"), "doc", "key", "no")
-    sets = found.groupBy("sid").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("codes").alias("codes"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"))
-    sets = frozen(sets, "line-firsts")
+    none = F.col("doc").isNull()
+    order = F.struct(none.alias("none"), "doc", "key", "no")
+    sets = found.groupBy("sid").agg(
+        F.min(order).alias("first"), F.first("n").alias("n"), F.first("codes").alias("codes"),
+        F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"),
+    )
+    sets = sets.select("sid", "first.none", "first.doc", "first.key", "first.no", "n", "codes", "bits0", "bits1")
+    # numbers in the order of the first occurrence
+    sets = frozen(with_ordinal(sets, ["none", "doc", "key", "no", "sid"], "rid"), "line-sets-numbered")
     late = frozen(later_sets(docs, sets, percent), "line-later").withColumn("late", F.lit(True))
-    firsts = frozen(sets.select("sid", "first").join(late, "sid", "left").select("sid", "first", "late"), "line-verdicts")
+    firsts = sets.join(late, "rid", "left").select("sid", order.alias("first"), "late")
+    firsts = frozen(firsts, "line-verdicts")
     gone = found.select("doc", "key", "no", "sid").join(firsts, "sid").where(F.col("late") | (order > F.col("first")))
     return gone.groupBy("doc", "key").agg(F.sort_array(F.collect_set("no")).alias("removed"))
 

@@ -35,7 +35,7 @@ SPACE = "▁"
 #: Stands for a space mark of the text itself; no valid text holds it.
 OWN_MARK = "\udc81"
 ALPHA = 1.0
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 BYTE_WEIGHT = 1e-9
 
 

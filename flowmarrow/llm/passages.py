@@ -30,10 +30,12 @@ LENGTH = 50
 GRAM = 24
 #: The id of rows without one.
 LAST = 2**63 - 1
-#: Repeated anchors (8 bytes each) and documents with removals that are sent to all executors at most.
-BROADCAST_ANCHORS, BROADCAST_DOCS = 6_000_000, 500_000
+#: Bits of the filter for repeated anchors, which goes to all executors (16 MB), in chunks that single tasks make.
+FILTER_BITS, CHUNK_BITS = 2**27, 2**21
+#: Documents with removals that are sent to all executors at most; more are joined by shuffle.
+BROADCAST_DOCS = 500_000
 #: Places of anchors in a shard, about.
-SHARD = 100_000
+SHARD = 30_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -91,34 +93,49 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     return ends.where("least < most").select("anchor")
 
 
+def anchor_bits(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits with a bit for every wanted anchor."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(CHUNK_BITS, bool)
+        bits[pdf["bit"].to_numpy(np.int64) % CHUNK_BITS] = True
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].to_numpy(), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    bit = F.pmod("anchor", F.lit(FILTER_BITS))
+    chunks = wanted.select(bit.alias("bit"), F.floor(bit / CHUNK_BITS).cast("int").alias("chunk")).distinct()
+    out = np.zeros((FILTER_BITS // CHUNK_BITS, CHUNK_BITS // 8), np.uint8)
+    for r in chunks.groupBy("chunk").applyInPandas(run, "chunk int, bits binary").collect():  # FILTER_BITS / 8 bytes in all
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
 def cuts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, doc, key, at, left, cut): the surroundings of repeated anchors; ``cut`` starts ``left`` bytes before."""
-    known = None
-    if wanted.count() <= BROADCAST_ANCHORS:
-        pairs = wanted.toPandas()["anchor"].to_numpy(np.int64)
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(pairs))
+    """(anchor, doc, key, at, left, cut): the surroundings of repeated anchors; ``cut`` starts ``left`` bytes before.
+
+    Anchors are looked up in a bitmap of fixed size, so a few others come along; they match nothing.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(anchor_bits(wanted))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["anchor", "doc", "key", "at", "left", "cut"]
+        rows: list[tuple] = []
         for b in batches:
-            rows = []
             for doc, key, t in zip(b["doc"], b["key"], b["text"]):
                 if len(t) < LENGTH:
                     continue
                 at, h = anchors(np.frombuffer(t, np.uint8))
-                if known is not None:
-                    slot = np.minimum(np.searchsorted(known.value, h), max(len(known.value) - 1, 0))
-                    there = known.value[slot] == h if len(known.value) else np.zeros(len(h), bool)
-                    at, h = at[there], h[there]
+                bit = h & (FILTER_BITS - 1)
+                there = (known.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+                at, h = at[there], h[there]
                 lead = np.minimum(at, LENGTH - GRAM)
                 rows += [(x, doc, key, p, n, t[p - n : p + LENGTH]) for x, p, n in zip(h.tolist(), at.tolist(), lead.tolist())]
                 if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["anchor", "doc", "key", "at", "left", "cut"])
+                    yield pd.DataFrame(rows, columns=names)
                     rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["anchor", "doc", "key", "at", "left", "cut"])
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
-    out = _bytes(docs).mapInPandas(run, "anchor long, doc long, key long, at int, left int, cut binary")
-    return out if known is not None else out.join(wanted, "anchor", "left_semi")
+    return _bytes(docs).mapInPandas(run, "anchor long, doc long, key long, at int, left int, cut binary")
 
 
 def classes(texts: list[bytes], least: np.ndarray, folder: str | None = None) -> np.ndarray:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from flowmarrow.llm import catalog, contamination, licenses, lines, passages, quality, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
-LONG = "word " * 40_000
+LONG = "word " * 2_000
 ROWS = [
-    (1, "Alpha beta gamma delta\nalpha BETA gamma delta\n\n \t"), (2, None), (3, ""), (4, " \t\n"), (5, LONG), (5, LONG), (6, "x" * 200_000),
+    (1, "Alpha beta gamma delta\nalpha BETA gamma delta\n\n \t"), (2, None), (3, ""), (4, " \t\n"), (5, LONG), (5, LONG), (6, "x" * 50_000),
     (None, "alpha beta gamma delta"), (None, None), (7, "Licensed under CC BY-NC 4.0.\nalpha beta gamma delta epsilon"),
     (7, "alpha beta gamma delta epsilon zeta"), (8, "a b c d e f g h i j k l"), (9, "é É ß 日本語 \x00 z"),
 ]

@@ -97,3 +97,14 @@ def severity(ratio: Column | str) -> Column:
         .when(r >= 1, "LOW")
         .otherwise("UNKNOWN")
     )
+
+
+def name_matches(name: Column | str, text: str, negate: bool = False) -> Column:
+    """Whether a name contains a text in any letter case, or does not; null names do not match."""
+    hit = F.coalesce(F.lower(name).contains(text.lower()), F.lit(False))
+    return ~hit if negate else hit
+
+
+def at_threshold(score: Column | str, threshold: float) -> Column:
+    """1 from the threshold on, else 0; rows without a score are 0."""
+    return F.coalesce((F.col(score) if isinstance(score, str) else score) >= threshold, F.lit(False)).cast("int")

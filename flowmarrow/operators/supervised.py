@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmarrow.operators import metrics as mt
@@ -53,15 +54,22 @@ class Classifier:
 
     def importances(self) -> DataFrame:
         """Features by importance, highest first."""
-        from pyspark.sql import SparkSession
-
         values = self.model.stages[-1].featureImportances.toArray().tolist()
         rows = sorted(zip(self.columns, values), key=lambda r: (-r[1], r[0]))
         ranked = [(i + 1, c, v) for i, (c, v) in enumerate(rows)]
         return SparkSession.active().createDataFrame(ranked, "rank int, feature string, importance double")
 
-    def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The fitted pipeline, and kind, columns and scaler as JSON text."""
+        self.model.write().overwrite().save(f"{path}/model")
+        head = {"kind": self.kind, "columns": self.columns, "scaler": self.scaler}
+        spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
+
+
+def load_classifier(spark: SparkSession, path: str) -> Classifier:
+    head = json.loads(spark.read.text(f"{path}/head").first()["value"])
+    scaler = {c: tuple(v) for c, v in head["scaler"].items()} if head["scaler"] is not None else None
+    return Classifier(head["kind"], head["columns"], scaler, PipelineModel.load(f"{path}/model"))
 
 
 def _prepared(df, columns, scaler):

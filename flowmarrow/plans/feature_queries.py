@@ -8,6 +8,7 @@ from flowmarrow.operators import labeling as lb
 from flowmarrow.plans.registry import query
 from flowmarrow.plans.tables import CONN, conn, r6, table
 from flowmarrow.schemas import FEATURES
+from flowmarrow.sources.readers import drop_invalid_times
 
 ENTROPY_SQL = """
   SELECT orig_h, greatest(log2(sum(n)) - sum(n * log2(n)) / sum(n), 0) AS h
@@ -96,9 +97,8 @@ def ts_normalise(spark, sf_dir):
         .otherwise("not a time")
     )
     events = table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
-    return events.select(
-        "event_id", timestamp_of("raw").cast("timestamp_ntz").alias("ts_clean")
-    ).filter("ts_clean IS NOT NULL")
+    clean = events.select("event_id", timestamp_of("raw").cast("timestamp_ntz").alias("ts_clean"))
+    return drop_invalid_times(clean, "ts_clean")
 
 
 NUMERIC_TEXT_SQL = """CASE event_id % 5 WHEN 0 THEN {zero} WHEN 1 THEN {zero}

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from flowmarrow.functions.columns import f1_band, score_band, verdict
+from flowmarrow.functions.columns import f1_band, score_band, verdict, at_threshold, name_matches
 from flowmarrow.operators import metrics as mt
 from flowmarrow.operators import thresholds as th
 from flowmarrow.operators.ordered import percentiles
@@ -125,12 +125,11 @@ def score_bands(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SCORED} SELECT conn_id, score, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction
-    FROM sconn WHERE score >= 0.5"""
+    f"WITH {SCORED} SELECT conn_id, score, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction FROM sconn"
 )
 def user_threshold(spark, sf_dir):
     rows = scored_conn(spark, sf_dir).select("conn_id", "score")
-    return rows.filter("score >= 0.5").withColumn("prediction", F.lit(1))
+    return rows.withColumn("prediction", at_threshold("score", 0.5))
 
 
 @query(
@@ -261,10 +260,10 @@ def best_model(spark, sf_dir):
     return rounded(mt.best_model(_two_models(spark, sf_dir)), ["f1"], ["model"])
 
 
-@query(f"WITH {MODELS} SELECT model, contains(lower(model), 'pack') AS matches FROM rated")
+@query(f"WITH {MODELS} SELECT model, contains(lower(model), 'pack') AS matches, NOT contains(lower(model), 'pack') AS others FROM rated")
 def model_name_filter(spark, sf_dir):
-    hit = F.lower("model").contains("PACK".lower())
-    return _two_models(spark, sf_dir).select("model", hit.alias("matches"))
+    hit, others = name_matches("model", "PACK"), name_matches("model", "PACK", negate=True)
+    return _two_models(spark, sf_dir).select("model", hit.alias("matches"), others.alias("others"))
 
 
 @query(f"WITH {SCORED} SELECT conn_id, score FROM sconn ORDER BY score DESC, conn_id LIMIT 50")

@@ -17,7 +17,7 @@ from flowmarrow.operators.metrics import per_attack_metrics
 from flowmarrow.operators.scaling import stratified_split
 from flowmarrow.plans.registry import query
 from flowmarrow.plans.tables import conn, r6, table
-from flowmarrow.session import spread
+from flowmarrow.session import scratch_path, spread
 
 COLUMNS = [
     "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts",
@@ -128,6 +128,19 @@ def logistic_score(spark, sf_dir):
     return _classified(spark, sf_dir, "logistic", maxIter=100)
 
 
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM events")
+def classifier_round_trip(spark, sf_dir):
+    """Rows whose score changes when the fitted classifier is saved and loaded again."""
+    rows = model_rows(spark, sf_dir)
+    fitted = sv.fit_classifier(rows, COLUMNS, kind="logistic", maxIter=100)
+    path = scratch_path(spark, "classifier")
+    fitted.save(spark, path)
+    again = sv.load_classifier(spark, path)
+    both = again.score(fitted.score(rows).withColumnRenamed("score", "was").drop("prediction"))
+    changed = F.count_if(~F.col("score").eqNullSafe(F.col("was"))).alias("different")
+    return both.agg(F.count(F.lit(1)).alias("n"), changed)
+
+
 @query()
 def random_forest_score(spark, sf_dir):
     return _classified(spark, sf_dir, "random_forest", numTrees=20, maxDepth=8)

@@ -76,7 +76,8 @@ def _epoch(rows, weights, step, loss, batch_size, train):
             seen += len(fit)
         out = []
         if held_n:
-            out.append((-1, [held_loss / held_n], float(held_n)))
+            # NaN would arrive as null; infinity stays what it is
+            out.append((-1, [held_loss / held_n if np.isfinite(held_loss) else np.inf], float(held_n)))
         if train and seen:
             out += [(k // CHUNK, w[k : k + CHUNK].tolist(), float(seen)) for k in range(0, len(w), CHUNK)]
         yield pd.DataFrame(out, columns=["chunk", "weights", "n"])

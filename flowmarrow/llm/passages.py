@@ -79,7 +79,7 @@ def _bytes(docs: DataFrame) -> DataFrame:
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """(anchor): the anchors that occur in documents of different ids."""
+    """(anchor, n): the anchors that occur in documents of different ids, and in how many texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -89,8 +89,8 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"anchor": np.concatenate([h for _, h in found]), "doc": np.repeat([d for d, _ in found], sizes)})
 
     found = _bytes(docs).select("doc", "text").mapInPandas(run, "anchor long, doc long")
-    ends = found.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    return ends.where("least < most").select("anchor")
+    ends = found.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n"))
+    return ends.where("least < most").select("anchor", "n")
 
 
 def anchor_bits(wanted: DataFrame) -> np.ndarray:
@@ -201,8 +201,9 @@ def removed_in_shard(pdf: pd.DataFrame) -> pd.DataFrame:
 def removed_runs(docs: DataFrame) -> DataFrame:
     """(doc, key, spans): the byte runs to remove, start << 32 | stop, for every document that loses some."""
     wanted = frozen(repeated_anchors(docs), "anchors")
-    found = frozen(cuts(docs, wanted), "anchor-cuts")
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), found.count() // SHARD + 1)
+    found = cuts(docs, wanted)
+    places = wanted.agg(F.sum("n")).first()[0] or 0
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), places // SHARD + 1)
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
     runs = found.withColumn("shard", shard).groupBy("shard").applyInPandas(removed_in_shard, "doc long, key long, start long, stop long")
     spans = F.collect_set(F.shiftleft("start", 32) + F.col("stop"))

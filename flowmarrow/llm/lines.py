@@ -62,39 +62,43 @@ def _codes(words: Column, levels: Column) -> Column:
     return F.sort_array(F.transform(words, code))
 
 
-def _bits(words: Column) -> Column:
-    """A bitmap of the words: each flips one of 64 bits."""
+def _bits(words: Column) -> list[Column]:
+    """A bitmap of the words in two columns: each word flips one of 128 bits."""
 
-    def flip(bits, h):
-        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int")))
+    def half(k):
+        def flip(bits, h):
+            one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+            return F.when(F.pmod(F.shiftright(h, 6), F.lit(2)) == k, bits.bitwiseXOR(one)).otherwise(bits)
 
-    return F.aggregate(words, F.lit(0).cast("long"), flip)
+        return F.aggregate(words, F.lit(0).cast("long"), flip).alias(f"bits{k}")
+
+    return [half(0), half(1)]
 
 
 def occurrences(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc, key, no, sid, n, codes, bits): every line with a word, with the codes of its prefix."""
+    """(doc, key, no, sid, n, codes, bits0, bits1): every line with a word, with the codes of its prefix."""
     levels = rarity(docs)
     t = whole(F.col("text"))
     d = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(t).alias("key"), F.posexplode(F.split(t, "\n")).alias("no", "line"))
     d = d.select("doc", "key", "no", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
     n = F.size("words")
-    d = d.select("doc", "key", "no", n.alias("n"), F.xxhash64(F.sort_array("words")).alias("sid"), _codes(F.col("words"), levels).alias("codes"), _bits(F.col("words")).alias("bits"))
+    d = d.select("doc", "key", "no", n.alias("n"), F.xxhash64(F.sort_array("words")).alias("sid"), _codes(F.col("words"), levels).alias("codes"), *_bits(F.col("words")))
     reach = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    return d.select("doc", "key", "no", "sid", "n", F.slice("codes", F.lit(1), reach).alias("codes"), "bits")
+    return d.select("doc", "key", "no", "sid", "n", F.slice("codes", F.lit(1), reach).alias("codes"), "bits0", "bits1")
 
 
 def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """(late, early): candidate pairs of distinct sets that pass the length, position and overlap bounds."""
     # n and the place in the prefix share a column, which halves the rows that are shuffled
-    entries = sets.select("rid", "n", "bits", F.posexplode("codes").alias("at", "code"))
-    entries = entries.select("code", "rid", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"), "bits")
+    entries = sets.select("rid", "n", "bits0", "bits1", F.posexplode("codes").alias("at", "code"))
+    entries = entries.select("code", "rid", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"), "bits0", "bits1")
     x, y = entries.alias("x"), entries.alias("y")
     c = F.col
     size = lambda side: F.shiftright(c(f"{side}.place"), 32)
     at = lambda side: c(f"{side}.place").bitwiseAND(F.lit(2**32 - 1))
     need = F.ceil((size("x") + size("y")) * percent / (100 + percent))
     index_size = size("y") - F.ceil(size("y") * 2 * percent / (100 + percent)) + 1
-    apart = F.bit_count(c("x.bits").bitwiseXOR(c("y.bits")))
+    apart = F.bit_count(c("x.bits0").bitwiseXOR(c("y.bits0"))) + F.bit_count(c("x.bits1").bitwiseXOR(c("y.bits1")))
     fits = (
         (c("x.code") == c("y.code"))
         & ((size("x") > size("y")) | ((size("x") == size("y")) & (c("x.rid") > c("y.rid"))))
@@ -144,9 +148,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     order = F.struct(none.alias("none"), "doc", "key", "no")
     sets = found.groupBy("sid").agg(
         F.min(order).alias("first"), F.first("n").alias("n"), F.first("codes").alias("codes"),
-        F.first("bits").alias("bits"),
+        F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"),
     )
-    sets = sets.select("sid", "first.none", "first.doc", "first.key", "first.no", "n", "codes", "bits")
+    sets = sets.select("sid", "first.none", "first.doc", "first.key", "first.no", "n", "codes", "bits0", "bits1")
     # numbers in the order of the first occurrence
     sets = with_ordinal(sets, ["none", "doc", "key", "no", "sid"], "rid")  # this freezes them
     late = frozen(later_sets(docs, sets, percent), "line-later").withColumn("late", F.lit(True))

@@ -1,9 +1,9 @@
 """Personal data and secrets replaced by consistent surrogates.
 
-One pattern finds mentions of e-mail addresses, phone and card numbers, IP addresses, access keys, passwords and names
-after a title. Mentions that mean the same entity (letter case, spacing and punctuation aside) have one canonical form,
-and the canonical form, the kind and a secret key give its surrogate: every mention of it, in any document, is replaced
-by the same one, written in the format of the mention. Surrogates are of the same kind: cards keep their network digit
+One pattern finds mentions of e-mail addresses, phone and card numbers, IP addresses, access keys, values of passwords
+and tokens (`key = "value"`, `key: value`), and names after a title. Mentions that mean the same entity (letter case,
+spacing and punctuation aside) have one canonical form, and the canonical form, the kind and a secret key give its
+surrogate: every mention of it, in any document, is replaced by the same one, written in the format of the mention. Surrogates are of the same kind: cards keep their network digit
 and a valid check digit, names keep title, gender, script and number of words, numbers keep their separators.
 
 Distinct entities stay distinct: surrogates of all entities of the corpus are checked against each other and against all
@@ -51,24 +51,30 @@ SYLLABLES = {
 _ALL_TITLES = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=lambda t: (-len(t), t)))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _CARD, _PHONE = r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}", r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+#: What stands before the value of a secret; atomic, so that it ends at the same place in a text and in a mention.
+_HOLDER = r"(?>(?=[AaPpSsTt])(?i:password|passwd|passphrase|pwd|(?:api|access|secret|private)[_-]?key|secret|token)\\?[\"']?[ \t]*(?::=|=>|==?|:(?!:))[ \t]*\\?[\"']?)"
+_VALUE = r"(?:(?<=\")[^\"\\\r\n]+(?=\\?\")|(?<=')[^'\\\r\n]+(?=\\?')|[^\s\"']+)"
+# inner capitals, apostrophes (but not the possessive s), hyphens, initials
+_WORD = r"(?:\p{Lu}\.(?= \p{Lu})|\p{Lu}(?:\p{L}|\p{M}|['’](?!s(?!\p{L}))(?=\p{L})|-(?=\p{Lu}))+)"
+_NAME = rf"(?:{_ALL_TITLES})\.? {_WORD}(?: (?!(?:{_ALL_TITLES})(?!\p{{L}})){_WORD})*"
 #: (kind, pattern); the first that fits at a place wins.
 PATTERNS = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("secret", r"(?<=(?:password|passwd|secret|token|api_key|apikey)=)[^\s\"']+"),
+    ("secret", _HOLDER + _VALUE),
     ("key", r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])"),
-    ("card", rf"(?<![\d.])(?<!\d[ -]){_CARD}(?![ -]?\d)"),
+    ("card", rf"(?<![\d.])(?<!\d-){_CARD}(?!-?\d)"),
     ("phone", rf"(?<![\d+]){_PHONE}(?!\d)"),
     ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"),
-    ("name", rf"(?<!\p{{L}})(?:{_ALL_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"),
+    ("name", rf"(?<!\p{{L}}){_NAME}"),
 ]
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 
 
 def kind_of(mention: Column) -> Column:
-    """The kind of a mention, from its shape alone."""
+    """The kind of a mention without its holder, from its shape alone."""
     shapes = [
         ("email", r"^[^@\s]+@[^@\s]+\.[A-Za-z]+$"), ("key", r"^(AKIA|ASIA)[A-Z0-9]{16}$"), ("card", f"^{_CARD}$"), ("phone", f"^{_PHONE}$"),
-        ("ip", rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), ("name", rf"^(?:{_ALL_TITLES})\.? "),
+        ("ip", rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), ("name", f"^{_NAME}$"),
     ]
     return reduce(lambda c, s: c.when(mention.rlike(s[1]), s[0]), shapes[1:], F.when(mention.rlike(shapes[0][1]), "email")).otherwise("secret")
 
@@ -79,7 +85,7 @@ def canonical(kind: Column, mention: Column) -> Column:
     name = F.regexp_replace(mention, rf"^({_ALL_TITLES})\.? ", "")
     return (
         F.when(kind == "email", F.lower(mention)).when(kind == "card", digits).when(kind == "phone", F.right(digits, F.lit(10)))
-        .when(kind == "name", F.concat(_trait(mention), F.lit("/"), name)).otherwise(mention)
+        .when(kind == "name", F.concat(_trait(mention), F.lit("/"), F.initcap(name))).otherwise(mention)
     )
 
 
@@ -96,7 +102,7 @@ def _trait(mention: Column) -> Column:
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) -> Column:
     """The canonical surrogate of a canonical entity, drawn from the key; another one for each attempt."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, entity, attempt.cast("string"))
-    number = lambda salt: F.pmod(F.conv(F.substring(F.sha2(F.concat(seed, F.lit(f"\x1f{salt}")), 256), 1, 15), 16, 10).cast("long"), F.lit(10**15))
+    number = lambda salt: F.pmod(F.conv(F.substring(F.sha2(F.concat(seed, F.lit("\x1f"), salt if isinstance(salt, Column) else F.lit(salt)), 256), 1, 15), 16, 10).cast("long"), F.lit(10**15))
     text = F.sha2(seed, 256)
     letters = F.translate(text, "0123456789abcdef", "bcdfghklmnprstvz")
     local = F.concat(F.substring(letters, 1, 10), F.when(entity.rlike(r"\d.*@"), F.lpad((number("e") % 1000).cast("string"), 3, "0")).otherwise(""))
@@ -115,7 +121,9 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
         parts = SYLLABLES[trait[1]]
         pick = lambda values, salt: F.element_at(F.array(*map(F.lit, values)), (1 + number(salt) % len(values)).cast("int"))  # noqa: B023, E731
         surname = F.concat(F.initcap(pick(parts, "s")), *[pick(parts, f"s{i}") for i in range(4)])
-        full = F.when(F.split_part(entity, F.lit("/"), F.lit(3)) == "2", F.concat_ws(" ", pick(given, "g"), surname)).otherwise(surname)
+        before = F.split_part(entity, F.lit("/"), F.lit(3)).try_cast("int") - 1
+        draws = F.transform(F.sequence(F.lit(1), F.greatest(before, F.lit(1))), lambda i: pick(given, F.concat(F.lit("g"), i.cast("string"))))  # noqa: B023
+        full = F.concat_ws(" ", F.when(before > 0, F.array_join(draws, " ")), surname)
         full = F.concat(F.regexp_extract(entity, "^([^/]*/[^/]*/[^/]*/)", 1), full)
         name = F.when(entity.startswith("/".join(trait) + "/"), full) if name is None else name.when(entity.startswith("/".join(trait) + "/"), full)
     return (
@@ -157,17 +165,21 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """(key, at, mention, kind, entity): every mention in every distinct text, in order; ``key`` is the text's digest."""
+    """(key, at, holder, mention, kind, entity): every mention in every distinct text, in order, and what names it if it is
+    a secret; ``key`` is the text's digest."""
     t = whole(F.col("text"))
     m = docs.select(F.md5(t).alias("key"), F.posexplode(F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).alias("at", "mention"))
-    m = m.select("key", "at", "mention", kind_of(F.col("mention")).alias("kind"))
+    holder = F.regexp_extract("mention", f"^{_HOLDER}", 0)
+    m = m.select("key", "at", holder.alias("holder"), F.substring("mention", F.length(holder) + 1, F.length("mention")).alias("mention"))
+    m = m.withColumn("kind", kind_of(F.col("mention")))
     return m.withColumn("entity", canonical(F.col("kind"), F.col("mention"))).distinct()
 
 
 def _replacements(docs: DataFrame, key: str) -> DataFrame:
     found = frozen(mentions(docs), "mentions")
     drawn = frozen(assign(found, key), "surrogates")
-    put = found.join(drawn, ["kind", "entity"]).select("key", "at", rendered(F.col("kind"), F.col("mention"), F.col("drawn")).alias("put"))
+    text = F.concat("holder", rendered(F.col("kind"), F.col("mention"), F.col("drawn")))
+    put = found.join(drawn, ["kind", "entity"]).select("key", "at", text.alias("put"))
     put = put.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "put"))).alias("put"))
     return frozen(put.select(F.col("key").alias("put_key"), F.transform("put", lambda x: x["put"]).alias("put")), "replacements")
 

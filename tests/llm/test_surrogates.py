@@ -54,3 +54,44 @@ def test_collisions(spark, monkeypatch):
 def test_shuffled_join(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "BROADCAST_TEXTS", -1)
     test_replace(spark)
+
+
+HELD = [
+    'token = "8d969eef6ecad3c2"', 'TOKEN = "8D969EEF6ECAD3C3"', "password: hunter2", '{"api_key": "k-1 2", "x": 1}', "Secret='q w'", "pwd := a1", "token==",
+    r'{\"token\": \"abc123\"}', "access_token=zzz9",
+]
+FORMS = [
+    r'token = "([0-9a-f]{16})"', r'TOKEN = "([0-9a-f]{16})"', r"password: ([0-9a-f]+)", r'\{"api_key": "([0-9a-f]+)", "x": 1\}', r"Secret='([0-9a-f]+)'", r"pwd := ([0-9a-f]+)", r"(token==)",
+    r'\{\\"token\\": \\"([0-9a-f]+)\\"\}', r"access_token=([0-9a-f]+)",
+]
+CALLED = [
+    ("Mr McDonald left", r"Mr ([A-Z][a-z]+) left"), ("Mr O'Brien left", r"Mr ([A-Z][a-z]+) left"), ("Mrs Ann-Marie Smith-Jones's car", r"Mrs ([A-Z][a-z]+ [A-Z][a-z]+)'s car"),
+    ("Dr Ann Mary Lee sat", r"Dr ([A-Z][a-z]+ [A-Z][a-z]+ [A-Z][a-z]+) sat"), ("Mr J. Roe Mrs Doe", r"Mr ([A-Z][a-z]+ [A-Z][a-z]+) Mrs ([A-Z][a-z]+)"), ("Mr MCDONALD left", r"Mr ([A-Z][a-z]+) left"),
+]
+
+
+def test_written_forms(spark):
+    """Secrets however their key is written, cards side by side, names of any spelling and length."""
+    cards = "7536784127813050 4845168114407329 or 2353 8209 5301 3749 4550 9977 1072 0808, not 12345678901234567 1"
+    texts = [*HELD, *(t for t, _ in CALLED), cards]
+    got = {r.doc_id: r.text for r in surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, form in enumerate([*FORMS, *(f for _, f in CALLED)]):
+        found = re.fullmatch(form, got[i])
+        assert found and (texts[i] == "token==" or not any(g in texts[i] for g in found.groups())), (texts[i], got[i])
+    names = got[len(HELD)], got[len(texts) - 2]
+    assert names[0] == names[1]
+    new = re.fullmatch(r"(\d{16}) (\d{16}) or (\d{4} \d{4} \d{4} \d{4}) (\d{4} \d{4} \d{4} \d{4}), not 12345678901234567 1", got[len(texts) - 1]).groups()
+    assert all(luhn(c.replace(" ", "")) and c not in cards for c in new) and len(set(new)) == 4
+
+
+def test_planted(spark):
+    """Every secret and card of the given documents is replaced, and as many as were planted."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("text rlike '(?i)token = \"|[0-9]{16}'")
+    held, card = r'(?i)token = "([0-9a-f]{40})"', r"(?<!\w)\d{16}(?!\w)"
+    old = {r.doc_id: r.text for r in docs.collect()}
+    new = {r.doc_id: r.text for r in surrogates.replace(docs).collect()}
+    for form, least in ((held, 166), (card, 4)):
+        real = {x for t in old.values() for x in re.findall(form, t)}
+        assert sum(len(re.findall(form, t)) for t in old.values()) >= least
+        assert all(len(re.findall(form, new[i])) == len(re.findall(form, t)) for i, t in old.items())
+        assert not real & {x for t in new.values() for x in re.findall(form, t)}

@@ -28,6 +28,8 @@ KEY = "surrogates-1"
 #: Texts with mentions whose replacements are sent to all executors at most; more are joined by shuffle.
 BROADCAST_TEXTS = 200_000
 MOST_ROUNDS = 60
+#: Least characters of the surrogate of a secret.
+LEAST_SECRET = 8
 
 # Titles by gender and script, and given names to draw from.
 TITLES = {
@@ -115,7 +117,9 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     phone = F.concat(*[(200 + number(s) % 800).cast("string") for s in ("p", "q")], F.lpad((number("r") % 10_000).cast("string"), 4, "0"))
     ip = F.concat_ws(".", *[(1 + number(s) % 223).cast("string") for s in "ijkl"])
     access = F.concat(F.substring(entity, 1, 4), F.substring(F.upper(F.translate(text, "01", "yz")), 1, 16))
-    secret = F.substring(F.repeat(text, F.ceil(F.length(entity) / 64).cast("int")), F.lit(1), F.length(entity))
+    # as long as the secret if that leaves enough to draw from, and longer with each attempt, so that one is free
+    length = F.greatest(F.length(entity), F.lit(LEAST_SECRET)) + attempt
+    secret = F.substring(F.repeat(text, F.ceil(length / 64).cast("int")), F.lit(1), length)
     name = None
     for trait, given in GIVEN.items():
         parts = SYLLABLES[trait[1]]

@@ -95,3 +95,11 @@ def test_planted(spark):
         assert sum(len(re.findall(form, t)) for t in old.values()) >= least
         assert all(len(re.findall(form, new[i])) == len(re.findall(form, t)) for i, t in old.items())
         assert not real & {x for t in new.values() for x in re.findall(form, t)}
+
+
+def test_short_secrets(spark):
+    """More one-digit and two-digit secrets than hex strings of their length."""
+    texts = [f"?token={i:x}" for i in range(16)] + [f"?token={i:02x}" for i in range(256)] + ["?token=z"]
+    got = {r.doc_id: r.text for r in surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(got.values())) == len(texts) and not set(got.values()) & set(texts)
+    assert all(re.fullmatch(r"\?token=[0-9a-f]{8,}", t) for t in got.values())

@@ -32,8 +32,8 @@ GRAM = 24
 LAST = 2**63 - 1
 #: Bits of the filter for repeated anchors, which goes to all executors (16 MB), in chunks that single tasks make.
 FILTER_BITS, CHUNK_BITS = 2**27, 2**21
-#: Documents with removals that are sent to all executors at most; more are joined by shuffle.
-BROADCAST_DOCS = 500_000
+#: Documents with removals that are sent to all executors at most, and bytes of these; more are joined by shuffle.
+BROADCAST_DOCS, BROADCAST_BYTES = 500_000, 2**26
 #: Places of anchors in a shard, about.
 SHARD = 30_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -223,7 +223,9 @@ def _merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def remove(docs: DataFrame) -> DataFrame:
     """(doc_id, text, kept, n_bytes, n_removed, n_spans): ``kept`` holds the remaining bytes of every document."""
     gone = frozen(removed_runs(docs), "passages").select(F.col("doc").alias("gone_doc"), F.col("key").alias("gone_key"), "spans")
-    if gone.count() <= BROADCAST_DOCS:
+    # a document can have any number of spans, so bytes are counted, not only rows
+    found = gone.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(64 + 8 * F.size("spans").cast("long")), F.lit(0)).alias("bytes")).first()
+    if found["docs"] <= BROADCAST_DOCS and found["bytes"] <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
     kind = dict(docs.dtypes)["doc_id"]
 

@@ -25,8 +25,8 @@ from flowmarrow.llm.text import query, rows_only, table, whole, with_row
 from flowmarrow.session import frozen
 
 KEY = "surrogates-1"
-#: Texts with mentions whose replacements are sent to all executors at most; more are joined by shuffle.
-BROADCAST_TEXTS = 200_000
+#: Texts with mentions whose replacements are sent to all executors at most, and bytes of these; more are joined by shuffle.
+BROADCAST_TEXTS, BROADCAST_BYTES = 200_000, 2**26
 MOST_ROUNDS = 60
 #: Least characters of the surrogate of a secret.
 LEAST_SECRET = 8
@@ -188,6 +188,13 @@ def _replacements(docs: DataFrame, key: str) -> DataFrame:
     return frozen(put.select(F.col("key").alias("put_key"), F.transform("put", lambda x: x["put"]).alias("put")), "replacements")
 
 
+def _small(put: DataFrame) -> bool:
+    """Whether replacements may go to all executors: a text can hold any number of them, so bytes are counted, not only rows."""
+    parts = F.aggregate("put", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16)
+    found = put.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(parts + 64), F.lit(0)).alias("bytes")).first()
+    return found["texts"] <= BROADCAST_TEXTS and found["bytes"] <= BROADCAST_BYTES
+
+
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The documents with every mention replaced, with all their columns."""
     return rows_only(_replaced(docs, key).select("row"))
@@ -195,7 +202,7 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def _replaced(docs: DataFrame, key: str) -> DataFrame:
     put = _replacements(docs.select("text"), key)
-    if put.count() <= BROADCAST_TEXTS:
+    if _small(put):
         put = F.broadcast(put)
     rows = with_row(docs, text=F.col("text"), key=F.md5(whole(F.col("text"))))
     rows = rows.join(put, rows.key == put.put_key, "left")

@@ -63,3 +63,15 @@ def test_full_filter_and_shuffled_join(spark, monkeypatch):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
     assert rows_of(spark, rows) == plain(rows)
     assert rows_of(spark, rows[:0] or [(1, None)]) == plain([(1, None)])
+
+
+def test_broadcast_is_bounded_by_bytes(spark, monkeypatch):
+    """Few documents with many spans are joined by shuffle, with the same result."""
+    texts = [f"{i:05d}" * 12 for i in range(60)]
+    docs = spark.createDataFrame([(1, "|".join(texts)), (2, "".join(f"{t}<{i}>" for i, t in enumerate(texts)))], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    small = passages.remove(docs)
+    monkeypatch.setattr(passages, "BROADCAST_BYTES", 200)
+    large = passages.remove(docs)
+    assert "strategy=broadcast" in plan(small) and "strategy=broadcast" not in plan(large)
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))

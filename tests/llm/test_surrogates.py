@@ -103,3 +103,14 @@ def test_short_secrets(spark):
     got = {r.doc_id: r.text for r in surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert len(set(got.values())) == len(texts) and not set(got.values()) & set(texts)
     assert all(re.fullmatch(r"\?token=[0-9a-f]{8,}", t) for t in got.values())
+
+
+def test_broadcast_is_bounded_by_bytes(spark, monkeypatch):
+    """Few texts with many mentions are joined by shuffle, with the same result."""
+    docs = spark.createDataFrame([(i, " ".join(f"u{i}x{j}@a.org" for j in range(2000))) for i in range(4)], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    small = surrogates.replace(docs)
+    monkeypatch.setattr(surrogates, "BROADCAST_BYTES", 100_000)
+    large = surrogates.replace(docs)
+    assert "strategy=broadcast" in plan(small) and "strategy=broadcast" not in plan(large)
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))

@@ -41,6 +41,8 @@ TOO_MANY, SPARE = 0.05, 0.01
 #: Numbers in one block of distances.
 BLOCK = 1 << 21
 SAFE = 1e-9
+#: What every part carries from round to round: its closest entries, their lower bounds, the bound of all others.
+LISTS = {"near": np.int16, "low": np.float32, "outer": np.float32}
 
 
 @dataclass(frozen=True)
@@ -113,13 +115,27 @@ def next_lists(
     return near, low, outer, best, need
 
 
-def _matrix(column: pa.Array, width: int, kind) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), width)
+def _numbers(column: pa.Array, kind) -> np.ndarray:
+    """The numbers of a column of lists or of packed rows of one length, as a matrix."""
+    if pa.types.is_binary(column.type):
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind)
+    else:
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    return flat.reshape(len(column), len(flat) // max(len(column), 1))
 
 
-def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+def _packed(values: np.ndarray) -> pa.Array:
+    """A matrix as rows of bytes, which neither Spark nor the file format takes apart."""
+    n = len(values)
+    values = np.ascontiguousarray(values).reshape(n, -1)
+    offsets = np.arange(n + 1, dtype=np.int32) * (values.shape[1] * values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _lists(values: np.ndarray) -> pa.Array:
     offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1), kind))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1), pa.int64()))
 
 
 def _stepper(r: Round, last: bool):
@@ -132,14 +148,13 @@ def _stepper(r: Round, last: bool):
             for start in range(0, whole.num_rows, block):
                 b = whole.slice(start, block)
                 n = b.num_rows
-                x = _matrix(b.column("v"), n_parts * size, np.int64).reshape(n * n_parts, size)
+                plain = _numbers(b.column("v"), np.int32)
+                x = plain.astype(np.int64).reshape(n * n_parts, size)
                 of = np.tile(np.arange(n_parts), n)
                 if "near" in b.schema.names:
-                    near = b.column("near")
-                    kept = len(near.flatten()) // (n * n_parts)
-                    near = _matrix(near, n_parts * kept, np.int32).reshape(-1, kept)
-                    low = _matrix(b.column("low"), n_parts * kept, np.float64).reshape(-1, kept)
-                    outer = _matrix(b.column("outer"), n_parts, np.float64).reshape(-1)
+                    near, low, outer = (_numbers(b.column(c), k) for c, k in LISTS.items())
+                    near, low, outer = (a.reshape(n * n_parts, -1) for a in (near, low, outer))
+                    near, low, outer = near.astype(np.int32), low.astype(np.float64), outer[:, 0].astype(np.float64)
                     near, low, outer, d, need = next_lists(x, of, near, low, outer, r)
                 else:
                     near, low, outer, d = first_lists(x, of, r)
@@ -149,11 +164,9 @@ def _stepper(r: Round, last: bool):
                     code = [bytes(c.tolist()).hex() for c in near[:, 0].reshape(n, n_parts)]
                     more = {"code": pa.array(code, pa.string()), "error": pa.array(d.reshape(n, n_parts).sum(1), pa.int64())}
                 else:
-                    by_row = lambda a, kind: _lists(a.reshape(n, -1), kind)
-                    more = {
-                        "v": b.column("v"), "near": by_row(near, pa.int32()), "low": by_row(low, pa.float32()),
-                        "outer": by_row(outer, pa.float32()), "need": by_row(need, pa.int32()),
-                    }
+                    lists = zip(LISTS.items(), (near, low, outer))
+                    more = {"v": _packed(plain), "need": _packed(need.astype(np.int16).reshape(n, -1))}
+                    more |= {c: _packed(a.astype(kind).reshape(n, -1)) for (c, kind), a in lists}
                 yield pa.RecordBatch.from_arrays([*same, *more.values()], ["vec_id", "label", *more])
 
     return run
@@ -169,14 +182,14 @@ def _adder(n_parts: int, n_entries: int, size: int, keep: int):
             n = b.num_rows
             if not n:
                 continue
-            x = _matrix(b.column("v"), n_parts * size, np.int64).reshape(n * n_parts, size)
-            entry = _matrix(b.column("near"), n_parts * keep, np.int64).reshape(-1, keep)[:, 0]
+            x = _numbers(b.column("v"), np.int32).astype(np.int64).reshape(n * n_parts, size)
+            entry = _numbers(b.column("near"), np.int16).reshape(n * n_parts, keep)[:, 0]
             slot = np.tile(np.arange(n_parts) * n_entries, n) + entry
             counts += np.bincount(slot, minlength=len(counts))
             order = np.argsort(slot, kind="stable")
             at, begin = np.unique(slot[order], return_index=True)
             sums[at] += np.add.reduceat(x[order], begin, axis=0)
-            need = b.column("need").flatten().to_numpy(zero_copy_only=False)
+            need = _numbers(b.column("need"), np.int16).reshape(-1)
             needs += np.bincount(need[need >= 0], minlength=len(needs))
         part = np.repeat(np.arange(n_parts), n_entries)
         entry = np.tile(np.arange(n_entries), n_parts)
@@ -185,7 +198,7 @@ def _adder(n_parts: int, n_entries: int, size: int, keep: int):
             [
                 pa.array(np.concatenate([part, np.full(n_entries + 1, -1)]), pa.int32()),
                 pa.array(np.concatenate([entry, np.arange(n_entries + 1)]), pa.int32()), pa.array(rows, pa.int64()),
-                _lists(np.concatenate([sums, np.zeros((n_entries + 1, size), np.int64)]), pa.int64()),
+                _lists(np.concatenate([sums, np.zeros((n_entries + 1, size), np.int64)])),
             ],
             ["part", "entry", "n", "sums"],
         )
@@ -241,7 +254,7 @@ def compress(
     entries = len(start)
     now = Round(books, np.zeros(books.shape[:2]), min(entries, max(2, entries // 4)))
     turn = [scratch_path(spark, "codes"), scratch_path(spark, "codes")]
-    state = f"{same}, v array<int>, near array<int>, low array<float>, outer array<float>, need array<int>"
+    state = f"{same}, v binary, need binary, " + ", ".join(f"{c} binary" for c in LISTS)
     for k in range(rounds):
         rows.mapInArrow(_stepper(now, False), state).write.mode("overwrite").parquet(turn[k % 2])
         rows = spark.read.schema(state).parquet(turn[k % 2])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmarrow.functions.columns import is_truthy_label, micros
 from flowmarrow.operators import ordered
-from flowmarrow.operators.ordered import salted_pair, with_ordinal
+from flowmarrow.operators.ordered import with_ordinal
 from flowmarrow.schemas import CONN_COLUMNS, renamed
 from flowmarrow.session import frozen
 
@@ -29,7 +29,10 @@ UNSW_RENAMES = {
 # Column names that hold a label.
 LABEL_CANDIDATES = ["label", "class", "attack_cat"]
 TRUTH_CANDIDATES = ["label", "Label", "y", "attack", "attack_cat"]
-MAX_RESOLVED_INTERVALS = 5_000
+#: Blocks of 2 to this power of places and more count as long.
+LONG_BLOCK = 10
+CELL_SEGMENTS, CELL_PARTS = 64, 64
+BROADCAST_CHARS = 4_000_000
 
 
 def label_by_folder(df: DataFrame, folder: str = "folder") -> DataFrame:
@@ -111,135 +114,145 @@ def truth_column(df: DataFrame) -> DataFrame:
     return df.withColumn("y", is_truthy_label(found))
 
 
-def _pieces(intervals: DataFrame, width: int, keys: list[str]) -> DataFrame:
-    """Intervals [s, e] in microseconds, one row per time slot of ``width`` they touch."""
-    slots = F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))
-    return intervals.select(*keys, "s", "e", "idx", "attack_type", F.explode(slots).alias("slot"))
+def _prepared(attacks: DataFrame, match_hosts: bool) -> DataFrame:
+    """Intervals in microseconds with an id, one for each way a row can meet them: (side, host, w, s, e, iid).
 
-
-def _disjoint(intervals: DataFrame, width: int, keys: list[str]) -> DataFrame:
-    """Overlapping intervals as disjoint ones; where several cover a point the last wins.
-
-    Only used on a checked number of intervals. Points meet intervals on their time slot.
+    Side 0 is any row; sides 1 and 2 are rows whose origin or responder is ``host``. Rows with an unusable interval are dropped.
     """
-    points = intervals.select(*keys, F.explode(F.array("s", F.col("e") + 1)).alias("p")).distinct()
-    by_point = Window.partitionBy(*keys).orderBy("p") if keys else Window.orderBy("p")
-    segments = points.withColumn("until", F.lead("p").over(by_point) - 1).filter("until IS NOT NULL")
-    slotted = segments.withColumn("slot", F.floor(F.col("p") / width))
-    return (
-        slotted.join(_pieces(intervals, width, keys), ["slot", *keys])
-        .filter(F.col("p").between(F.col("s"), F.col("e")))
-        .groupBy(*keys, "p", "until")
-        .agg(F.max(F.struct("idx", "attack_type")).alias("w"))
-        .select(*keys, F.col("p").alias("s"), F.col("until").alias("e"), "w.idx", "w.attack_type")
-    )
-
-
-def _prepared(attacks: DataFrame) -> DataFrame:
-    """Interval rows with microsecond bounds; rows with an unusable interval are dropped."""
-    ip = [c for c in ("source_ip", "target_ip") if c in attacks.columns]
-    return attacks.select(
-        *ip,
-        "attack_type",
-        F.col("interval_idx").alias("idx"),
+    any_row = F.struct(F.lit(0).alias("side"), F.lit("").alias("host"))
+    ways = F.array(any_row)
+    if match_hosts:
+        by_host = F.array(
+            F.struct(F.lit(1).alias("side"), F.col("source_ip").alias("host")),
+            F.struct(F.lit(2).alias("side"), F.col("target_ip").alias("host")),
+        )
+        ways = F.when(F.col("source_ip").isNull(), ways).otherwise(F.filter(by_host, lambda x: x["host"].isNotNull()))
+    rows = attacks.select(
+        F.explode(ways).alias("x"),
+        F.struct(F.col("interval_idx").alias("idx"), "attack_type").alias("w"),
         micros("start_time").alias("s"),
         micros("end_time").alias("e"),
     ).filter("s <= e")
+    return frozen(rows.select("x.*", "w", "s", "e", F.monotonically_increasing_id().alias("iid")), "intervals")
+
+
+#: Intervals compete where these agree.
+SIDE = ["side", "host"]
 
 
-def _slot_width(intervals: DataFrame) -> tuple[int, int]:
-    """Number of intervals and a slot width that at most multiplies them by five or so."""
-    seen = intervals.agg(F.count("*").alias("n"), F.sum(F.col("e") - F.col("s") + 1).alias("t")).first()
-    n = seen["n"]
-    return n, max(1, (seen["t"] or 0) // (4 * max(n, 1)) + 1)
-
-
-def _winner(
-    df: DataFrame, intervals: DataFrame, keys: dict[str, str], width: int, name: str
-) -> DataFrame:
-    """Add the winning interval per row as a struct; a broadcast equi-join on the time slot."""
-    own = list(keys.values())
-    pieces = _pieces(_disjoint(intervals, width, own), width, own)
-    right = pieces.select(
-        F.col("slot").alias("_slot"),
-        F.col("s").alias("_s"),
-        F.col("e").alias("_e"),
-        F.struct("idx", "attack_type").alias(name),
-        *[F.col(k).alias(f"_k_{k}") for k in own],
+def _disjoint(intervals: DataFrame) -> DataFrame:
+    """Overlapping intervals as disjoint segments [s, e] with the interval that wins there, the last of the log.
+
+    All end points of all hosts are numbered by one range-partitioned sort, so an interval is a span of places. Spans are cut
+    into aligned blocks whose lengths are powers of two (at most two of each length), and every block keeps its winner: a
+    plain aggregation. Long blocks hand theirs to the pieces of the line they cover whole, where it is the offset of all
+    intervals open from border to border; short ones hand theirs to their places. The rows on the way grow with the log and
+    the logarithm of its size, however the intervals overlap.
+    """
+    ends = F.array(F.col("s"), F.col("e") + 1)
+    points = with_ordinal(intervals.select(*SIDE, "iid", "w", F.explode(ends).alias("p")), [*SIDE, "p", "iid"], "pos")
+    spans = points.groupBy("iid").agg(F.min("pos").alias("l"), F.max("pos").alias("r"), F.any_value("w").alias("w"))
+    levels = max(1, points.count().bit_length())
+    first, last = "shiftright(l + shiftleft(1L, k) - 1, k)", "shiftright(r, k)"
+    blocks = F.expr(
+        f"""flatten(transform(sequence(0, {levels}), k -> filter(
+          array(named_struct('level', k, 'nr', {first}, 'own', {first} < {last} AND {first} % 2 = 1),
+                named_struct('level', k, 'nr', {last} - 1, 'own', {first} < {last} AND {last} % 2 = 1)), x -> x.own)))"""
     )
-    cond = (F.col("_sl") == F.col("_slot")) & F.col("_t").between(F.col("_s"), F.col("_e"))
-    for mine, theirs in keys.items():
-        cond = cond & (F.col(mine) == F.col(f"_k_{theirs}"))
-    slotted = df.withColumn("_sl", F.floor(F.col("_t") / width))
-    return slotted.join(F.broadcast(right), cond, "left").drop(
-        "_sl", "_slot", "_s", "_e", *[f"_k_{k}" for k in own]
+    best = spans.select("w", F.explode(blocks).alias("b")).groupBy("b.level", "b.nr").agg(F.max("w").alias("w"))
+    best = frozen(best, "interval-blocks")
+
+    def handed(part: DataFrame, down: Column, name: str) -> DataFrame:
+        """The winners of blocks at the smaller blocks, 2 to the power of ``down`` of them, that each one covers."""
+        covered = F.sequence(F.call_function("shiftleft", "nr", down), F.call_function("shiftleft", F.col("nr") + 1, down) - 1)
+        return part.select("w", F.explode(covered).alias(name)).groupBy(name).agg(F.max("w").alias(f"w_{name}"))
+
+    at_place = handed(best.filter(F.col("level") < LONG_BLOCK), F.col("level"), "pos")
+    at_piece = handed(best.filter(F.col("level") >= LONG_BLOCK), F.col("level") - LONG_BLOCK, "piece")
+    following = points.select(
+        (F.col("pos") - 1).alias("pos"), (F.col("p") - 1).alias("e"), *[F.col(k).alias(f"next_{k}") for k in SIDE]
     )
+    segments = points.withColumnRenamed("p", "s").join(following, "pos")
+    segments = segments.filter("s <= e AND side = next_side AND host = next_host")
+    segments = segments.select(*SIDE, "s", "e", "pos", F.shiftright("pos", LONG_BLOCK).alias("piece"))
+    won = segments.join(at_place, "pos", "left").join(at_piece, "piece", "left")
+    won = won.select(*SIDE, "s", "e", F.greatest("w_pos", "w_piece").alias("w")).filter("w IS NOT NULL")
+    return frozen(won, "segments")
+
+
+def _cell_width(segments: DataFrame) -> int:
+    """A width of time cells that multiplies the segments by five or so at most."""
+    seen = segments.agg(F.count("*").alias("n"), F.sum((F.col("e") - F.col("s") + 1).cast("double")).alias("t")).first()
+    return max(1, int((seen["t"] or 0) // (4 * max(seen["n"], 1))) + 1)
 
 
-def _lookups(attacks: DataFrame, match_hosts: bool) -> list[tuple[DataFrame, dict[str, str]]]:
-    """The interval sets to look up, each with its host equality (row column to log column)."""
-    if not match_hosts:
-        return [(attacks, {})]
-    named = attacks.filter("source_ip IS NOT NULL")
-    return [
-        (attacks.filter("source_ip IS NULL"), {}),
-        (named, {"orig_h": "source_ip"}),
-        (named.filter("target_ip IS NOT NULL"), {"resp_h": "target_ip"}),
-    ]
-
-
-def label_by_intervals(
-    df: DataFrame,
-    attacks: DataFrame,
-    ts: str = "ts",
-    row_id: str = "conn_id",
-    match_hosts: bool = False,
-    max_resolved: int = MAX_RESOLVED_INTERVALS,
-) -> DataFrame:
+def _cells(segments: DataFrame) -> list[tuple[int, DataFrame]]:
+    """Time cells with the few segments that lie in each, as written tables (side, host, cell, inside) by cell width.
+
+    A cell that more than ``CELL_SEGMENTS`` segments touch is divided into ``CELL_PARTS`` narrower ones, so a time at which a
+    great many intervals begin or end gets cells of its own; at one microsecond a cell has one segment.
+    """
+    width = _cell_width(segments)
+    touched = lambda w: F.explode(F.sequence(F.floor(F.col("s") / w), F.floor(F.col("e") / w)))
+    pieces = segments.withColumn("cell", touched(width))
+    cell, found = [*SIDE, "cell"], []
+    while True:
+        counts = pieces.groupBy(*cell).agg(F.count("*").alias("n"))
+        crowded = frozen(counts.filter(F.col("n") > (CELL_SEGMENTS if width > 1 else 1)).select(*cell), "crowded-cells")
+        done = crowded.isEmpty()
+        calm = pieces if done else pieces.join(crowded, cell, "left_anti")
+        packed = calm.groupBy(*cell).agg(F.collect_list(F.struct("s", "e", "w")).alias("inside"))
+        found.append((width, frozen(packed, "cells")))
+        if done:
+            return found
+        start, narrow = F.col("cell") * width, max(1, width // CELL_PARTS)
+        cut = pieces.join(crowded, cell, "left_semi").withColumns(
+            {"s": F.greatest("s", start), "e": F.least("e", start + width - 1)}
+        )
+        pieces, width = frozen(cut.drop("cell").withColumn("cell", touched(narrow)), "cells"), narrow
+
+
+def _small_cells(cells: DataFrame) -> bool:
+    """Whether cells are proven small enough to broadcast, by their segments and the length of their texts."""
+    names = F.aggregate("inside", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.length(x["w"]["attack_type"]), F.lit(0)))
+    seen = cells.agg(F.sum(F.size("inside")).alias("n"), F.sum(F.length("host") + names).alias("chars")).first()
+    return (seen["n"] or 0) <= ordered.BROADCAST_ROWS and (seen["chars"] or 0) <= BROADCAST_CHARS
+
+
+def label_by_intervals(df: DataFrame, attacks: DataFrame, ts: str = "ts", match_hosts: bool = False) -> DataFrame:
     """Label rows inside a closed attack interval; the last interval of the log wins.
 
     ``attacks`` carries ``interval_idx``, its order in the log. With ``match_hosts`` an interval
     that names a source also needs ``orig_h = source_ip`` or ``resp_h = target_ip``.
 
-    A log of at most ``max_resolved`` rows is resolved into disjoint intervals first: each row
-    then meets at most one, in a broadcast join without any shuffle of the rows. A larger log
-    is joined on time slots, busy slots salted, and reduced to the winner per row.
+    A log of any length is made disjoint first and put into time cells. A row meets one cell of each width (almost always
+    there is one width) for any row, for its origin and for its responder, in equi-joins: broadcasts when the cells are
+    checked to be small, so that the rows do not move, else shuffles that Spark splits where they are skewed.
     """
-    intervals = _prepared(attacks)
-    n, width = _slot_width(intervals)
-    timed = df.withColumn("_t", micros(ts))
-    lookups = _lookups(intervals, match_hosts)
-    if n <= max_resolved:
-        for i, (log, keys) in enumerate(lookups):
-            timed = _winner(timed, log, keys, width, f"_w{i}")
-        found = [F.col(f"_w{i}") for i in range(len(lookups))]
-        best = F.greatest(*found) if len(found) > 1 else found[0]
-        labelled = timed.withColumn("_w", best)
-    else:
-        hosts = ["orig_h", "resp_h"] if match_hosts else []
-        slotted = timed.select(row_id, "_t", *hosts, F.floor(F.col("_t") / width).alias("slot"))
-        counts = slotted.filter("slot IS NOT NULL").groupBy("slot").agg(F.count("*").alias("_n"))
-        busy = frozen(counts, "slots")
-        hits = None
-        for log, keys in lookups:
-            pieces = _pieces(log, width, list(keys.values()))
-            left, right = salted_pair(slotted, pieces, busy, ["slot"], "_n", [row_id])
-            for mine, theirs in keys.items():
-                right = right.withColumnRenamed(theirs, mine)
-            joined = left.join(right, ["slot", "_salt", *keys])
-            part = joined.filter(F.col("_t").between(F.col("s"), F.col("e"))).select(
-                row_id, F.struct("idx", "attack_type").alias("w")
-            )
-            hits = part if hits is None else hits.unionByName(part)
-        winners = hits.groupBy(row_id).agg(F.max("w").alias("_w"))
-        labelled = timed.join(winners, row_id, "left")
+    rows = df.withColumn("_t", micros(ts))
+    covers = lambda x: F.col("_t").between(x["s"], x["e"])
+    found = []
+    for width, cells in _cells(_disjoint(_prepared(attacks, match_hosts))):
+        near = F.broadcast if _small_cells(cells) else lambda x: x
+        for side, host in enumerate([None, "orig_h", "resp_h"] if match_hosts else [None]):
+            own = cells.filter(F.col("side") == side)
+            name = f"_w{len(found)}"
+            right = own.select(F.col("cell").alias("_cell"), F.col("host").alias("_host"), F.col("inside").alias(name))
+            met = F.floor(F.col("_t") / width) == F.col("_cell")
+            if host:
+                met = met & (F.col(host) == F.col("_host"))
+            rows = rows.join(near(right), met, "left").drop("_cell", "_host")
+            rows = rows.withColumn(name, F.get(F.filter(name, covers), F.lit(0))["w"])
+            found.append(name)
+    won = F.greatest(*found) if len(found) > 1 else F.col(found[0])
     normal = F.lit("normal")
+    labelled = rows.withColumn("_w", won)
     return labelled.withColumns(
         {
             "label": F.when(F.col("_w").isNotNull(), "anomaly").otherwise(normal),
             "attack_type": F.coalesce(F.col("_w.attack_type"), normal),
         }
-    ).drop("_w", "_t", *[f"_w{i}" for i in range(len(lookups))])
+    ).drop("_w", "_t", *found)
 
 
 def all_normal(df: DataFrame) -> DataFrame:

@@ -56,11 +56,30 @@ def interval_ip_label(spark, sf_dir):
     return done.select("conn_id", "label", "attack_type")
 
 
-@query(INTERVAL_SQL.format(conn=CONN, attacks=ATTACKS_SQL, extra=HOSTS_SQL))
+LONG_LOG_SQL = """attacks AS (SELECT conn_id AS idx, attack_type || '-' || conn_id % 10 AS attack,
+    CASE WHEN conn_id % 7 > 0 THEN orig_h END AS source_ip, CASE WHEN conn_id % 3 > 0 THEN resp_h END AS target_ip,
+    ts AS s, ts + INTERVAL 1 SECOND * CAST(orig_bytes % 86400 AS BIGINT) AS e FROM conn WHERE label = 'anomaly')"""
+
+
+def long_attack_log(df):
+    """Every anomalous connection opens an interval of up to a day: a fifth of the rows, many of them open at a time."""
+    name = F.concat_ws("-", "attack_type", F.col("conn_id") % 10)
+    return df.filter("label = 'anomaly'").select(
+        F.col("conn_id").alias("interval_idx"),
+        name.alias("attack_type"),
+        F.when(F.col("conn_id") % 7 > 0, F.col("orig_h")).alias("source_ip"),
+        F.when(F.col("conn_id") % 3 > 0, F.col("resp_h")).alias("target_ip"),
+        F.col("ts").alias("start_time"),
+        (F.col("ts") + F.make_dt_interval(secs=F.col("orig_bytes") % 86400)).alias("end_time"),
+    )
+
+
+@query(INTERVAL_SQL.format(conn=CONN, attacks=LONG_LOG_SQL, extra=HOSTS_SQL))
 def interval_label_large_log(spark, sf_dir):
-    """The slot join that takes over when the log is too long to resolve first."""
-    rows = conn(spark, sf_dir).select("conn_id", "ts", "orig_h", "resp_h")
-    done = lb.label_by_intervals(rows, attack_log(spark), match_hosts=True, max_resolved=0)
+    """An attack log that grows with the connections."""
+    df = conn(spark, sf_dir)
+    rows = df.select("conn_id", "ts", "orig_h", "resp_h")
+    done = lb.label_by_intervals(rows, long_attack_log(df), match_hosts=True)
     return done.select("conn_id", "label", "attack_type")
 
 

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from flowmarrow.operators import flows as fl
 from flowmarrow.plans.registry import query
 from flowmarrow.plans.tables import CONN, packets, r6
-from flowmarrow.schemas import FEATURES, WINDOW_FEATURES
+from flowmarrow.schemas import FEATURES, PACKET_SCHEMA, WINDOW_FEATURES
+from flowmarrow.session import scratch_path
+from flowmarrow.sources import captures
 
 KEY = "orig_h, orig_p, resp_h, resp_p, proto"
 
@@ -125,3 +127,27 @@ def oldest_flows(spark, sf_dir):
     """The oldest tenth of the open flows, which a full flow table gives up first."""
     flows = fl.assemble_flows(packets(spark, sf_dir), timeout=60.0)
     return fl.oldest_tenth(flows).select("orig_h", "orig_p", "resp_h", "resp_p", "proto", "ts_end")
+
+
+@query(
+    f"""WITH {CONN} SELECT ts, '10.1.' || (conn_id // 200 % 200) || '.' || (conn_id % 200) AS src_ip,
+      CASE WHEN proto = 'icmp' THEN 0 ELSE orig_p END AS sport, '10.2.0.' || length(resp_h) AS dst_ip,
+      CASE WHEN proto = 'icmp' THEN 0 ELSE resp_p END AS dport, proto,
+      CASE WHEN proto = 'tcp' THEN tcp_flags END AS tcp_flags, length + 60 AS length FROM conn"""
+)
+def capture_packets(spark, sf_dir):
+    """All packets written as capture files and read back, every file in many ranges of bytes."""
+    part = lambda c, below: (F.floor(c) % below).cast("string")
+    rows = packets(spark, sf_dir).withColumns(
+        {
+            "ts": F.col("ts").cast("timestamp"),
+            "src_ip": F.concat(F.lit("10.1."), part(F.col("conn_id") / 200, 200), F.lit("."), part(F.col("conn_id"), 200)),
+            "dst_ip": F.concat(F.lit("10.2.0."), F.length("dst_ip").cast("string")),
+            "length": F.col("length") + 60,
+        }
+    )
+    path = scratch_path(spark, "captures")
+    cells = [F.col(f.name).cast(f.dataType).alias(f.name) for f in PACKET_SCHEMA.fields]
+    captures.write_packets(rows.repartition(3, "conn_id").select(*cells), path)
+    back = captures.read_packets(spark, path, range_bytes=1 << 16)
+    return back.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "src_ip", "sport", "dst_ip", "dport", "proto", "tcp_flags", "length")

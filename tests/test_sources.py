@@ -2,10 +2,12 @@ import datetime as dt
 import socket
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import Observation
 
 from flowmarrow.operators.flows import assemble_flows
+from flowmarrow.schemas import PACKET_SCHEMA
 from flowmarrow.sources import captures, readers, writers
 
 CONN_LINE = "1704067207.179575\tC1\t10.0.0.1\t5353\t10.0.0.2\t80\ttcp\t-\t-\t100\t200\tSF\tT\tF\t0\tShAD\t5\t300\t10\t400\t(empty)"
@@ -149,6 +151,64 @@ def test_broken_capture(spark, tmp_path):
         captures.read_packets(spark, str(tmp_path)).count()
 
 
+def many_frames(n, seed=0):
+    """Frames of all kinds, among them packets that carry a whole capture."""
+    rng = np.random.default_rng(seed)
+    tcp = lambda body: bytes(12) + b"\x08\x00" + struct.pack("!BBHHHBBH4s4s", 0x45, 0, 40 + len(body), 0, 0, 64, 6, 0, bytes([10, 0, 0, 1]), bytes([10, 0, 0, 2])) + struct.pack("!HHIIBBHHH", 1, 2, 0, 0, 0x50, 2, 0, 0, 0) + body
+    inner = capture([(1_700_000_000.0 + i, tcp(b"x" * 5)) for i in range(8)])[24:]
+    bodies = [b"", bytes(30), inner, rng.bytes(900), bytes(1200)]
+    frames = []
+    for i in range(n):
+        kind = i % 7
+        frame = rng.bytes(int(rng.integers(1, 60))) if kind == 0 else tcp(bodies[int(rng.integers(0, 5))])
+        frames.append((1_700_000_000.0 + i / 10, frame))
+    return frames
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("tail", [b"", b"\0" * 9, struct.pack("<IIII", 1_700_000_500, 1, 900, 900) + b"short"])
+def test_captures_by_byte_ranges(spark, tmp_path, order, tail):
+    """Every cut gives the packets of the whole file, once each."""
+    if order == ">" and len(tail) > 9:
+        tail = struct.pack(">IIII", 1_700_000_500, 1, 900, 900) + b"short"
+    content = capture(many_frames(300), order) + tail
+    (tmp_path / "a.pcap").write_bytes(content)
+    whole = [tuple(r) for r in captures.read_packets(spark, str(tmp_path)).collect()]
+    assert len(whole) == 300
+    reader = lambda step: captures.CaptureReader(str(tmp_path), step)
+    expected = pa_rows(reader(1 << 30))
+    for step in (900, 7777, 50_000):
+        assert len(reader(step).partitions()) == -(-len(content) // step)
+        assert pa_rows(reader(step)) == expected
+    assert sorted(map(str, captures.read_packets(spark, str(tmp_path), 5000).collect())) == sorted(str(r) for r in captures.read_packets(spark, str(tmp_path)).collect())
+
+
+def pa_rows(reader):
+    return [tuple(r.values()) for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+
+
+def test_a_cut_that_cannot_be_proven_fails(tmp_path):
+    """A clock that jumps by decades looks like no record; the neighbouring task notices that one was passed over."""
+    frames = [(1_700_000_000.0 + i, b"" if i % 3 == 0 else b"y" * 400) for i in range(900)]
+    (tmp_path / "a.pcap").write_bytes(capture(frames))
+    reader = lambda step: captures.CaptureReader(str(tmp_path), step)
+    assert len(pa_rows(reader(1 << 30))) == 900 and pa_rows(reader(20_011)) == pa_rows(reader(1 << 30))
+    frames = [(1.0 if i % 100 == 0 and i else t, f) for i, (t, f) in enumerate(frames)]
+    (tmp_path / "a.pcap").write_bytes(capture(frames))
+    assert len(pa_rows(reader(1 << 30))) == 900
+    with pytest.raises(ValueError, match="cannot be cut"):
+        pa_rows(reader(20_011))
+
+
+def test_written_captures(spark, tmp_path):
+    rows = [(dt.datetime(2024, 1, 1, 0, 0, i, 5), "1.2.3.4", i, "5.6.7.8", 80, "tcp" if i % 2 else "udp", 60 + i, i if i % 2 else None, True) for i in range(50)]
+    rows += [(dt.datetime(2024, 1, 1), None, None, None, None, "other", 20, None, False), (dt.datetime(2024, 1, 1), "9.9.9.9", 0, "8.8.8.8", 0, "icmp", 98, None, True)]
+    captures.write_packets(spark.createDataFrame(rows, PACKET_SCHEMA).repartition(2), f"{tmp_path}/out")
+    back = captures.read_packets(spark, f"{tmp_path}/out", 500).collect()
+    assert sorted(map(str, map(tuple, back))) == sorted(map(str, rows))
+    assert len(list((tmp_path / "out").glob("*.pcap"))) == 2 and not list((tmp_path / "out").glob("*.open"))
+
+
 def test_logs_with_different_columns_are_refused(spark, tmp_path):
     for name, fields in (("a.log", "uid\tproto"), ("b.log", "proto\tuid")):
         (tmp_path / name).write_text(f"#separator \\x09\n#fields\t{fields}\nx\ty\n")

@@ -1,13 +1,14 @@
 """Streaming queries: the given events replayed as a file stream, compared with the batch result."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from flowmarrow.plans import alert_queries, drift_queries, flow_queries
 from flowmarrow.plans.registry import SQL_CHECKS, query
 from flowmarrow.plans.tables import CONN, conn, conn_of, packets_of, r6, table
 from flowmarrow.schemas import WINDOW_FEATURES
-from flowmarrow.session import scratch_path
-from flowmarrow.streaming import live
+from flowmarrow.session import frozen, scratch_path
+from flowmarrow.streaming import keyed, live, tail
 
 
 def event_stream(spark, sf_dir):
@@ -29,12 +30,27 @@ def stream_flows(spark, sf_dir):
     return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts_start", "ts_end")})
 
 
-@query(SQL_CHECKS["packet_window_stats_5s"])
+#: A score of a window between 0 and 1: many packets, large ones, many connection requests.
+WINDOW_SCORE = "least(1.0, 0.2 * ln(1 + {n}) + 0.3 * {top} / 1000.0 + 0.5 * {syn})"
+
+
+def window_score(rows):
+    cells = WINDOW_SCORE.format(n="total_packets", top="max_size", syn="syn_ratio")
+    return rows.withColumn("score", F.expr(cells).cast("double"))
+
+
+@query(
+    f"""WITH w AS ({SQL_CHECKS["packet_window_stats_5s"]}), s AS (SELECT *,
+      {WINDOW_SCORE.format(n='CAST(total_packets AS DOUBLE)', top='max_size', syn='syn_ratio')} AS raw FROM w)
+    SELECT * EXCLUDE (raw), round(raw, 6) AS score,
+      CASE WHEN raw < 0.3 THEN 'normal' WHEN raw < 0.7 THEN 'suspicious' ELSE 'anomalous' END AS band FROM s"""
+)
 def stream_windows(spark, sf_dir):
+    """Every packet window with its statistics, its score and its band, in one stream."""
     stats = live.stream_window_stats(packet_stream(spark, sf_dir)).filter("total_bytes >= 0")
-    done = live.run_available(stats, "windows")
+    done = live.run_available(keyed.scored_windows(stats, window_score), "windows")
     cells = [flow_queries._cell(c) for c in WINDOW_FEATURES]
-    return done.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), *cells)
+    return done.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), *cells, r6("score").alias("score"), "band")
 
 
 @query(
@@ -63,14 +79,62 @@ def stream_drift(spark, sf_dir):
     return live.read_batches(spark, out).select("method", r6("statistic").alias("statistic"), "drift_detected")
 
 
-@query(f"WITH {alert_queries.EXPLAINED} SELECT conn_id, priority_score FROM pr WHERE priority_score >= 50")
+@query(
+    f"""WITH {alert_queries.EXPLAINED}, o AS (SELECT *, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, conn_id) AS nr,
+        count(*) OVER (PARTITION BY date_trunc('hour', ts)) AS n FROM pr WHERE priority_score >= 30),
+      r AS (SELECT *, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY priority_score DESC, conn_id) AS rk FROM o WHERE nr > 3)
+    SELECT conn_id, priority_score, CAST(0 AS BIGINT) AS suppressed FROM o WHERE nr <= 3
+    UNION ALL SELECT conn_id, priority_score, greatest(n - 5, 0) AS suppressed FROM r WHERE rk <= 2"""
+)
 def stream_rate_limit(spark, sf_dir):
-    rows = alert_queries.explained(spark, sf_dir).select("conn_id", "ts", "priority_score")
-    feed, out = scratch_path(spark, "alerts"), scratch_path(spark, "accepted")
-    rows.write.parquet(feed)
-    alerts = spark.readStream.schema(rows.schema).parquet(feed)
-    live.rate_limited_alerts(alerts, out, availableNow=True).awaitTermination()
-    return live.read_batches(spark, out).select("conn_id", "priority_score")
+    """All alerts in four batches, cut inside an hour: three of an hour pass at once, two more when it is over."""
+    rows = alert_queries.explained(spark, sf_dir).select("conn_id", F.col("ts").cast("timestamp").alias("ts"), "priority_score")
+    rows = frozen(rows, "alerts")
+    ends = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    feed, step = scratch_path(spark, "alerts"), (ends["b"] - ends["a"]) / 4
+    for k in range(4):
+        start = ends["a"] + k * step
+        part = rows.filter(F.col("ts") >= start) if k else rows
+        part = part.filter(F.col("ts") < start + step) if k < 3 else part
+        part.coalesce(1).write.mode("append").parquet(feed)
+    # nothing follows the last hour, so a row without an id ends it
+    late = rows.sparkSession.range(1).select(
+        F.lit(None).cast("long").alias("conn_id"), (F.lit(ends["b"]) + F.expr("INTERVAL 2 HOURS")).alias("ts"), F.lit(0).alias("priority_score")
+    )
+    late.select([F.col(f.name).cast(f.dataType) for f in rows.schema.fields]).write.mode("append").parquet(feed)
+    alerts = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    limited = keyed.limited_alerts(alerts, min_priority=30, max_per_hour=3, keep=2)
+    return live.run_available(limited, "accepted").select("conn_id", "priority_score", "suppressed")
+
+
+@query(f"WITH {CONN} SELECT conn_id, orig_h, duration, orig_bytes FROM conn")
+def stream_growing_csv(spark, sf_dir):
+    """All connections appended to four CSV files in three rounds; the stream is restarted after every round."""
+    base = conn(spark, sf_dir).select("conn_id", "orig_h", "duration", "orig_bytes")
+    folder, out, state = (scratch_path(spark, x) for x in ("growing", "tailed", "tailed-state"))
+    schema = base.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    lines = base.withColumns({"part": F.pmod(F.xxhash64("conn_id"), F.lit(4)).cast("int"), "round": F.pmod(F.hash("conn_id"), F.lit(3))})
+    lines = lines.select("part", "round", F.to_csv(F.struct(*base.columns)).alias("line"))
+    for k in range(3):
+        lines.filter(F.col("round") == k).groupBy("part").applyInArrow(append_lines(folder), "bytes long").count()
+        rows = tail.tail_growing_csv(spark, folder, schema, header=False, range_bytes=1 << 16)
+        done = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        done.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
+def append_lines(folder: str):
+    """A function that appends the lines of a part to its file."""
+
+    def run(lines):
+        fs, at = tail.place(folder)
+        fs.create_dir(at, recursive=True)
+        data = "".join(f"{x}\n" for x in lines.column("line").to_pylist()).encode()
+        with fs.open_append_stream(f"{at}/{lines.column('part')[0].as_py()}.csv") as out:
+            out.write(data)
+        return pa.table({"bytes": [len(data)]})
+
+    return run
 
 
 @query()

@@ -243,40 +243,7 @@ def drift_batches(rows: DataFrame, baseline: DataFrame, value: str, out: str, **
     return each_batch(rows, out, make, **trigger)
 
 
-def rate_limited_alerts(
-    alerts: DataFrame,
-    out: str,
-    ts: str = "ts",
-    min_priority: int = 50,
-    max_per_hour: int = 100,
-    keep: int = 10,
-    row_id: str = "conn_id",
-    **trigger,
-) -> StreamingQuery:
-    """Pass alerts of enough priority; after a full hour only the top ``keep`` of a batch.
-
-    The hour counts alerts that earlier batches accepted, up to the newest alert of this batch.
-    """
-    spark = alerts.sparkSession
-
-    def make(batch: DataFrame, batch_id: int) -> DataFrame | None:
-        enough = batch.filter(F.col("priority_score") >= min_priority)
-        now = enough.agg(F.max(ts).alias("t")).first()["t"]
-        if now is None:
-            return None
-        earlier = read_batches(spark, out, batch_id)
-        recent = 0
-        if earlier is not None:
-            hour = F.lit(now) - F.expr("INTERVAL 1 HOUR")
-            recent = earlier.filter(F.col(ts) > hour).count()
-        if recent >= max_per_hour:
-            enough = enough.orderBy(F.desc("priority_score"), row_id).limit(keep)
-        return enough
-
-    return each_batch(alerts, out, make, **trigger)
-
-
 def tail_csv(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """New CSV files of a folder as a stream; finished files are tracked by the checkpoint."""
+    """New CSV files of a folder as a stream; finished files are tracked by the checkpoint (``tail`` follows growing files)."""
     reader = spark.readStream.schema(schema).option("header", True)
     return reader.option("maxFilesPerTrigger", files_per_trigger).csv(path)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmarrow.operators.ordered import percentile_values
+from flowmarrow.operators.ordered import percentile_value
 from flowmarrow.operators.scaling import fit_scaler, scaled_array
 from flowmarrow.session import cached_spread
 
@@ -84,8 +84,7 @@ class Detector:
 
     def calibrate(self, scored: DataFrame, share: float) -> None:
         """Threshold at a percentile of the scores in ``scored``."""
-        found = percentile_values(scored, "score", [share])
-        self.threshold = found[0] if found else None
+        self.threshold = percentile_value(scored, "score", share)
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Parameters as JSON text, numbers as a parquet table (name, shape, chunk, values)."""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmarrow.operators.detectors.base import Detector, hash_draw, stacked
-from flowmarrow.operators.ordered import percentile_values
+from flowmarrow.operators.ordered import percentile_value
 
 NODE_SCHEMA = "tree int, node int, feature int, split double, low int, high int, depth double"
 
@@ -129,7 +129,7 @@ class IsolationForest(Detector):
         self.nodes = table.to_numpy(dtype=float)
         self.offset = 0.0
         scored = rows.select(self._score(F.col("x")).alias("score"))
-        self.offset = percentile_values(scored, "score", [1.0 - self.contamination])[0]
+        self.offset = percentile_value(scored, "score", 1.0 - self.contamination)
         self.threshold = 0.0
 
     def _score(self, x: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowmarrow.operators.detectors.base import Detector, hash_draw, stacked
 from flowmarrow.operators.detectors.training import averaged_training
-from flowmarrow.operators.ordered import percentile_values
+from flowmarrow.operators.ordered import percentile_value
 
 
 def kernel(kind: str, gamma: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,7 +109,7 @@ class OneClassSvm(Detector):
         self.rho = 0.0
         # the nu-property: a share nu of the training rows lies outside
         scored = rows.select(self._score(F.col("x")).alias("score"))
-        self.rho = -percentile_values(scored, "score", [1.0 - self.nu])[0]
+        self.rho = -percentile_value(scored, "score", 1.0 - self.nu)
         self.threshold = 0.0
 
     def _score(self, x: Column) -> Column:

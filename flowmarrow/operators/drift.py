@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,9 +150,32 @@ def psi_drift(
     )
 
 
-def performance_record(df: DataFrame, y: str = "y", pred: str = "prediction", score: str = "score") -> DataFrame:
-    """One monitoring record; the AUC is null when only one class occurs."""
-    return mt.binary_metrics(df, y, pred).withColumn("roc_auc", mt.roc_auc(df, y, score).scalar())
+def score_counts(df: DataFrame, by: list[str], y: str = "y", score: str = "score") -> DataFrame:
+    """(by, score, pos, neg): how often each score stands for either class in every period; rows without a score are left out.
+
+    Such tables add up: the AUC of any span follows from the sum of the tables of its periods.
+    """
+    rows = df.select(*by, F.col(y).cast("long").alias("y"), F.col(score).cast("double").alias("score")).filter("score IS NOT NULL")
+    return rows.groupBy(*by, "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+
+
+def auc_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, roc_auc) of added-up score counts; null where only one class occurs. Tied scores count half."""
+    added = frozen(counts.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "score-counts")
+    sums = prefix_sums(added, "score", ["pos", "neg"], by)
+    won = F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)
+    pairs = F.max("all_pos").cast("double") * F.max("all_neg")
+    return sums.groupBy(*by).agg(F.try_divide(F.sum(won), pairs).alias("roc_auc"))
+
+
+def performance_records(
+    df: DataFrame, by: list[str], y: str = "y", pred: str = "prediction", score: str = "score"
+) -> DataFrame:
+    """One monitoring record per period, with the AUC of its scores."""
+    auc = auc_of_counts(score_counts(df, by, y, score), by)
+    auc = auc.select(*[F.col(c).alias(f"_{c}") for c in by], "roc_auc")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return mt.binary_metrics(df, y, pred, by=by).join(auc, same, "left").drop(*[f"_{c}" for c in by])
 
 
 def degradation(records: DataFrame, baseline_f1: float, order: str, limit: float = 0.1) -> DataFrame:

@@ -7,6 +7,7 @@ with salt on the keys that hold more than a thousandth of the rows.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -15,27 +16,16 @@ from pyspark.sql import functions as F
 
 from flowmarrow.session import frozen
 
-MAX_RANGES = 1024
+#: Ranges whose totals are summed together.
+BLOCK = 1024
 HOT_SHARE = 1000
 BROADCAST_ROWS = 100_000
 BROADCAST_WIDTH = 1_000
 NARROW_ABOVE = 1_000
 ONE_RANGE = 100_000
 ONE_AGGREGATE = 1_000_000
-
-
-def range_bounds(df: DataFrame, key: str, ranges: int | None = None) -> list[float]:
-    """Split points that cut ``key`` into ranges of about equal row counts.
-
-    At most ``MAX_RANGES`` numbers reach the driver, whatever the size of the input.
-    Fixing them as literals keeps the ranges equal across plan branches and retries.
-    """
-    if ranges is None:
-        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(2, min(ranges, MAX_RANGES))
-    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    found = df.agg(F.percentile_approx(key, shares, 10000).alias("b")).first()["b"]
-    return sorted(set(found or []))
+#: Accuracy of the percentile sketch: ranks are off by at most a share of 1 / SKETCH.
+SKETCH = 10_000
 
 
 def with_range(df: DataFrame, key: str, bounds: list[float], name: str = "_range") -> DataFrame:
@@ -57,33 +47,48 @@ def value_table(df: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
     return frozen(present.groupBy(key).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), "values")
 
 
-def prefix_sums(table: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """Running ``cum_v`` and overall ``all_v`` over a table of distinct keys (``value_table``).
+def prefix_sums(
+    table: DataFrame, key: str, values: list[str], by: list[str] = (), range_rows: int | None = None, block: int | None = None
+) -> DataFrame:
+    """Running ``cum_v`` and overall ``all_v`` over a table of distinct keys (``value_table``), in every group of ``by``.
 
-    A table of few rows is one range, any other is cut into ranges of about equal size.
+    A table of few rows is one range; any other is cut into ranges of (by, key) of about ``range_rows`` rows, however many that
+    makes. Sums run inside a range, over the ranges of a block of ranges, and over the blocks, so no task sees more
+    than a range, a block of totals, or a total per block.
     """
-    if table.count() <= ONE_RANGE:
-        overall = Window.partitionBy(F.lit(1))
+    rows, by = table.count(), list(by)
+    range_rows, block = range_rows or ONE_RANGE, block or BLOCK
+    together = by or [F.lit(1)]
+    if rows <= range_rows:
+        overall = Window.partitionBy(*together)
         upto = overall.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
         running = {f"cum_{v}": F.sum(v).over(upto) for v in values}
         return table.withColumns({**running, **{f"all_{v}": F.sum(v).over(overall) for v in values}})
-    grouped = with_range(table, key, range_bounds(table, key))
-    per_range = grouped.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    # at most MAX_RANGES rows from here on, so an unpartitioned window is bounded
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    overall = Window.partitionBy(F.lit(1))
-    offsets = per_range.select(
-        "_range",
-        *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values],
-        *[F.sum(f"_t_{v}").over(overall).alias(f"all_{v}") for v in values],
-    )
-    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    running = grouped.withColumns({f"_c_{v}": F.sum(v).over(inside) for v in values})
-    return running.join(F.broadcast(offsets), "_range").select(
-        key,
-        *values,
-        *[(F.col(f"_c_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values],
-        *[f"all_{v}" for v in values],
+    ranges = table.repartitionByRange(-(-rows // max(range_rows, 1)), *by, key)
+    placed = frozen(ranges.withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy("_range", *by).agg(*[F.sum(v).alias(v) for v in values])
+    totals = frozen(totals.withColumn("_block", F.floor(F.col("_range") / block)), "range-totals")
+    before = lambda w, place: w.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    sum_over = lambda v, w: F.coalesce(F.sum(v).over(w), F.lit(0))
+    in_block = before(Window.partitionBy("_block", *by), "_range")
+    over_blocks = before(Window.partitionBy(*together), "_block")
+    blocks = totals.groupBy("_block", *by).agg(*[F.sum(v).alias(v) for v in values])
+    blocks = blocks.select(
+        F.col("_block").alias("_b"), *[F.col(c).alias(f"_b_{c}") for c in by],
+        *[sum_over(v, over_blocks).alias(f"_w_{v}") for v in values],
+        *[F.sum(v).over(Window.partitionBy(*together)).alias(f"all_{v}") for v in values],
+    )
+    same = lambda prefix: [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in by]
+    offsets = totals.withColumns({f"_i_{v}": sum_over(v, in_block) for v in values})
+    offsets = offsets.join(blocks, reduce(lambda a, b: a & b, [F.col("_block") == F.col("_b"), *same("_b_")])).select(
+        F.col("_range").alias("_r"), *[F.col(c).alias(f"_r_{c}") for c in by],
+        *[(F.col(f"_i_{v}") + F.col(f"_w_{v}")).alias(f"_o_{v}") for v in values], *[f"all_{v}" for v in values],
+    )
+    inside = Window.partitionBy("_range", *by).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    running = placed.withColumns({f"_c_{v}": F.sum(v).over(inside) for v in values})
+    met = running.join(offsets, reduce(lambda a, b: a & b, [F.col("_range") == F.col("_r"), *same("_r_")]))
+    return met.select(
+        *table.columns, *[(F.col(f"_c_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values], *[f"all_{v}" for v in values]
     )
 
 
@@ -172,6 +177,43 @@ def percentile_values(
     return [found[float(s)] for s in shares] if found else []
 
 
+def percentile_value(df: DataFrame, value: str, share: float, rows: int | None = None) -> float | None:
+    """The exact percentile with linear interpolation of a column, without moving its rows; null without values.
+
+    A mergeable sketch brackets the two sorted positions that count. One pass counts the rows below the bracket and
+    inside it; while that is many rows, the sketch is taken again inside. Only the values in the last bracket, counted
+    per task, are shuffled. A bracket that misses a position (the counts show it) is widened.
+    """
+    rows = ONE_AGGREGATE if rows is None else rows
+    held = df.select(F.col(value).cast("double").alias("value")).filter("value IS NOT NULL").persist()
+    try:
+        n = held.count()
+        if n == 0:
+            return None
+        low, high = math.floor(share * (n - 1)), math.ceil(share * (n - 1))
+        inside, below, count, margin = held, 0, n, 2.0 / SKETCH
+        while count > rows:
+            at = lambda position, m: min(1.0, max(0.0, (position - below) / count + m))
+            shares = F.array(F.lit(at(low, -margin)), F.lit(at(high, margin)))
+            first, last = inside.agg(F.percentile_approx("value", shares, SKETCH).alias("b")).first()["b"]
+            part = inside.filter(F.col("value").between(first, last))
+            seen = inside.agg(F.count_if(F.col("value") < first).alias("under"), F.count_if(F.col("value").between(first, last)).alias("n")).first()
+            if not (below + seen["under"] <= low and high < below + seen["under"] + seen["n"]):
+                margin *= 4
+                continue
+            if seen["n"] == count or first == last:
+                inside, below, count = part, below + seen["under"], seen["n"]
+                break
+            inside, below, count, margin = part, below + seen["under"], seen["n"], 2.0 / SKETCH
+        counts = value_table(inside, "value", {"n": F.lit(1)})
+        sums = prefix_sums(counts, "value", ["n"])
+        holds = lambda p: (F.col("cum_n") - F.col("n") + below <= p) & (p < F.col("cum_n") + below)
+        found = sums.filter(holds(low) | holds(high)).agg(F.min("value").alias("a"), F.max("value").alias("b")).first()
+        return found["a"] + (found["b"] - found["a"]) * (share * (n - 1) - low)
+    finally:
+        held.unpersist()
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, width: int = BROADCAST_WIDTH) -> bool:
     """Whether a table (materialised, so cheap to read) is proven small enough to broadcast."""
     sizes = [F.coalesce(F.length(c), F.lit(0)) if t == "string" else F.lit(16) for c, t in df.dtypes]

@@ -161,19 +161,30 @@ WEEK_PRED = f"""{CONN}, wp AS (SELECT date_trunc('week', ts) AS wk, CASE WHEN la
   rec AS (SELECT wk, {CELLS} FROM wp GROUP BY wk), rated AS (SELECT wk, {F1} AS f1 FROM rec)"""
 
 
-def _weekly_records(spark, sf_dir):
+def _weekly_rows(spark, sf_dir):
     bad = F.col("label") == "anomaly"
     hit = (bad & (F.dayofmonth("ts") % 3 != 0)) | (F.col("conn_id") % 10 == 0)
-    rows = conn(spark, sf_dir).select(
-        F.date_trunc("week", "ts").alias("wk"), bad.cast("int").alias("y"), hit.cast("int").alias("prediction")
-    )
-    return mt.binary_metrics(rows, by=["wk"])
+    return conn(spark, sf_dir).select(
+        F.date_trunc("week", "ts").alias("wk"), bad.cast("int").alias("y"), hit.cast("int").alias("prediction"),
+        (F.col("orig_bytes") + F.when(bad, 1500).otherwise(0)).alias("score"),
+    )
 
 
-@query(f"WITH {WEEK_PRED} SELECT wk, tn, fp, fn, tp, {RATES_SQL} FROM rec")
+@query(
+    f"""WITH {WEEK_PRED}, sc AS (SELECT date_trunc('week', ts) AS wk, CASE WHEN label = 'anomaly' THEN 1 ELSE 0 END AS y,
+        orig_bytes + CASE WHEN label = 'anomaly' THEN 1500 ELSE 0 END AS score FROM conn),
+      v AS (SELECT wk, score, sum(y) AS pos, sum(1 - y) AS neg FROM sc GROUP BY wk, score),
+      c AS (SELECT *, sum(neg) OVER (PARTITION BY wk ORDER BY score) AS below FROM v),
+      auc AS (SELECT wk, CAST(sum(pos * (below - neg / 2.0)) AS DOUBLE) / CAST(sum(pos) * sum(neg) AS DOUBLE) AS a FROM c GROUP BY wk)
+    SELECT wk, tn, fp, fn, tp, {RATES_SQL}, round(a, 6) AS roc_auc FROM rec JOIN auc USING (wk)"""
+)
 def performance_records(spark, sf_dir):
-    found = _weekly_records(spark, sf_dir)
-    return rounded(found, RATES, ["wk", "tn", "fp", "fn", "tp"])
+    found = dr.performance_records(_weekly_rows(spark, sf_dir), ["wk"])
+    return rounded(found, [*RATES, "roc_auc"], ["wk", "tn", "fp", "fn", "tp"])
+
+
+def _weekly_records(spark, sf_dir):
+    return mt.binary_metrics(_weekly_rows(spark, sf_dir), by=["wk"])
 
 
 @query(

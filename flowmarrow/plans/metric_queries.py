@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from flowmarrow.functions.columns import f1_band, score_band, verdict, at_threshold, name_matches
 from flowmarrow.operators import metrics as mt
 from flowmarrow.operators import thresholds as th
-from flowmarrow.operators.ordered import percentiles
+from flowmarrow.operators.ordered import percentile_value, percentiles, prefix_sums
 from flowmarrow.plans.registry import query
 from flowmarrow.plans.tables import CONN, conn, r6, table
+from flowmarrow.session import frozen
 
 # ---- inputs -------------------------------------------------------------------------------
 
@@ -538,3 +539,28 @@ def thr_compare(spark, sf_dir):
 )
 def f1_curve(spark, sf_dir):
     return rounded(th.f1_curve(scored_lines(spark, sf_dir)), ["threshold", "f1"])
+
+
+@query(
+    f"""WITH {CONN}, v AS (SELECT orig_bytes AS v, proto, count(*) AS n, CAST(sum(length) AS BIGINT) AS length FROM conn GROUP BY ALL)
+    SELECT proto, CAST(v AS DOUBLE) AS value, n, CAST(sum(n) OVER w AS BIGINT) AS cum_n, CAST(sum(length) OVER w AS BIGINT) AS cum_length,
+      CAST(sum(n) OVER (PARTITION BY proto) AS BIGINT) AS all_n FROM v WINDOW w AS (PARTITION BY proto ORDER BY v)"""
+)
+def running_totals(spark, sf_dir):
+    """Running sums per protocol over all sizes, in ranges of 200 values and blocks of four ranges."""
+    sizes = conn(spark, sf_dir).groupBy("proto", F.col("orig_bytes").cast("double").alias("value"))
+    table = frozen(sizes.agg(F.count("*").alias("n"), F.sum("length").alias("length")), "sizes")
+    sums = prefix_sums(table, "value", ["n", "length"], by=["proto"], range_rows=200, block=4)
+    return sums.select("proto", "value", "n", "cum_n", "cum_length", "all_n")
+
+
+@query(
+    f"""WITH {CONN}, s AS (SELECT unnest([0.5, 0.95, 0.999]) AS share)
+    SELECT CAST(share AS DOUBLE) AS share, round(CASE share WHEN 0.5 THEN (SELECT quantile_cont(duration, 0.5) FROM conn)
+      WHEN 0.95 THEN (SELECT quantile_cont(duration, 0.95) FROM conn) ELSE (SELECT quantile_cont(duration, 0.999) FROM conn) END, 6) AS value FROM s"""
+)
+def narrowed_percentiles(spark, sf_dir):
+    """Exact percentiles from brackets of a sketch, narrowed until a hundred values are left."""
+    rows = conn(spark, sf_dir).select("duration")
+    found = [(s, percentile_value(rows, "duration", s, rows=100)) for s in (0.5, 0.95, 0.999)]
+    return spark.createDataFrame(found, "share double, value double").select("share", r6("value").alias("value"))

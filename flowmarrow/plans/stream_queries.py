@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from flowmarrow.plans import alert_queries, drift_queries, flow_queries
+from flowmarrow.plans import alert_queries, flow_queries
 from flowmarrow.plans.registry import SQL_CHECKS, query
 from flowmarrow.plans.tables import CONN, conn, conn_of, packets_of, r6, table
 from flowmarrow.schemas import WINDOW_FEATURES
@@ -65,26 +65,52 @@ def stream_file_score(spark, sf_dir):
     return live.read_batches(spark, out).select("rows", r6("mean_score").alias("mean_score"), "band")
 
 
-@query(
-    f"""WITH {CONN}, base AS (SELECT duration FROM conn WHERE label = 'normal'),
-      cur AS (SELECT duration * 1.5 AS duration FROM conn), {drift_queries.KS}, {drift_queries.psi_sql('base', 'cur', 'duration')}
-    SELECT 'KS-test' AS method, round(d, 6) AS statistic, {drift_queries.P_SERIES} < 0.05 AS drift_detected FROM ks
-    UNION ALL SELECT 'PSI', round(psi_value, 6), psi_value > 0.2 FROM psi"""
-)
+DRIFT_SQL = f"""WITH {CONN}, base AS (SELECT duration AS v FROM conn WHERE label = 'normal'),
+  span AS (SELECT min(ts) AS a, max(ts) AS b FROM conn),
+  cur AS (SELECT duration * 1.02 AS v, least(CAST(floor(4 * (epoch_us(ts) - epoch_us(a)) / CAST(epoch_us(b) - epoch_us(a) AS DOUBLE)) AS BIGINT), 3) AS part
+    FROM conn, span),
+  ed AS (SELECT quantile_cont(v, [i / {live.DRIFT_RANGES}.0 FOR i IN range({live.DRIFT_RANGES + 1})]) AS e FROM base),
+  bx AS (SELECT CASE WHEN v < e[1] THEN -1 WHEN v > e[-1] THEN {live.DRIFT_RANGES}
+      ELSE len(list_filter(e[2:-2], lambda x: x <= v)) END AS k, NULL AS part FROM base, ed
+    UNION ALL SELECT CASE WHEN v < e[1] THEN -1 WHEN v > e[-1] THEN {live.DRIFT_RANGES}
+      ELSE len(list_filter(e[2:-2], lambda x: x <= v)) END, part FROM cur, ed),
+  parts AS (SELECT DISTINCT part FROM cur),
+  cnt AS (SELECT p.part, k, count(*) FILTER (bx.part IS NULL) AS nb, count(*) FILTER (bx.part <= p.part) AS nc FROM parts p, bx GROUP BY p.part, k),
+  cum AS (SELECT part, k, abs(sum(nb) OVER w / CAST(sum(nb) OVER t AS DOUBLE) - sum(nc) OVER w / CAST(sum(nc) OVER t AS DOUBLE)) AS gap,
+      sum(nb) OVER t AS tb, sum(nc) OVER t AS tc FROM cnt WINDOW w AS (PARTITION BY part ORDER BY k), t AS (PARTITION BY part)),
+  ks AS (SELECT part, max(gap) FILTER (k < {live.DRIFT_RANGES}) AS d, any_value(CAST(tb AS DOUBLE)) AS n, any_value(CAST(tc AS DOUBLE)) AS m FROM cum GROUP BY part),
+  dec AS (SELECT part, k // {live.DRIFT_RANGES // 10} AS bin, sum(nb) AS nb, sum(nc) AS nc FROM cnt WHERE k BETWEEN 0 AND {live.DRIFT_RANGES - 1} GROUP BY 1, 2),
+  sh AS (SELECT dec.part, CASE WHEN nb = 0 THEN 0.0001 ELSE nb / n END AS b, CASE WHEN nc = 0 THEN 0.0001 ELSE nc / m END AS c FROM dec JOIN ks USING (part)),
+  psi AS (SELECT part, sum((c - b) * ln(c / b)) AS x FROM sh GROUP BY part),
+  both_ AS (SELECT part, 'KS-test' AS method, d AS statistic, d * sqrt(n * m / (n + m)) > 1.3581015157406195 AS drift_detected FROM ks
+    UNION ALL SELECT part, 'PSI', x, x > 0.2 FROM psi)
+SELECT part AS batch, method, round(statistic, 6) AS statistic, drift_detected FROM both_"""
+
+
+@query(DRIFT_SQL)
 def stream_drift(spark, sf_dir):
-    out = scratch_path(spark, "drift")
-    base = conn(spark, sf_dir).filter("label = 'normal'").select("duration")
-    rows = conn_of(event_stream(spark, sf_dir)).select((F.col("duration") * 1.5).alias("duration"))
-    live.drift_batches(rows, base, "duration", out, availableNow=True).awaitTermination()
-    return live.read_batches(spark, out).select("method", r6("statistic").alias("statistic"), "drift_detected")
+    """The connections in four files: every batch adds to the counts, and the history gets a check of all that came so far."""
+    out, feed = scratch_path(spark, "drift"), scratch_path(spark, "durations")
+    df = conn(spark, sf_dir)
+    rows = df.select((F.col("duration") * 1.02).alias("duration"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    ends = rows.agg(F.min("us").alias("a"), F.max("us").alias("b")).first()
+    part = F.least(F.floor(4 * (F.col("us") - ends["a"]) / F.lit(float(ends["b"] - ends["a"]))), F.lit(3))
+    rows = frozen(rows.select("duration", part.alias("part")), "durations")
+    for k in range(4):
+        rows.filter(F.col("part") == k).select("duration").coalesce(1).write.mode("append").parquet(feed)
+    stream = spark.readStream.schema("duration double").option("maxFilesPerTrigger", 1).parquet(feed)
+    live.drift_batches(stream, df.filter("label = 'normal'").select("duration"), "duration", out, availableNow=True).awaitTermination()
+    return live.read_batches(spark, out).select(
+        F.col("batch_id").cast("long").alias("batch"), "method", r6("statistic").alias("statistic"), "drift_detected"
+    )
 
 
 @query(
-    f"""WITH {alert_queries.EXPLAINED}, o AS (SELECT *, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, conn_id) AS nr,
+    f"""WITH {alert_queries.EXPLAINED}, al AS (SELECT *, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, conn_id) AS nr,
         count(*) OVER (PARTITION BY date_trunc('hour', ts)) AS n FROM pr WHERE priority_score >= 30),
-      r AS (SELECT *, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY priority_score DESC, conn_id) AS rk FROM o WHERE nr > 3)
-    SELECT conn_id, priority_score, CAST(0 AS BIGINT) AS suppressed FROM o WHERE nr <= 3
-    UNION ALL SELECT conn_id, priority_score, greatest(n - 5, 0) AS suppressed FROM r WHERE rk <= 2"""
+      late AS (SELECT *, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY priority_score DESC, conn_id) AS rk FROM al WHERE nr > 3)
+    SELECT conn_id, priority_score, CAST(0 AS BIGINT) AS suppressed FROM al WHERE nr <= 3
+    UNION ALL SELECT conn_id, priority_score, greatest(n - 5, 0) AS suppressed FROM late WHERE rk <= 2"""
 )
 def stream_rate_limit(spark, sf_dir):
     """All alerts in four batches, cut inside an hour: three of an hour pass at once, two more when it is over."""

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -159,10 +160,12 @@ def each_batch(
 
 def read_batches(spark: SparkSession, out: str, before: int | None = None) -> DataFrame | None:
     """What earlier batches wrote, or None when there is nothing yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    try:
+        rows = spark.read.option("basePath", out).parquet(out)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
-    rows = spark.read.option("basePath", out).parquet(out)
     return rows if before is None else rows.filter(F.col("batch_id") < before)
 
 
@@ -222,23 +225,71 @@ def score_batches(rows: DataFrame, score: Callable[[DataFrame], DataFrame], out:
     return each_batch(rows, out, make, **trigger)
 
 
-def drift_batches(rows: DataFrame, baseline: DataFrame, value: str, out: str, **trigger) -> StreamingQuery:
-    """Combined drift check of every micro-batch, appended to a history.
+#: Value ranges of the drift state, by quantiles of the baseline; a multiple of the ten bins of the stability index.
+DRIFT_RANGES = 80
 
-    The baseline is reduced once to its distinct values, which every batch reads.
+
+def range_of(value: str, edges: list[float]) -> Column:
+    """The range of a value between the edges: -1 below the first, their number less one above the last, null for null."""
+    v, last = F.col(value), len(edges) - 1
+    passed = F.lit(0)
+    for e in edges[1:-1]:
+        passed = passed + (v >= e).cast("int")
+    return F.when(v < edges[0], -1).when(v > edges[-1], last).when(v.isNotNull(), F.least(passed, F.lit(last - 1)))
+
+
+def range_counts(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:
+    """(range, n): counts that can be added up over batches."""
+    counts = rows.groupBy(range_of(value, edges).alias("range")).agg(F.count("*").alias("n"))
+    return counts.filter("range IS NOT NULL")
+
+
+def drift_of_counts(base: dict[int, int], counts: DataFrame, ranges: int) -> DataFrame:
+    """KS distance at the edges of the ranges and PSI over ten bins, from the counts of both samples, as two rows.
+
+    The distance between two edges is not seen, which is at most the share of one range.
     """
+    known = F.create_map(*[F.lit(x) for k in range(-1, ranges + 1) for x in (k, base.get(k, 0))])
+    all_ranges = counts.sparkSession.range(-1, ranges + 1).select(F.col("id").cast("int").alias("range"))
+    both = all_ranges.join(counts.groupBy("range").agg(F.sum("n").alias("c")), "range", "left").select(
+        "range", known[F.col("range")].alias("b"), F.coalesce("c", F.lit(0)).alias("c")
+    )
+    upto, overall = Window.partitionBy(F.lit(1)).orderBy("range"), Window.partitionBy(F.lit(1))  # as many rows as ranges
+    share = lambda c: F.try_divide(F.sum(c).over(upto).cast("double"), F.sum(c).over(overall))
+    placed = both.withColumn("gap", F.abs(share("b") - share("c"))).withColumns({f"all_{c}": F.sum(c).over(overall) for c in "bc"})
+    ks = placed.filter(F.col("range") < ranges).agg(
+        F.max("gap").alias("statistic"), dr.ks_p_value(F.max("gap"), F.max("all_b"), F.max("all_c")).alias("p")
+    )
+    bins = placed.filter(F.col("range").between(0, ranges - 1)).groupBy(F.floor(F.col("range") / (ranges // 10)).alias("bin"))
+    shares = bins.agg(*[dr.safe_share(F.sum(c), F.max(f"all_{c}")).alias(c) for c in "bc"])
+    psi = shares.agg(F.sum((F.col("c") - F.col("b")) * F.ln(F.col("c") / F.col("b"))).alias("statistic"))
+    return ks.select(F.lit("KS-test").alias("method"), "statistic", (F.col("p") < 0.05).alias("drift_detected")).unionByName(
+        psi.select(F.lit("PSI").alias("method"), "statistic", (F.col("statistic") > 0.2).alias("drift_detected"))
+    )
+
+
+def drift_batches(
+    rows: DataFrame, baseline: DataFrame, value: str, out: str, ranges: int = DRIFT_RANGES, **trigger
+) -> StreamingQuery:
+    """Drift of all rows so far against the baseline, checked after every micro-batch and appended to a history.
+
+    The baseline becomes edges and counts per range. A batch adds its counts, a row per range, to those of earlier batches in
+    ``<out>-counts``; no batch is read again. A repeated batch replaces its own counts.
+    """
+    spark = rows.sparkSession
     table = value_table(baseline.select(value), value, {"n": F.lit(1)})
-    edges = percentile_values(table, value, [i / 10 for i in range(11)], weight="n")
+    edges = percentile_values(table, value, [i / ranges for i in range(ranges + 1)], weight="n")
+    if not edges:
+        raise ValueError("the baseline has no values")
+    at = table.select(range_of(value, edges).alias("range"), "n").groupBy("range").agg(F.sum("n").alias("n"))
+    base = {r["range"]: r["n"] for r in at.collect()}  # one row per range
 
     def make(batch: DataFrame, batch_id: int) -> DataFrame | None:
         if batch.isEmpty():
             return None
-        ks = dr.ks_drift(table, batch, value, window=None, weight="n")
-        psi = dr.psi_drift(table, batch, value, edges=edges, weight="n")
-        tagged = lambda df, stat: df.select(
-            "method", F.col(stat).alias("statistic"), "drift_detected", F.lit(batch_id).alias("checked_at")
-        )
-        return tagged(ks, "statistic").unionByName(tagged(psi, "psi_value"))
+        range_counts(batch, value, edges).write.mode("overwrite").parquet(f"{out}-counts/batch_id={batch_id}")
+        so_far = read_batches(spark, f"{out}-counts", batch_id + 1)
+        return drift_of_counts(base, so_far, ranges).withColumn("checked_at", F.lit(batch_id))
 
     return each_batch(rows, out, make, **trigger)
 

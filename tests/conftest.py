@@ -32,5 +32,6 @@ def many_ranges(monkeypatch):
     """Take the distributed paths even for small tables."""
     from flowmarrow.operators import ordered
 
-    monkeypatch.setattr(ordered, "ONE_RANGE", 0)
+    monkeypatch.setattr(ordered, "ONE_RANGE", 40)
+    monkeypatch.setattr(ordered, "BLOCK", 3)
     monkeypatch.setattr(ordered, "ONE_AGGREGATE", 0)

@@ -224,3 +224,23 @@ def test_scaling(spark):
     vec = df.select(F.array("a", "b").alias("v"))
     done = sc.scale_vector(vec, "v", sc.fit_vector_scaler(vec, "v")).collect()
     np.testing.assert_allclose([r["v"] for r in done], [[-1, 0], [1, 0]])
+
+
+def test_the_auc_of_a_span_from_the_tables_of_its_periods(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"p{i % 3}", int(rng.random() < 0.4), float(rng.integers(0, 12))) for i in range(600)] + [("one", 1, 2.0), (None, 0, 1.0), ("p0", 1, None)]
+    df = spark.createDataFrame(rows, "period string, y int, score double").withColumn("prediction", (F.col("score") > 6).cast("int"))
+
+    def plain(mine):
+        pos, neg = [s for _, y, s in mine if y and s is not None], [s for _, y, s in mine if not y and s is not None]
+        return sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)) if pos and neg else None
+
+    counts = dr.score_counts(df, ["period"]).persist()
+    got = {r.period: r.roc_auc for r in dr.auc_of_counts(counts, ["period"]).collect()}
+    for p in ("p0", "p1", "p2", "one", None):
+        want = plain([r for r in rows if r[0] == p])
+        assert got[p] == (want if want is None else pytest.approx(want))
+    span = dr.auc_of_counts(counts.filter("period IN ('p0', 'p1')").withColumn("period", F.lit("span")), ["period"]).first().roc_auc
+    assert span == pytest.approx(plain([r for r in rows if r[0] in ("p0", "p1")]))
+    records = {r.period: r for r in dr.performance_records(df, ["period"]).collect()}
+    assert records["p1"].roc_auc == pytest.approx(got["p1"]) and records["one"].roc_auc is None and records[None].roc_auc is None

@@ -96,3 +96,29 @@ def test_sequences_across_blocks(spark, host):
         for i in range(3, len(part)):
             want.add((part[i][0], tuple(r[3] for r in part[i - 3 : i + 1])))
     assert {(r["id"], tuple(c[0] for c in r["sequence"])) for r in got.collect()} == want
+
+
+def test_prefix_sums_in_groups_over_two_levels(spark, many_ranges):
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 5 == 0 else "hot" if i % 5 < 3 else f"g{i % 30}", float(v)) for i, v in enumerate(rng.permutation(2000))]
+    table = spark.createDataFrame([(g, v, 1, int(v) % 7) for g, v in rows], "g string, v double, n long, w long")
+    got = {(r.g, r.v): (r.cum_n, r.all_n, r.cum_w, r.all_w) for r in o.prefix_sums(table, "v", ["n", "w"], ["g"]).collect()}
+    assert len(got) == 2000
+    for group in {g for g, _ in rows}:
+        mine = sorted(v for g, v in rows if g == group)
+        weights = np.cumsum([int(v) % 7 for v in mine])
+        assert [got[group, v] for v in mine] == [(i + 1, len(mine), weights[i], weights[-1]) for i in range(len(mine))]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.37, 0.5, 0.95, 0.9995, 1.0])
+def test_a_narrowed_percentile_matches_numpy(spark, monkeypatch, share):
+    monkeypatch.setattr(o, "SKETCH", 50)  # a coarse sketch, so that brackets miss and are widened
+    x = hot_values(4001)
+    assert o.percentile_value(frame(spark, x), "v", share, rows=20) == pytest.approx(np.percentile(x, share * 100), abs=1e-9)
+
+
+def test_narrowed_percentiles_of_odd_columns(spark):
+    assert o.percentile_value(frame(spark, [1.0]).filter("id < 0"), "v", 0.5) is None
+    assert o.percentile_value(frame(spark, [2.5] * 300), "v", 0.3, rows=10) == 2.5
+    some = spark.createDataFrame([(None,), (4.0,), (None,), (2.0,)], "v double")
+    assert o.percentile_value(some, "v", 0.5) == 3.0

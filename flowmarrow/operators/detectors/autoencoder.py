@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from flowmarrow.operators.detectors.base import Detector, hash_draw, stacked
 from flowmarrow.operators.detectors.nets import dense_net, lstm_net
-from flowmarrow.operators.detectors.training import adam, averaged_training
-from flowmarrow.operators.features import sliding_sequences
+from flowmarrow.operators.detectors.training import SHARDS, Windows, adam, averaged_training
+from flowmarrow.operators.features import blocked_rows, sliding_sequences
 from flowmarrow.operators.scaling import fit_scaler, scaled_array
-from flowmarrow.session import cached_spread
+
+#: Consecutive rows that go to one shard together.
+TRAINING_BLOCK = 1_000
 
 
 class _Reconstructing(Detector):
@@ -34,25 +36,35 @@ class _Reconstructing(Detector):
         self.weights = arrays["weights"]
 
     def _fit(self, rows: DataFrame, row_id: str) -> None:
+        held = rows.withColumn("held", self._is_held(row_id))
+        self._train(held, row_id=row_id)
+        self._calibrate_held(held)
+
+    def _is_held(self, row_id: str) -> Column:
+        return hash_draw(row_id, self.seed) >= 0.8
+
+    def _train(self, rows: DataFrame, **how) -> None:
         net, _ = self._net()
         shape, seed, rate = self._shape(), self.seed, self.rate
-        held = rows.withColumn("held", hash_draw(row_id, seed) >= 0.8)
 
         def step(w, batch, state):
             if "rng" not in state:
-                state["rng"], state["adam"] = np.random.default_rng(seed), {}
+                state["rng"] = np.random.default_rng([seed, state["epoch"], state["shard"]])
             g = net.gradient(w, batch.reshape(-1, *shape), state["rng"])
             norm = np.linalg.norm(g)
-            adam(w, g if norm <= 5.0 else g * (5.0 / norm), state["adam"], rate)
+            adam(w, g if norm <= 5.0 else g * (5.0 / norm), state, rate)
 
         loss = lambda w, batch: net.row_loss(w, batch.reshape(-1, *shape))
         self.weights, self.history = averaged_training(
-            held, net.initial(seed), step, loss, self.epochs, self.batch_size, self.patience
+            rows, net.initial(seed), step, loss, self.epochs, self.batch_size, self.patience, **how
         )
-        judged = held.filter("held").select(self._score(F.col("x")).alias("score"))
-        self.calibrate(judged, self.calibration_share)
+
+    def _calibrate_held(self, rows: DataFrame) -> None:
+        """Threshold from the held-out rows of (x, held)."""
+        scores = lambda df: df.select(self._score(F.col("x")).alias("score"))
+        self.calibrate(scores(rows.filter("held")), self.calibration_share)
         if self.threshold is None:  # too few rows to hold any out
-            self.calibrate(held.select(self._score(F.col("x")).alias("score")), self.calibration_share)
+            self.calibrate(scores(rows), self.calibration_share)
 
     def _score(self, x: Column) -> Column:
         net, _ = self._net()
@@ -174,22 +186,32 @@ class LstmAutoencoder(_Reconstructing):
     def fit_windows(
         self, df: DataFrame, columns: list[str], order: list[str], host: str | None = None
     ) -> "LstmAutoencoder":
-        """Scale on the rows, cut windows, train."""
+        """Scale on the rows, cut windows, train.
+
+        Blocks of rows travel to the shards with the few rows before them; windows are cut inside the training tasks.
+        """
         self.columns = list(columns)
         self.scaler = fit_scaler(df, self.columns)
-        rows = self.windows(df, order, host)
-        flat = cached_spread(rows.select(order[-1], self._flat(F.col("sequence")).alias("x")))
-        try:
-            self._fit(flat, order[-1])
-        finally:
-            flat.unpersist()
+        blocks = blocked_rows(df, self.columns, order, self.sequence_length, host, block=TRAINING_BLOCK)
+        run = F.xxhash64("_block", *([host] if host else []))
+        rows = blocks.select(
+            F.pmod(F.xxhash64("_block"), F.lit(SHARDS)).cast("int").alias("shard"), F.struct("_block", "_ord").alias("place"), run.alias("run"),
+            (F.col("_block") == F.col("_own")).alias("own"), self._is_held(order[-1]).alias("held"),
+            self._scaled_row(F.col("cells")).alias("x"),
+        )
+        length = self.sequence_length
+        self._train(rows, samples=lambda: Windows(length))
+        flat = self.windows(df, order, host).select(self._flat(F.col("sequence")).alias("x"), self._is_held(order[-1]).alias("held"))
+        self._calibrate_held(flat)
         return self
 
-    def _flat(self, sequence: Column) -> Column:
+    def _scaled_row(self, row: Column) -> Column:
         mean = F.array(*[F.lit(m) for m, _ in self.scaler.values()])
         std = F.array(*[F.lit(s) for _, s in self.scaler.values()])
-        scaled = lambda row: F.zip_with(F.zip_with(row, mean, lambda x, m: x - m), std, lambda x, s: x / s)
-        return F.flatten(F.transform(sequence, scaled))
+        return F.zip_with(F.zip_with(row, mean, lambda x, m: x - m), std, lambda x, s: x / s)
+
+    def _flat(self, sequence: Column) -> Column:
+        return F.flatten(F.transform(sequence, self._scaled_row))
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         """Score rows that carry a ``sequence`` column (see ``windows``)."""

@@ -92,10 +92,11 @@ class OneClassSvm(Detector):
         def step(w, batch, state):
             # the best rho is the nu-quantile of w.phi, so the gradient is w minus the mean of
             # the share nu of the rows with the lowest projection
-            state["t"] = state.get("t", 0) + 1
+            t = state.setdefault("carry", np.zeros(1))
+            t += 1
             z = phi(batch)
             lowest = np.argsort(z @ w)[: max(1, round(nu * len(z)))]
-            w += 2.0 / (state["t"] + 20.0) * (z[lowest].mean(axis=0) - w)
+            w += 2.0 / (t[0] + 20.0) * (z[lowest].mean(axis=0) - w)
 
         def loss(w, batch):
             margin = phi(batch) @ w
@@ -104,7 +105,7 @@ class OneClassSvm(Detector):
 
         held = rows.withColumn("held", hash_draw(row_id, seed + 1) >= 0.8)
         self.weights, self.history = averaged_training(
-            held, np.zeros(width), step, loss, self.epochs, 128
+            held, np.zeros(width), step, loss, self.epochs, 128, row_id=row_id
         )
         self.rho = 0.0
         # the nu-property: a share nu of the training rows lies outside

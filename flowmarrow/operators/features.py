@@ -108,6 +108,29 @@ def finite_only(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(lenient_double(c), F.lit(0.0)) for c in columns})
 
 
+def blocked_rows(
+    df: DataFrame,
+    features: list[str],
+    order: list[str],
+    length: int,
+    host: str | None = None,
+    extra: list[str] = (),
+    block: int = 100_000,
+) -> DataFrame:
+    """Rows with a global ordinal ``_ord`` (by host first, when given) in blocks of ``block`` rows, their features in ``cells``.
+
+    The last ``length - 1`` rows of a block (``_own``) are there again in the next ``_block``, ahead of its own rows.
+    """
+    sort = [*([host] if host else []), *order]
+    cells = F.array(*[numeric_or_zero(c) for c in features]).alias("cells")
+    narrow = df.filter(F.col(host).isNotNull()) if host else df
+    rows = with_ordinal(narrow.select(*sort, *extra, cells), sort, "_ord")
+    own = F.floor(F.col("_ord") / block)
+    # a block shorter than a window hands its rows on to every block that one of its windows can end in
+    reach = F.floor((F.col("_ord") + length - 1) / block)
+    return rows.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(own, reach)))
+
+
 def sliding_sequences(
     df: DataFrame,
     features: list[str],
@@ -119,21 +142,12 @@ def sliding_sequences(
 ) -> DataFrame:
     """Windows of ``length`` consecutive rows, stride 1; one row per window end.
 
-    Rows get a global ordinal (by host first, when given) and are cut into blocks of ``block``
-    rows; the last ``length - 1`` rows of a block are copied to the next. Each window function
-    group is thus at most ``block + length - 1`` rows, however many rows a host has.
+    Each window function group is a block and the rows it needs from before, so at most ``block + length - 1`` rows, however
+    many rows a host has.
     """
     sort = [*([host] if host else []), *order]
-    cells = F.array(*[numeric_or_zero(c) for c in features]).alias("cells")
     extra = [label] if label else []
-    narrow = df.filter(F.col(host).isNotNull()) if host else df
-    rows = with_ordinal(narrow.select(*sort, *extra, cells), sort, "_ord")
-    own = F.floor(F.col("_ord") / block)
-    spill = F.col("_ord") % block >= block - (length - 1)
-    copies = rows.withColumn("_own", own).withColumn(
-        "_block",
-        F.explode(F.when(spill, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))),
-    )
+    copies = blocked_rows(df, features, order, length, host, extra, block)
     group = Window.partitionBy("_block", *([host] if host else [])).orderBy("_ord")
     window = group.rowsBetween(-(length - 1), 0)
     return (

@@ -14,17 +14,24 @@ from flowmarrow.operators.ordered import with_ordinal
 
 
 def fit_scaler(df: DataFrame, columns: list[str], with_mean: bool = True) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation per column, one pass; a constant column gets deviation 1, null and NaN are 0."""
+    """Mean and population deviation per column, one pass; a constant column gets deviation 1, null and NaN are 0.
+
+    Both have twelve digits, so that the order in which Spark adds up the rows does not show.
+    """
     aggs = []
     for i, c in enumerate(columns):
         aggs += [F.avg(numeric_or_zero(c)).alias(f"m{i}"), F.stddev_pop(numeric_or_zero(c)).alias(f"s{i}")]
     row = df.agg(*aggs).first()
     return {
-        c: ((row[f"m{i}"] or 0.0) if with_mean else 0.0, row[f"s{i}"] or 1.0)
+        c: (short(row[f"m{i}"] or 0.0) if with_mean else 0.0, short(row[f"s{i}"] or 1.0))
         for i, c in enumerate(columns)
     }
 
 
+def short(x: float) -> float:
+    return float(f"{x:.12g}")
+
+
 def scale(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in scaler.items()})
 

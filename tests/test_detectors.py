@@ -191,3 +191,38 @@ def test_null_cells_count_as_zero(spark, data):
 def test_samples_are_row_counts(data):
     with pytest.raises(ValueError):
         dt.IsolationForest(n_estimators=2, max_samples=0.5).fit(data, COLUMNS)
+
+
+def test_weights_do_not_depend_on_the_partitioning(spark, data):
+    def fitted(parts):
+        rows = data.filter("y = 0").repartition(parts)
+        lstm = dt.LstmAutoencoder(sequence_length=4, units=(3,), latent_dim=2, epochs=2)
+        return [
+            dt.DenseAutoencoder(encoding_dim=2, dropout=0.2, epochs=2).fit(rows, COLUMNS).weights,
+            dt.OneClassSvm(epochs=2).fit(rows, COLUMNS).weights,
+            lstm.fit_windows(rows, COLUMNS, ["conn_id"]).weights,
+        ]
+
+    for few, many in zip(fitted(1), fitted(8)):
+        assert (few == many).all()
+
+
+@pytest.mark.parametrize("cut", [1, 7, 1000])
+@pytest.mark.parametrize("block", [3, 50])
+def test_windows_cut_in_the_task_are_those_of_the_table(spark, cut, block):
+    """Rows come in pieces of any length; every window ends once, in its own block and host."""
+    import pandas as pd
+
+    from flowmarrow.operators.detectors.training import Windows
+    from flowmarrow.operators.features import blocked_rows, sliding_sequences
+
+    rows = spark.createDataFrame([(i, f"h{i * i % 5}", float(i)) for i in range(160)], "id long, host string, v double")
+    got = blocked_rows(rows, ["v"], ["id"], 4, "host", block=block).orderBy("_block", "_ord").toPandas()
+    frame = pd.DataFrame({"x": got["cells"], "run": got["_block"].astype(str) + got["host"], "own": got["_block"] == got["_own"], "held": got["id"] % 3 == 0})
+    maker, windows, held = Windows(4), [], []
+    for k in range(0, len(frame), cut):
+        x, h = maker.feed(frame.iloc[k : k + cut])
+        windows += x.tolist()
+        held += h.tolist()
+    want = [([c[0] for c in r.sequence], r.id % 3 == 0) for r in sliding_sequences(rows, ["v"], ["id"], 4, "host").collect()]
+    assert sorted(zip(windows, held)) == sorted(want)

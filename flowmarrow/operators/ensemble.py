@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from flowmarrow.functions.columns import flag
 from flowmarrow.operators import metrics as mt
 from flowmarrow.operators.ordered import percentiles
+from flowmarrow.operators.scaling import stratified_folds
+from flowmarrow.session import frozen
 
 # Weights of the weighted score, and the sensitivity presets (factor, minimum score).
 WEIGHTED_SCORE = {"isolation_forest": 0.70, "autoencoder": 0.30}
@@ -80,6 +82,25 @@ def fit_stack(df: DataFrame, scores: list[str], y: str = "y"):
     return score
 
 
+def out_of_fold(
+    df: DataFrame, y: str, row_id: str, members: dict[str, Callable[[DataFrame], Callable[[DataFrame], DataFrame]]], k: int = 5
+) -> DataFrame:
+    """The rows with ``fold`` and the score of every member, each fitted on the other folds.
+
+    A member is a function from training rows to a function that adds ``score``. These scores are what a meta-model may learn
+    from: no member saw the row it scores.
+    """
+    folds = frozen(stratified_folds(df, y, row_id, k), "folds")
+    parts = []
+    for fold in range(k):
+        held = folds.filter(F.col("fold") == fold)
+        for name, fit in members.items():
+            scored = fit(folds.filter(F.col("fold") != fold))(held)
+            held = scored.select(*held.columns, F.col("score").alias(name))
+        parts.append(held)
+    return frozen(reduce(lambda a, b: a.unionByName(b), parts), "out-of-fold")
+
+
 def min_max(df: DataFrame, columns: list[str]) -> dict[str, Column]:
     """(x - min) / (max - min + 1e-10) per column; one pass finds all bounds."""
     aggs = [f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for f, n in ((F.min, "lo"), (F.max, "hi"))]

@@ -8,6 +8,7 @@ from flowmarrow.plans import (  # noqa: F401
     io_queries,
     label_queries,
     metric_queries,
+    model_checks,
     model_queries,
     stream_queries,
 )

@@ -350,9 +350,10 @@ def ensemble_compare(spark, sf_dir):
 
 @query()
 def stacking_meta(spark, sf_dir):
-    rows = members(spark, sf_dir)
-    scorer = en.fit_stack(rows, ["sa", "sb", "sc"])
-    return _scored(scorer(rows))
+    """Rows that the meta-model has not seen; its members are formulas, which are fitted to nothing."""
+    parts = sc.stratified_split(members(spark, sf_dir), "y", "conn_id")
+    scorer = en.fit_stack(parts.filter("split = 'train'"), ["sa", "sb", "sc"])
+    return _scored(scorer(parts.filter("split = 'test'")))
 
 
 # ---- scaling and splits -------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowmarrow.functions.columns import flag, safe_div
 from flowmarrow.operators.ordered import first_rows, percentiles, prefix_sums, value_table
+from flowmarrow.session import frozen
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -138,6 +139,7 @@ def class_report(df: DataFrame, y: str = "y", pred: str = "prediction") -> DataF
     pairs = df.groupBy(F.col(y).cast("string").alias("y"), F.col(pred).cast("string").alias("p")).agg(
         F.count("*").alias("n")
     )
+    pairs = frozen(pairs, "class-pairs")
     sides = pairs.select(
         F.explode(
             F.array(
@@ -239,9 +241,9 @@ def median_threshold(df: DataFrame, value: str, factor: float = 3.0) -> DataFram
 
 def histogram(df: DataFrame, value: str, by: str, bins: int = 50) -> DataFrame:
     """Equal-width histogram per class over the common range; the last bin is closed."""
-    low = df.agg(F.min(value).alias("v")).scalar()
-    high = df.agg(F.max(value).alias("v")).scalar()
-    width = (high - low) / bins
+    ends = df.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
+    low = F.lit(ends["low"])
+    width = (F.lit(ends["high"]) - low) / bins
     raw = F.floor(F.try_divide(F.col(value) - low, width))
     index = F.least(F.coalesce(raw, F.lit(0)), F.lit(bins - 1))
     return (

@@ -158,6 +158,18 @@ class AttackTypeClassifier:
         )
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The fitted pipeline, and columns and labels as JSON text."""
+        self.model.write().overwrite().save(f"{path}/model")
+        head = {"columns": self.columns, "labels": self.labels}
+        spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
+
+
+def load_attack_types(spark: SparkSession, path: str) -> AttackTypeClassifier:
+    head = json.loads(spark.read.text(f"{path}/head").first()["value"])
+    return AttackTypeClassifier(head["columns"], PipelineModel.load(f"{path}/model"), head["labels"])
+
+
 def fit_attack_types(
     df: DataFrame,
     columns: list[str],

@@ -234,3 +234,15 @@ def stream_csv_tail(spark, sf_dir):
     done = live.read_batches(spark, out)
     mean = F.sum(F.col("mean_score") * F.col("rows")) / F.sum("rows")
     return done.agg(F.sum("rows").alias("rows"), r6(mean).alias("mean_score"))
+
+
+@query(
+    f"""WITH {CONN} SELECT CAST(conn_id AS VARCHAR) AS conn_id, CAST(duration AS DOUBLE) AS duration, CAST(orig_bytes AS DOUBLE) AS orig_bytes,
+      CASE WHEN label = 'anomaly' THEN 1 ELSE 0 END AS y FROM conn WHERE proto <> 'icmp'"""
+)
+def labelled_matrix(spark, sf_dir):
+    """Features of all connections and labels of most, written apart and read as one table by id."""
+    base, df = scratch_path(spark, "matrix"), conn(spark, sf_dir)
+    df.select("conn_id", "duration", "orig_bytes").write.option("header", True).csv(f"{base}/features")
+    df.filter("proto <> 'icmp'").select("conn_id", "label").repartition(3).write.option("header", True).csv(f"{base}/labels")
+    return readers.read_labelled_matrix(spark, f"{base}/features", f"{base}/labels")

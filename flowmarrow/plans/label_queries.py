@@ -1,6 +1,7 @@
 """Queries on labels, interval joins and label counts."""
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -137,15 +138,24 @@ def label_counts(spark, sf_dir):
     return counts.select("attack_type", "label", "n", r6("pct").alias("pct"))
 
 
+#: What the log of every server has besides server and id.
+SOURCES = {
+    "srv-view": [], "srv-error": ["duration"], "srv-click": ["duration", "proto"], "srv-purchase": ["orig_bytes"],
+    "srv-signup": ["proto", "orig_bytes", "resp_bytes"],
+}
+_HAS = lambda c: ", ".join(repr(h) for h, cells in SOURCES.items() if c in cells)
+
+
 @query(
-    f"""WITH {CONN} SELECT resp_h, conn_id, CASE WHEN resp_h = 'srv-error' THEN duration END AS duration
-    FROM conn WHERE resp_h IN ('srv-view', 'srv-error')"""
+    f"WITH {CONN} SELECT resp_h, conn_id, "
+    + ", ".join(f"CASE WHEN resp_h IN ({_HAS(c)}) THEN {c} END AS {c}" for c in ("duration", "proto", "orig_bytes", "resp_bytes"))
+    + " FROM conn"
 )
 def union_logs(spark, sf_dir):
+    """The logs of all servers, each with its own columns, as one table."""
     df = conn(spark, sf_dir)
-    short = df.filter("resp_h = 'srv-view'").select("resp_h", "conn_id")
-    full = df.filter("resp_h = 'srv-error'").select("resp_h", "conn_id", "duration")
-    return short.unionByName(full, allowMissingColumns=True)
+    logs = [df.filter(F.col("resp_h") == h).select("resp_h", "conn_id", *cells) for h, cells in SOURCES.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), logs)
 
 
 def _unsw_rows(spark, sf_dir):

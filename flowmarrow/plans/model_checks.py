@@ -148,16 +148,22 @@ def classifiers_check(spark, sf_dir):
 
 @query(
     f"""WITH {SPLIT_SQL.format(key='kind')}
-    SELECT k AS kind, CAST(n - train AS BIGINT) AS tested, TRUE AS mostly_right FROM s"""
+    SELECT k AS kind, CAST(n - train AS BIGINT) AS tested, TRUE AS mostly_right, TRUE AS same_after_loading FROM s"""
 )
 def attack_types_check(spark, sf_dir):
     """The type classifier on the languages of documents that it has not seen."""
     rows = document_rows(spark, sf_dir).withColumn("attack_type", F.col("kind"))
     parts = frozen(stratified_split(rows, "kind", "doc_id"), "split")
     fitted = sv.fit_attack_types(parts.filter("split = 'train'"), TEXT_COLUMNS)
-    scored = frozen(fitted.score(parts.filter("split = 'test'")).select("kind", "predicted_type"), "scored")
+    test, path = parts.filter("split = 'test'"), scratch_path(spark, "types")
+    fitted.save(spark, path)
+    again = sv.load_attack_types(spark, path).score(test, "again")
+    scored = frozen(fitted.score(test).join(again.select("doc_id", "again"), "doc_id").select("kind", "predicted_type", "again"), "scored")
+    same = scored.filter("NOT predicted_type <=> again").isEmpty()
     right = scored.agg(F.avg((F.col("kind") == F.col("predicted_type")).cast("double")).alias("p")).first()["p"]
-    return scored.groupBy("kind").agg(F.count("*").alias("tested")).withColumn("mostly_right", F.lit(right > 0.6))
+    return scored.groupBy("kind").agg(F.count("*").alias("tested")).withColumns(
+        {"mostly_right": F.lit(right > 0.6), "same_after_loading": F.lit(same)}
+    )
 
 
 @query(

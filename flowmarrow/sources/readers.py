@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from flowmarrow.functions.columns import clipped_finite, lenient_double, timestamp_of
+from flowmarrow.functions.columns import clipped_finite, lenient_double, numeric_or_zero, timestamp_of
 from flowmarrow.operators import labeling as lb
 from flowmarrow.operators.ordered import with_ordinal
 from flowmarrow.schemas import (
@@ -182,6 +182,22 @@ def rows_from_lists(spark: SparkSession, rows: list[list], width: int) -> DataFr
     return spark.createDataFrame([(i, r) for i, r in enumerate(cells)], "row_id long, features array<double>")
 
 
+def read_labelled_matrix(
+    spark: SparkSession, features: str, labels: str, key: str = "conn_id", label: str = "label"
+) -> DataFrame:
+    """A feature matrix and the labels of its rows, two headed CSVs that meet on ``key``: features as doubles, ``y`` 0/1.
+
+    Rows that only one of the two has are left out, whatever their position. A repeated key is refused.
+    """
+    x, found = read_csv(spark, features), read_csv(spark, labels)
+    for name, side in ((features, x), (labels, found)):
+        if key not in side.columns or not side.groupBy(key).count().filter("count > 1").isEmpty():
+            raise ValueError(f"{name} needs a column {key} without repeated values")
+    cells = [numeric_or_zero(c).alias(c) for c in x.columns if c != key]
+    y = lb.binary_target(found.select(key, label), label).select(key, "y")
+    return lb.feature_label_join(x.select(key, *cells), y, key)
+
+
 def feature_names(spark: SparkSession, path: str, fmt: str = "parquet") -> list[str]:
     """Column names of a saved feature table; only the schema is read."""
     reader = spark.read.format(fmt)

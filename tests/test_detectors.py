@@ -226,3 +226,14 @@ def test_windows_cut_in_the_task_are_those_of_the_table(spark, cut, block):
         held += h.tolist()
     want = [([c[0] for c in r.sequence], r.id % 3 == 0) for r in sliding_sequences(rows, ["v"], ["id"], 4, "host").collect()]
     assert sorted(zip(windows, held)) == sorted(want)
+
+
+def test_the_search_uses_the_scorer_it_is_given(data):
+    seen = []
+
+    def scorer(df, y):
+        seen.append(y)
+        return mt.binary_metrics(df, y).withColumn("f1", F.lit(0.25))
+
+    found = tn.search(data, COLUMNS, dt.IsolationForest, {"n_estimators": [5], "contamination": [0.1, 0.2]}, k=2, scorer=scorer)
+    assert {r["f1"] for r in found.collect()} == {0.25} and len(seen) == 4

@@ -1,8 +1,9 @@
 """Licence scan by the Dice coefficient over word bigrams.
 
-The units of a text are the whole text, its paragraphs and its lines. Units and templates are normalised: lower case,
+The units of a text are the whole text, its paragraphs, its lines and its sentences. Units and templates are normalised: lower case,
 runs of letters or digits as words, notices of a copyright holder left out. A unit matches a template if twice the
-number of common distinct bigrams is at least the threshold share of both numbers together. This bounds the size of a
+number of common distinct bigrams is at least the threshold share of both numbers together, and of the templates that a
+unit matches the most alike stands, or all that are equally so. This bounds the size of a
 unit by that of the template, so units of other sizes never meet it; the rest meet by their bigrams, and only pairs
 with a common bigram are counted. The templates are a bounded parameter; texts are never shuffled.
 
@@ -11,7 +12,7 @@ Null and empty texts match nothing. Equal texts have equal results, whatever the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmarrow.llm.text import let, query, table, whole
@@ -31,6 +32,10 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
@@ -46,9 +51,14 @@ TEMPLATES = [
 ]
 
 
+#: A line that names a copyright holder; blanks before it do not run on over empty lines.
+COPYRIGHT = r"(?m)^[\x20\t\x0B\f\r]*copyright\s.*$"
+SENTENCE_END = r"[.!?][\x20\t\r\n]+"
+
+
 def bigrams(text: Column) -> Column:
     """Hashes of the distinct word pairs of a text."""
-    plain = F.regexp_replace(F.lower(text), r"(?m)^\s*copyright\s.*$", " ")
+    plain = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
     words = F.transform(F.array_remove(F.split(plain, r"[^\p{L}\p{N}]+"), ""), lambda w: F.xxhash64(w))
     pairs = let(words, lambda w: F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1))), 1, F.greatest(F.size(w) - 1, F.lit(0))))
     return F.array_distinct(pairs)
@@ -57,7 +67,7 @@ def bigrams(text: Column) -> Column:
 def units(text: Column) -> Column:
     """The distinct units of a text that have a word."""
     t = whole(text)
-    parts = F.concat(F.array(t), F.split(t, r"\n[\x20\t\r]*\n"), F.split(t, "\n"))
+    parts = F.concat(F.array(t), F.split(t, r"\n[\x20\t\r]*\n"), F.split(t, "\n"), F.split(t, SENTENCE_END))
     return F.filter(F.array_distinct(parts), lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
 
@@ -81,6 +91,8 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, perce
     met = u.join(F.broadcast(known), fits).select("key", "unit", "template", "license", "n", "m", u.gram).distinct()
     met = met.groupBy("key", "unit", "template", "license", "n", "m").agg(F.count(F.lit(1)).alias("common"))
     good = met.where(F.col("common") * 200 >= percent * (F.col("n") + F.col("m")))
+    dice = F.col("common") / (F.col("n") + F.col("m"))
+    good = good.withColumn("most", F.max(dice).over(Window.partitionBy("key", "unit"))).where(dice == F.col("most"))
     return good.select("key", "unit", "license", "common", (F.col("n") + F.col("m")).alias("size"))
 
 
@@ -98,15 +110,17 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent:
 def _sql() -> str:
     rows = ", ".join("({}, '{}', '{}')".format(i, a, b.replace("'", "''")) for i, (a, b) in enumerate(TEMPLATES))
     grams = r"""list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))"""
-    words = r"""list_filter(regexp_split_to_array(regexp_replace(lower({0}), '(?m)^\s*copyright\s.*$', ' ', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"""
+    words = r"""list_filter(regexp_split_to_array(regexp_replace(lower({0}), '(?m)^[\x20\t\x0B\f\r]*copyright\s.*$', ' ', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"""
     return f"""
 WITH t AS (SELECT tid, license, {grams} AS g FROM (SELECT tid, license, {words.format("body")} AS words FROM (VALUES {rows}) v(tid, license, body))),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-u AS (SELECT DISTINCT rid, unnest(list_concat([text], regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), string_split(text, chr(10)))) AS part FROM d),
-g AS (SELECT rid, {grams} AS g FROM (SELECT rid, {words.format("part")} AS words FROM u)),
-m AS (SELECT rid, license, round(2 * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)), 6) AS dice FROM g JOIN t
+u AS (SELECT DISTINCT rid, unnest(list_concat([text], regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), string_split(text, chr(10)),
+  regexp_split_to_array(text, '[.!?][ \\t\\r\\n]+'))) AS part FROM d),
+g AS (SELECT row_number() OVER () AS nr, rid, {grams} AS g FROM (SELECT rid, {words.format("part")} AS words FROM u)),
+a AS (SELECT nr, rid, license, len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) AS share, round(2 * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)), 6) AS dice FROM g JOIN t
   ON 120 * len(g.g) >= 80 * len(t.g) AND 120 * len(t.g) >= 80 * len(g.g) AND len(g.g) > 0
-  WHERE 200 * len(list_intersect(g.g, t.g)) >= 80 * (len(g.g) + len(t.g)))
+  WHERE 200 * len(list_intersect(g.g, t.g)) >= 80 * (len(g.g) + len(t.g))),
+m AS (SELECT * FROM (SELECT *, max(share) OVER (PARTITION BY nr) AS most FROM a) WHERE share = most)
 SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(best, 0.0) AS best FROM d LEFT JOIN
   (SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS best FROM m GROUP BY rid) USING (rid)"""
 

@@ -22,8 +22,8 @@ from flowmarrow.llm.text import let, query, rows_only, split_words, table, whole
 from flowmarrow.session import frozen
 
 SYMBOLS = "[#*$%&|<>]"
-#: A word with an upper-case letter and no lower-case one.
-SHOUTED = r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$"
+#: A word that has the first and not the second is shouted; two searches, each of which reads a word once.
+UPPER_CASE, LOWER_CASE = r"\p{Lu}", r"\p{Ll}"
 WINDOW = 8
 SAMPLE_ROWS = 3000
 
@@ -112,7 +112,7 @@ def _dup_lines(t: Text) -> Column:
 
 
 def _upper_case(t: Text) -> Column:
-    return 2 * F.size(F.filter(t.words, lambda w: w.rlike(SHOUTED))) > t.n_words
+    return 2 * F.size(F.filter(t.words, lambda w: w.rlike(UPPER_CASE) & ~w.rlike(LOWER_CASE))) > t.n_words
 
 
 def _no_letters(t: Text) -> Column:

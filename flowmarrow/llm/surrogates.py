@@ -57,11 +57,12 @@ _CARD, _PHONE = r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}", r"(?:\+\d{1,3}[ .-]?)?(?
 _HOLDER = r"(?>(?=[AaPpSsTt])(?i:password|passwd|passphrase|pwd|(?:api|access|secret|private)[_-]?key|secret|token)\\?[\"']?[ \t]*(?::=|=>|==?|:(?!:))[ \t]*\\?[\"']?)"
 _VALUE = r"(?:(?<=\")[^\"\\\r\n]+(?=\\?\")|(?<=')[^'\\\r\n]+(?=\\?')|[^\s\"']+)"
 # inner capitals, apostrophes (but not the possessive s), hyphens, initials
-_WORD = r"(?:\p{Lu}\.(?= \p{Lu})|\p{Lu}(?:\p{L}|\p{M}|['’](?!s(?!\p{L}))(?=\p{L})|-(?=\p{Lu}))+)"
-_NAME = rf"(?:{_ALL_TITLES})\.? {_WORD}(?: (?!(?:{_ALL_TITLES})(?!\p{{L}})){_WORD})*"
+_WORD = r"(?:\p{Lu}\.(?= \p{Lu})|\p{Lu}(?:\p{L}|\p{M}|['’](?!s(?!\p{L}))(?=\p{L})|-(?=\p{Lu}))++)"
+_NAME = rf"(?:{_ALL_TITLES})\.? {_WORD}(?: (?!(?:{_ALL_TITLES})(?!\p{{L}})){_WORD})*+"
+# groups repeat possessively, so that a mention of any length is read in a loop and not by recursion
 #: (kind, pattern); the first that fits at a place wins.
 PATTERNS = [
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?!\.)[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
     ("secret", _HOLDER + _VALUE),
     ("key", r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])"),
     ("card", rf"(?<![\d.])(?<!\d-){_CARD}(?!-?\d)"),

@@ -5,13 +5,16 @@ runs of letters or digits as words, notices of a copyright holder left out. A un
 number of common distinct bigrams is at least the threshold share of both numbers together, and of the templates that a
 unit matches the most alike stands, or all that are equally so. This bounds the size of a
 unit by that of the template, so units of other sizes never meet it; the rest meet by their bigrams, and only pairs
-with a common bigram are counted. The templates are a bounded parameter; texts are never shuffled.
+with a common bigram are counted. A text without any of the words that a match cannot do without is not taken apart. The templates are a bounded parameter; texts are never shuffled.
 
 Null and empty texts match nothing. Equal texts have equal results, whatever their ids; every row is returned.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +74,28 @@ def units(text: Column) -> Column:
     return F.filter(F.array_distinct(parts), lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
 
+def needed_words(templates: list[tuple[str, str]], percent: int) -> list[str]:
+    """Words one of which every text with a match contains.
+
+    A match has all but a few of its template's bigrams, so of one bigram more than these few at least one is there, and with it
+    each of its words. Words that serve several templates come first, then long ones, which are rare.
+    """
+    grams = []
+    for _, body in templates:
+        words = regex.findall(r"[\p{L}\p{N}]+", regex.sub(COPYRIGHT, " ", body.lower()))
+        grams.append(sorted(set(zip(words, words[1:]))))
+    uses = Counter(w for g in grams for w in {w for pair in g for w in pair})
+    chosen: set[str] = set()
+    for g in grams:
+        m = len(g)
+        least = -(-m * percent // (200 - percent))
+        common = max(1, -(-percent * (least + m) // 200))
+        best = lambda pair: max(pair, key=lambda w: (w in chosen, len(w) * min(uses[w], 4), w))
+        by_word = sorted((best(pair) for pair in g), key=lambda w: (w not in chosen, -len(w) * min(uses[w], 4), w))
+        chosen.update(by_word[: m - common + 1])
+    return sorted(chosen)
+
+
 def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """(key, unit, license, common, size): units of distinct texts that match a template; ``key`` is the text's digest."""
     if len(templates) > MOST_TEMPLATES:
@@ -78,7 +103,9 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, perce
     known = docs.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, body string")
     known = known.select("template", "license", bigrams(F.col("body")).alias("grams"))
     known = known.select("template", "license", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
-    u = docs.select(F.md5(whole(F.col("text"))).alias("key"), F.posexplode(units(F.col("text"))).alias("unit", "part"))
+    words = "|".join(needed_words(templates, percent))
+    hopeful = docs.where(F.lower(whole(F.col("text"))).rlike(words)) if words else docs.where(F.lit(False))
+    u = hopeful.select(F.md5(whole(F.col("text"))).alias("key"), F.posexplode(units(F.col("text"))).alias("unit", "part"))
     longest = max((len(body) for _, body in templates), default=0)
     # a unit has no more bigrams than twice the bound allows for the longest template, and a word has a letter
     u = u.select("key", "unit", bigrams(F.col("part")).alias("grams"))

@@ -47,3 +47,21 @@ def test_every_template_gives_its_own_licence_alone(spark):
 def test_a_notice_inside_a_paragraph(spark):
     texts = ["Some code here today. Released under the MIT License. It does a lot of things for many people! Nothing else is said here.", "No word on it."]
     assert scanned(spark, *texts) == ["MIT", ""]
+
+
+def test_no_match_lacks_all_needed_words():
+    """Every way to lose as many bigrams of a short template as a match may lose leaves a needed word."""
+    from itertools import combinations
+
+    for percent in (50, 80, 100):
+        words = set(licenses.needed_words(licenses.TEMPLATES, percent))
+        for _, body in licenses.TEMPLATES:
+            found = licenses.regex.findall(r"[\p{L}\p{N}]+", body.lower())
+            grams = sorted(set(zip(found, found[1:])))
+            if len(grams) > 14:
+                continue
+            for k in range(len(grams) + 1):
+                for kept in combinations(grams, k):
+                    # a unit of these bigrams and nothing else is as alike as one with them can be
+                    if 200 * k >= percent * (k + len(grams)) and k:
+                        assert words & {w for pair in kept for w in pair}

@@ -12,6 +12,10 @@ so almost only similar pairs are compared word by word. Equal sets are one entry
 step is a join or an aggregation. Codes may collide, which only adds pairs to compare; whole sets and texts are
 identified by 64-bit hashes.
 
+One earlier similar line is enough for a line to go. So each set is first compared with the earliest sets that share
+neighbouring rare words with it, found by an aggregation. Sets that are settled by this need no earlier partner any more
+and only serve as partners of others in the join. A group of near copies thus costs a few rows a member, not one for each pair.
+
 Null and empty texts have no lines to remove and stay as they are. Rows without an id come last. Rows with equal id and
 text have the same lines removed.
 """
@@ -21,30 +25,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowmarrow.llm.text import query, rows_only, split_words, table, whole, with_row
-from flowmarrow.operators.ordered import with_ordinal
+from flowmarrow.llm.text import BLANKS, query, rows_only, table, whole, with_row
 from flowmarrow.session import frozen
 
 PERCENT = 80
 #: The rarity table has this many one-byte counters, whatever the size of the vocabulary.
 BUCKETS = 2**18
-#: Rows, of at most a few dozen bytes, that are sent to all executors at most; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Tables of at most this size are sent to all executors; larger ones are joined by shuffle.
+BROADCAST_BYTES = 2**26
+#: Lines of more words have a bitmap of 128 bits, others of 64.
+LONG = 64
+#: Neighbouring rare words of a set that look for an earlier set in advance.
+MARKS = 3
+#: Marks a set that still needs an earlier partner, between the length and the place of a code.
+OPEN = 2**31
+
 
+def _small(df: DataFrame, width: int = 64) -> DataFrame:
+    """A table with rows of at most ``width`` bytes, broadcast if it is small."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+def _words(line: Column) -> Column:
+    """The lower-cased words of a line; a plain blank as separator is much cheaper than a pattern."""
+    plain = ~line.rlike(r"[\x09-\x0D]")
+    return F.array_remove(F.when(plain, F.split(F.lower(line), " ")).otherwise(F.split(F.lower(line), BLANKS)), "")
 
 
 def words_of(line: Column) -> Column:
     """Hashes of the distinct words of a line."""
-    return F.array_distinct(F.transform(split_words(F.lower(line)), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
 
 
 def rarity(docs: DataFrame) -> Column:
     """A level of frequency, 0 to 127, for every bucket of words, as one byte each in a literal."""
-    words = docs.select(F.explode(split_words(F.lower(F.col("text")))).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    lines = docs.select(F.explode(F.split(whole(F.col("text")), "\n")).alias("line"))
+    words = lines.select(F.explode(_words(F.col("line"))).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.lit(127), F.floor(5 * F.log2(F.col("n") + 1))).cast("int")
     levels = bytearray(BUCKETS)
     for bucket, found in counts.select("bucket", level).collect():  # BUCKETS rows at most
@@ -56,89 +73,129 @@ def _codes(words: Column, levels: Column) -> Column:
     """The order codes of a set of word hashes, rarest first: frequency, then hash."""
 
     def code(h):
-        level = F.ascii(F.substring(levels, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level, 24) + F.pmod(F.shiftright(h, 20), F.lit(2**24)).cast("int")
+        level = F.ascii(F.substring(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(level, 24) + F.shiftright(h, 20).bitwiseAND(F.lit(2**24 - 1)).cast("int")
 
     return F.sort_array(F.transform(words, code))
 
 
 def _bits(words: Column) -> list[Column]:
-    """A bitmap of the words in two columns: each word flips one of 128 bits."""
+    """A bitmap of the words in two columns: each word flips one of 128 bits, in a short line one of the first 64."""
 
     def half(k):
         def flip(bits, h):
-            one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
-            return F.when(F.pmod(F.shiftright(h, 6), F.lit(2)) == k, bits.bitwiseXOR(one)).otherwise(bits)
+            mine = F.shiftright(h, 6).bitwiseAND(F.lit(1))
+            return bits.bitwiseXOR(F.call_function("shiftleft", mine if k else F.lit(1) - mine, h.bitwiseAND(F.lit(63)).cast("int")))
+
+        return F.aggregate(words, F.lit(0).cast("long"), flip)
+
+    def fold(bits, h):
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+
+    short = F.size(words) <= LONG
+    none = F.lit(0).cast("long")
+    return [F.when(short, F.aggregate(words, none, fold)).otherwise(half(0)).alias("bits0"), F.when(short, none).otherwise(half(1)).alias("bits1")]
+
 
-        return F.aggregate(words, F.lit(0).cast("long"), flip).alias(f"bits{k}")
+def _apart(n, bits0, bits1) -> Column:
+    """A lower bound of the words that only one of two lines has; the arguments give a column of side x or y."""
+    first, second = bits0("x").bitwiseXOR(bits0("y")), bits1("x").bitwiseXOR(bits1("y"))
+    folded = F.bit_count(first.bitwiseXOR(second))
+    return F.when(F.least(n("x"), n("y")) <= LONG, folded).otherwise(F.bit_count(first) + F.bit_count(second))
 
-    return [half(0), half(1)]
+
+def _reach(n: Column, percent: int) -> Column:
+    return n - F.ceil(n * percent / 100).cast("int") + 1
 
 
 def occurrences(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc, key, no, sid, n, codes, bits0, bits1): every line with a word, with the codes of its prefix."""
+    """(doc, key, no, sid, n, codes, bits0, bits1): every line with a word, with the codes of its prefix, or more for marks."""
     levels = rarity(docs)
     t = whole(F.col("text"))
     d = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(t).alias("key"), F.posexplode(F.split(t, "\n")).alias("no", "line"))
-    d = d.select("doc", "key", "no", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+    # a test of the words themselves would have them made twice
+    d = d.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc", "key", "no", words_of(F.col("line")).alias("words"))
     n = F.size("words")
-    d = d.select("doc", "key", "no", n.alias("n"), F.xxhash64(F.sort_array("words")).alias("sid"), _codes(F.col("words"), levels).alias("codes"), *_bits(F.col("words")))
-    reach = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    return d.select("doc", "key", "no", "sid", "n", F.slice("codes", F.lit(1), reach).alias("codes"), "bits0", "bits1")
+    codes = F.slice(_codes(F.col("words"), levels), F.lit(1), F.greatest(_reach(n, percent), F.lit(MARKS + 1)))
+    return d.select("doc", "key", "no", n.alias("n"), F.xxhash64(F.sort_array("words")).alias("sid"), codes.alias("codes"), *_bits(F.col("words")))
+
+
+def early_guesses(sets: DataFrame) -> DataFrame:
+    """(a, b): for every set and mark, the set of the first document that has the mark too."""
+    marks = F.array(*[F.when(F.size("codes") > i + 1, F.xxhash64(F.get("codes", F.lit(i)), F.get("codes", F.lit(i + 1)))) for i in range(MARKS)])
+    marked = sets.select("rid", "doc", F.explode(marks).alias("mark")).where(F.col("mark").isNotNull())
+    leads = marked.groupBy("mark").agg(F.min(F.struct("doc", "rid")).alias("lead"), F.count(F.lit(1)).alias("times"))
+    leads = frozen(leads.where(F.col("times") > 1).select("mark", F.col("lead.rid").alias("b")), "line-leads")
+    met = marked.join(_small(leads), "mark").where(F.col("rid") != F.col("b"))
+    return met.select(F.col("rid").alias("a"), "b").distinct()
 
 
 def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(late, early): candidate pairs of distinct sets that pass the length, position and overlap bounds."""
-    # n and the place in the prefix share a column, which halves the rows that are shuffled
-    entries = sets.select("rid", "n", "bits0", "bits1", F.posexplode("codes").alias("at", "code"))
-    entries = entries.select("code", "rid", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"), "bits0", "bits1")
+    """(a, b): candidate pairs of distinct sets that pass the length, position and overlap bounds, the later one open."""
+    # length, mark and place in the prefix share a column, which makes the shuffled rows smaller
+    codes = F.slice("codes", F.lit(1), _reach(F.col("n"), percent))
+    entries = sets.select("rid", "doc", "n", "open", "bits0", "bits1", F.posexplode(codes).alias("at", "code"))
+    place = F.shiftleft(F.col("n").cast("long"), 32) + F.when(F.col("open"), F.lit(OPEN)).otherwise(0) + F.col("at")
+    entries = entries.select("code", "rid", "doc", place.alias("place"), "bits0", "bits1")
     x, y = entries.alias("x"), entries.alias("y")
     c = F.col
     size = lambda side: F.shiftright(c(f"{side}.place"), 32)
-    at = lambda side: c(f"{side}.place").bitwiseAND(F.lit(2**32 - 1))
+    at = lambda side: c(f"{side}.place").bitwiseAND(F.lit(OPEN - 1))
+    is_open = lambda side: c(f"{side}.place").bitwiseAND(F.lit(OPEN)) != 0
+    before = lambda a, b: F.coalesce(c(f"{a}.doc") < c(f"{b}.doc"), F.lit(False))
     need = F.ceil((size("x") + size("y")) * percent / (100 + percent))
     index_size = size("y") - F.ceil(size("y") * 2 * percent / (100 + percent)) + 1
-    apart = F.bit_count(c("x.bits0").bitwiseXOR(c("y.bits0"))) + F.bit_count(c("x.bits1").bitwiseXOR(c("y.bits1")))
     fits = (
         (c("x.code") == c("y.code"))
         & ((size("x") > size("y")) | ((size("x") == size("y")) & (c("x.rid") > c("y.rid"))))
         & (100 * size("y") >= percent * size("x")) & (at("y") < index_size)
+        & ((is_open("x") & ~before("x", "y")) | (is_open("y") & ~before("y", "x")))
         & (F.least(size("x") - at("x"), size("y") - at("y")) >= need)
-        & (size("x") + size("y") - apart >= 2 * need)  # each bit that differs takes a word on one side only
+        & (size("x") + size("y") - _apart(size, lambda s: c(f"{s}.bits0"), lambda s: c(f"{s}.bits1")) >= 2 * need)
     )
-    late, early = F.greatest(c("x.rid"), c("y.rid")), F.least(c("x.rid"), c("y.rid"))
-    return x.join(y, fits).select(late.alias("late"), early.alias("early")).distinct()
+    return x.join(y, fits).select(c("x.rid").alias("a"), c("y.rid").alias("b")).distinct()
 
 
-def _alike(pairs: DataFrame, whole_sets: DataFrame, percent: int) -> DataFrame:
-    """(rid): the later sets of pairs that are similar word by word."""
-    a = whole_sets.select(F.col("rid").alias("late"), F.col("words").alias("a"))
-    b = whole_sets.select(F.col("rid").alias("early"), F.col("words").alias("b"))
-    both = pairs.join(a, "late").join(b, "early")
-    common = F.size(F.array_intersect("a", "b"))
-    alike = both.where((100 + percent) * common >= percent * (F.size("a") + F.size("b")))
-    return alike.select(F.col("late").alias("rid")).distinct()
+def _whole_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(rid, first, open, n, words, bits0, bits1): the sets of the pairs with all their words, read from their first line."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    at = sets.select("rid", "open", F.col("none").alias("at_none"), F.col("doc").alias("at_doc"), F.col("key").alias("at_key"), F.col("no").alias("at_no"))
+    at = frozen(at.join(wanted, "rid"), "line-wanted")
+    t = whole(F.col("text"))
+    d = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(t).alias("key"), F.posexplode(F.split(t, "\n")).alias("no", "line"))
+    d = d.join(_small(at), F.col("doc").eqNullSafe(F.col("at_doc")) & (F.col("key") == F.col("at_key")) & (F.col("no") == F.col("at_no")))
+    d = d.select("rid", "open", F.struct("at_none", "doc", "key", "no").alias("first"), words_of(F.col("line")).alias("words"))
+    d = d.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("open", "first", "words")])  # rows with equal id and text
+    return frozen(d.select("*", F.size("words").alias("n"), *_bits(F.col("words"))), "line-sets")
+
+
+def _later_of(pairs: DataFrame, whole_sets: DataFrame, percent: int) -> DataFrame:
+    """(rid): the later sets, if open, of pairs that are similar word by word."""
+    short = whole_sets.select("rid", F.struct("rid", "first", "open", "n", "bits0", "bits1").alias("set"))
+    both = pairs.join(short.select(F.col("rid").alias("a"), F.col("set").alias("x")), "a")
+    both = both.join(short.select(F.col("rid").alias("b"), F.col("set").alias("y")), "b")
+    x, y = F.col("x"), F.col("y")
+    swapped = x["first"] < y["first"]
+    late = F.when(swapped, y).otherwise(x)
+    apart = _apart(*[lambda side, f=f: F.col(side)[f] for f in ("n", "bits0", "bits1")])
+    need = F.ceil((x["n"] + y["n"]) * percent / (100 + percent))
+    near = both.where(late["open"] & (x["n"] + y["n"] - apart >= 2 * need))
+    near = near.select(late["rid"].alias("late"), F.when(swapped, x["rid"]).otherwise(y["rid"]).alias("early"))
+    near = near.join(whole_sets.select(F.col("rid").alias("late"), F.col("words").alias("a")), "late")
+    near = near.join(whole_sets.select(F.col("rid").alias("early"), F.col("words").alias("b")), "early")
+    alike = (100 + percent) * F.size(F.array_intersect("a", "b")) >= percent * (F.size("a") + F.size("b"))
+    return near.where(alike).select(F.col("late").alias("rid")).distinct()
 
 
 def later_sets(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(rid): the sets for which an earlier set is similar, compared word by word.
-
-    One similar partner is enough, so every set is first compared with its earliest candidate alone; only sets for which
-    that fails meet the others. A large group of near copies thus costs a comparison for each, not for each pair.
-    """
-    pairs = frozen(similar_pairs(sets, percent), "line-candidates")
-    wanted = pairs.select(F.col("late").alias("rid")).union(pairs.select("early")).distinct()
-    at = sets.join(wanted, "rid").select("rid", "sid", F.col("key").alias("at_key"), F.col("no").alias("at_no"))
-    at = frozen(at, "line-wanted")
-    t = whole(F.col("text"))
-    d = docs.select(F.xxhash64(t).alias("key"), t.alias("text")).join(_small(at), F.col("key") == F.col("at_key"))
-    d = d.select("rid", "sid", words_of(F.get(F.split("text", "\n"), F.col("at_no"))).alias("words"))
-    d = d.where(F.xxhash64(F.sort_array("words")) == F.col("sid"))
-    whole_sets = frozen(d.groupBy("rid").agg(F.first("words").alias("words")), "line-sets")
-    first = pairs.groupBy("late").agg(F.min("early").alias("early"))
-    found = frozen(_alike(first, whole_sets, percent), "line-later")
-    rest = pairs.join(found.withColumnRenamed("rid", "late"), "late", "left_anti").join(first, ["late", "early"], "left_anti")
-    return found.union(_alike(frozen(rest, "line-rest"), whole_sets, percent))
+    """(rid): the sets for which an earlier set is similar, compared word by word."""
+    fresh = sets.withColumn("open", F.lit(True))
+    guesses = frozen(early_guesses(sets), "line-guesses")
+    settled = frozen(_later_of(guesses, _whole_sets(docs, fresh, guesses), percent), "line-settled")
+    done = settled.withColumn("done", F.lit(True))
+    left = sets.join(_small(done), "rid", "left").withColumn("open", F.col("done").isNull())
+    pairs = frozen(similar_pairs(left, percent), "line-candidates")
+    return settled.union(_later_of(pairs, _whole_sets(docs, left, pairs), percent))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -147,24 +204,26 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     none = F.col("doc").isNull()
     order = F.struct(none.alias("none"), "doc", "key", "no")
     sets = found.groupBy("sid").agg(
-        F.min(order).alias("first"), F.first("n").alias("n"), F.first("codes").alias("codes"),
-        F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"),
-    )
-    sets = sets.select("sid", "first.none", "first.doc", "first.key", "first.no", "n", "codes", "bits0", "bits1")
-    # numbers in the order of the first occurrence
-    sets = with_ordinal(sets, ["none", "doc", "key", "no", "sid"], "rid")  # this freezes them
+        F.min(order).alias("first"), F.count(F.lit(1)).alias("times"), F.first(F.struct("n", "codes", "bits0", "bits1")).alias("set")
+    )
+    # numbers are only names, so any will do once they are written
+    sets = frozen(sets.select(F.monotonically_increasing_id().alias("rid"), "sid", "first.*", "times", "set.*"), "line-distinct")
     late = frozen(later_sets(docs, sets, percent), "line-later").withColumn("late", F.lit(True))
-    firsts = sets.join(late, "rid", "left").select("sid", order.alias("first"), "late")
-    firsts = frozen(firsts, "line-verdicts")
-    gone = found.select("doc", "key", "no", "sid").join(firsts, "sid").where(F.col("late") | (order > F.col("first")))
+    firsts = sets.select("rid", "sid", order.alias("first"), "times").join(_small(late), "rid", "left")
+    firsts = frozen(firsts.where(F.col("late") | (F.col("times") > 1)).select("sid", "first", "late"), "line-verdicts")
+    gone = found.select("doc", "key", "no", "sid").join(_small(firsts), "sid").where(F.col("late") | (order > F.col("first")))
     return gone.groupBy("doc", "key").agg(F.sort_array(F.collect_set("no")).alias("removed"))
 
 
 def _with_removed(docs: DataFrame, percent: int) -> DataFrame:
     gone = frozen(removed_lines(docs.select("doc_id", "text"), percent), "line-removals")
     gone = gone.select(F.col("doc").alias("gone_doc"), F.col("key").alias("gone_key"), "removed")
+    # a document can lose any number of lines, so bytes are counted, not only rows
+    size = gone.agg(F.coalesce(F.sum(F.lit(64) + 4 * F.size("removed").cast("long")), F.lit(0)).alias("bytes")).first()["bytes"]
+    if size <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
     rows = with_row(docs, id=F.col("doc_id"), text=whole(F.col("text")), key=F.xxhash64(whole(F.col("text"))))
-    return rows.join(_small(gone), rows.id.eqNullSafe(gone.gone_doc) & (rows.key == gone.gone_key), "left")
+    return rows.join(gone, rows.id.eqNullSafe(gone.gone_doc) & (rows.key == gone.gone_key), "left")
 
 
 def n_chars(text: Column) -> Column:

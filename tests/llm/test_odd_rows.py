@@ -81,7 +81,7 @@ def test_rules_are_ordered_by_rejections_per_cost():
 
 def test_many_windows_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(contamination, "BROADCAST_SHINGLES", -1)
-    monkeypatch.setattr(lines, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", -1)
     made = duckdb.connect()
     for t in ("documents", "benchmark"):
         made.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")

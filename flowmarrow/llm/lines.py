@@ -13,7 +13,7 @@ step is a join or an aggregation. Codes may collide, which only adds pairs to co
 identified by 64-bit hashes.
 
 One earlier similar line is enough for a line to go. So each set is first compared with the earliest sets that share
-neighbouring rare words with it, found by an aggregation. Sets that are settled by this need no earlier partner any more
+neighbouring rare words with it, found by an aggregation, then with those sets that settled others. Sets that are settled by this need no earlier partner any more
 and only serve as partners of others in the join. A group of near copies thus costs a few rows a member, not one for each pair.
 
 Null and empty texts have no lines to remove and stay as they are. Rows without an id come last. Rows with equal id and
@@ -37,6 +37,8 @@ BROADCAST_BYTES = 2**26
 LONG = 64
 #: Neighbouring rare words of a set that look for an earlier set in advance.
 MARKS = 3
+#: Rounds of guesses before the join: the first by marks, the others by sets that settled others.
+ROUNDS = 2
 #: Marks a set that still needs an earlier partner, between the length and the place of a code.
 OPEN = 2**31
 
@@ -104,6 +106,18 @@ def _apart(n, bits0, bits1) -> Column:
     return F.when(F.least(n("x"), n("y")) <= LONG, folded).otherwise(F.bit_count(first) + F.bit_count(second))
 
 
+#: What bounds of two sets are taken from.
+OUTLINE = ("rid", "n", "bits0", "bits1")
+
+
+def _may_be_alike(percent: int) -> Column:
+    """Whether lengths and bitmaps of the structs x and y let them be similar."""
+    n = lambda side: F.col(side)["n"]
+    apart = _apart(*[lambda side, f=f: F.col(side)[f] for f in OUTLINE[1:]])
+    need = F.ceil((n("x") + n("y")) * percent / (100 + percent))
+    return (F.least(n("x"), n("y")) >= need) & (n("x") + n("y") - apart >= 2 * need)
+
+
 def _reach(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100).cast("int") + 1
 
@@ -130,6 +144,19 @@ def early_guesses(sets: DataFrame) -> DataFrame:
     return met.select(F.col("rid").alias("a"), "b").distinct()
 
 
+def centre_guesses(sets: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for every open set and code of its prefix, the set with that code which most sets have been settled by,
+    and the earliest such set; ``settled`` holds pairs (rid, early)."""
+    centres = settled.groupBy(F.col("early").alias("rid")).agg(F.count(F.lit(1)).alias("settles"))
+    code = F.explode(F.slice("codes", F.lit(1), _reach(F.col("n"), percent))).alias("code")
+    held = sets.join(_small(centres), "rid").select("doc", "settles", F.struct(*OUTLINE).alias("set"), code)
+    leads = held.groupBy("code").agg(F.max(F.struct("settles", "set")).alias("most"), F.min(F.struct("doc", "set")).alias("first"))
+    leads = frozen(leads.select("code", F.explode(F.array_distinct(F.array("most.set", "first.set"))).alias("y")), "line-centres")
+    met = sets.where(F.col("open")).select(F.struct(*OUTLINE).alias("x"), code).join(_small(leads, 96), "code")
+    met = met.where((F.col("x.rid") != F.col("y.rid")) & _may_be_alike(percent))
+    return met.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+
+
 def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): candidate pairs of distinct sets that pass the length, position and overlap bounds, the later one open."""
     # length, mark and place in the prefix share a column, which makes the shuffled rows smaller
@@ -170,32 +197,33 @@ def _whole_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame
 
 
 def _later_of(pairs: DataFrame, whole_sets: DataFrame, percent: int) -> DataFrame:
-    """(rid): the later sets, if open, of pairs that are similar word by word."""
-    short = whole_sets.select("rid", F.struct("rid", "first", "open", "n", "bits0", "bits1").alias("set"))
+    """(rid, early): the later sets, if open, of pairs that are similar word by word, and the earlier ones."""
+    short = whole_sets.select("rid", F.struct("first", "open", *OUTLINE).alias("set"))
     both = pairs.join(short.select(F.col("rid").alias("a"), F.col("set").alias("x")), "a")
     both = both.join(short.select(F.col("rid").alias("b"), F.col("set").alias("y")), "b")
     x, y = F.col("x"), F.col("y")
     swapped = x["first"] < y["first"]
     late = F.when(swapped, y).otherwise(x)
-    apart = _apart(*[lambda side, f=f: F.col(side)[f] for f in ("n", "bits0", "bits1")])
-    need = F.ceil((x["n"] + y["n"]) * percent / (100 + percent))
-    near = both.where(late["open"] & (x["n"] + y["n"] - apart >= 2 * need))
+    near = both.where(late["open"] & _may_be_alike(percent))
     near = near.select(late["rid"].alias("late"), F.when(swapped, x["rid"]).otherwise(y["rid"]).alias("early"))
     near = near.join(whole_sets.select(F.col("rid").alias("late"), F.col("words").alias("a")), "late")
     near = near.join(whole_sets.select(F.col("rid").alias("early"), F.col("words").alias("b")), "early")
     alike = (100 + percent) * F.size(F.array_intersect("a", "b")) >= percent * (F.size("a") + F.size("b"))
-    return near.where(alike).select(F.col("late").alias("rid")).distinct()
+    return near.where(alike).select(F.col("late").alias("rid"), "early").distinct()
 
 
 def later_sets(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(rid): the sets for which an earlier set is similar, compared word by word."""
-    fresh = sets.withColumn("open", F.lit(True))
-    guesses = frozen(early_guesses(sets), "line-guesses")
-    settled = frozen(_later_of(guesses, _whole_sets(docs, fresh, guesses), percent), "line-settled")
-    done = settled.withColumn("done", F.lit(True))
-    left = sets.join(_small(done), "rid", "left").withColumn("open", F.col("done").isNull())
+    left = sets.withColumn("open", F.lit(True))
+    settled = None
+    for _ in range(ROUNDS):
+        guesses = frozen(early_guesses(left) if settled is None else centre_guesses(left, settled, percent), "line-guesses")
+        found = _later_of(guesses, _whole_sets(docs, left, guesses), percent)
+        settled = frozen(found if settled is None else settled.union(found), "line-settled")
+        done = settled.select("rid").distinct().withColumn("done", F.lit(True))
+        left = sets.join(_small(done), "rid", "left").withColumn("open", F.col("done").isNull())
     pairs = frozen(similar_pairs(left, percent), "line-candidates")
-    return settled.union(_later_of(pairs, _whole_sets(docs, left, pairs), percent))
+    return settled.union(_later_of(pairs, _whole_sets(docs, left, pairs), percent)).select("rid").distinct()
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

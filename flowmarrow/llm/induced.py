@@ -18,6 +18,8 @@ import numpy as np
 
 #: Queue entries (8 bytes each) that stay in memory.
 IN_MEMORY = 4_000_000
+#: Queue entries that are taken at a time, about.
+BLOCK = 1_000_000
 #: Symbols at most for which the sweeps beat doubling, as a share of the string.
 NARROW = 64
 
@@ -60,15 +62,26 @@ class Queues:
         return np.frombuffer(self.file.read(8 * part[1]), np.int64)
 
     def forward(self, symbol: int) -> Iterator[np.ndarray]:
-        """The run in order, with what is pushed meanwhile."""
+        """The run in order, in blocks of neighbouring parts, with what is pushed meanwhile."""
         k = 0
-        while k < len(self.runs.get(symbol, ())):
-            yield self._read(self.runs[symbol][k])
-            k += 1
+        while k < len(run := self.runs.get(symbol, ())):
+            parts, held = [], 0
+            while k < len(run) and held < BLOCK:
+                parts.append(self._read(run[k]))
+                held += len(parts[-1])
+                k += 1
+            yield np.concatenate(parts)
 
     def backward(self, symbol: int) -> Iterator[np.ndarray]:
-        for part in reversed(self.runs.get(symbol, [])):
-            yield self._read(part)[::-1]
+        run = self.runs.get(symbol, [])
+        k = len(run)
+        while k:
+            parts, held = [], 0
+            while k and held < BLOCK:
+                k -= 1
+                parts.append(self._read(run[k])[::-1])
+                held += len(parts[-1])
+            yield np.concatenate(parts)
 
     def close(self) -> None:
         self.file.close()

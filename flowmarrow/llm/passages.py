@@ -2,7 +2,7 @@
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. Every such
 string holds an anchor: the place of the smallest hash among its short byte strings, which is the same wherever the
-string occurs. Anchors that occur in two documents are found by an aggregation over all documents. Around each of
+string occurs. Anchors that occur in two documents are found by an aggregation over all documents, as packed numbers. Around each of
 their places the bytes that a string through the anchor can reach are cut out, and all cuts of one anchor meet in one
 shard. There, distinct cuts that have a rival for their anchor are joined to one text and sorted by external induced
 sorting (``induced``); neighbours in that order with ``LENGTH`` equal bytes are one class, whose smallest document id
@@ -30,8 +30,12 @@ LENGTH = 50
 GRAM = 24
 #: The id of rows without one.
 LAST = 2**63 - 1
-#: Bits of the filter for repeated anchors, which goes to all executors (16 MB), in chunks that single tasks make.
-FILTER_BITS, CHUNK_BITS = 2**27, 2**21
+#: Bits of the filter for repeated anchors, which goes to all executors (16 MB).
+FILTER_BITS = 2**27
+#: Bytes of text whose anchors are counted in one group, about; there are 64 groups at least.
+GROUP_BYTES = 2**26
+#: Anchors, and places with their cuts, that a task gathers before it sends them.
+BUFFERED, PLACES = 2_000_000, 200_000
 #: Documents with removals that are sent to all executors at most, and bytes of these; more are joined by shuffle.
 BROADCAST_DOCS, BROADCAST_BYTES = 500_000, 2**26
 #: Places of anchors in a shard, about.
@@ -78,46 +82,95 @@ def _bytes(docs: DataFrame) -> DataFrame:
     )
 
 
-def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """(anchor, n): the anchors that occur in documents of different ids, and in how many texts."""
+def anchor_bits(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """(bits, places): a bitmap of FILTER_BITS bits with a bit for every anchor of two or more rows, and how many places
+    these anchors have, not counting repetitions inside one buffer.
+
+    A task sends each anchor of a buffer once, as 32 bits in a byte string for each group of anchors. The group number adds
+    six bits or more. Equal numbers of different anchors only bring places that match nothing.
+    """
+    width = FILTER_BITS.bit_length() - 1
+    size = docs.agg(F.sum(F.octet_length(whole(F.col("text"))).cast("long"))).first()[0] or 0
+    low = width - min(width - 3, max(6, (size // GROUP_BYTES).bit_length()))
+
+    def packed(held: list[np.ndarray]) -> pd.DataFrame:
+        h = np.concatenate(held).view(np.uint64)
+        part = (h & np.uint64(FILTER_BITS - 1)) >> np.uint64(low)
+        value = (h & np.uint64((1 << low) - 1)) | (h >> np.uint64(width) << np.uint64(low))
+        key, times = np.unique(part << np.uint64(32) | value & np.uint64(2**32 - 1), return_counts=True)
+        part, value, twice = (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32), times > 1
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        cut = list(zip(first.tolist(), first[1:].tolist() + [len(part)]))
+        strings = [[value[a:b][twice[a:b] == t].tobytes() for a, b in cut] for t in (False, True)]
+        return pd.DataFrame({"part": part[first], "once": strings[0], "twice": strings[1]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for b in batches:
-            found = [(d, np.unique(anchors(np.frombuffer(t, np.uint8))[1])) for d, t in zip(b["doc"], b["text"]) if len(t) >= LENGTH]
-            if found:
-                sizes = [len(h) for _, h in found]
-                yield pd.DataFrame({"anchor": np.concatenate([h for _, h in found]), "doc": np.repeat([d for d, _ in found], sizes)})
-
-    found = _bytes(docs).select("doc", "text").mapInPandas(run, "anchor long, doc long")
-    ends = found.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n"))
-    return ends.where("least < most").select("anchor", "n")
-
-
-def anchor_bits(wanted: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with a bit for every wanted anchor."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(CHUNK_BITS, bool)
-        bits[pdf["bit"].to_numpy(np.int64) % CHUNK_BITS] = True
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].to_numpy(), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    bit = F.pmod("anchor", F.lit(FILTER_BITS))
-    chunks = wanted.select(bit.alias("bit"), F.floor(bit / CHUNK_BITS).cast("int").alias("chunk")).distinct()
-    out = np.zeros((FILTER_BITS // CHUNK_BITS, CHUNK_BITS // 8), np.uint8)
-    for r in chunks.groupBy("chunk").applyInPandas(run, "chunk int, bits binary").collect():  # FILTER_BITS / 8 bytes in all
-        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
-def cuts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+            for t in b["text"]:
+                if len(t) >= LENGTH:
+                    held.append(np.unique(anchors(np.frombuffer(t, np.uint8))[1]))
+                    n += len(held[-1])
+                if n > BUFFERED:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        once = np.sort(np.frombuffer(b"".join(pdf["once"]), np.uint32))
+        twice = np.frombuffer(b"".join(pdf["twice"]), np.uint32)
+        hit = np.union1d(once[1:][once[1:] == once[:-1]], twice)
+        bits = np.zeros(1 << low, bool)
+        bits[hit & np.uint32((1 << low) - 1)] = True
+        n = int(np.isin(once, hit).sum()) + len(twice)
+        return pd.DataFrame({"part": pdf["part"].iloc[:1].to_numpy(), "bits": [np.packbits(bits, bitorder="little").tobytes()], "n": [n]})
+
+    sent = _bytes(docs).select("text").mapInPandas(run, "part long, once binary, twice binary")
+    out, places = np.zeros((FILTER_BITS >> low, (1 << low) // 8), np.uint8), 0
+    for r in sent.groupBy("part").applyInPandas(merged, "part long, bits binary, n long").collect():  # FILTER_BITS / 8 bytes in all
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+        places += r["n"]
+    return out.ravel(), places
+
+
+def _joined(runs: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, ...]:
+    """(doc, key, start, stop) arrays with overlapping and touching runs of a text joined."""
+    doc, key, start, stop = np.array(runs, np.int64).reshape(-1, 4).T
+    order = np.lexsort((start, key, doc))
+    doc, key, start, stop = doc[order], key[order], start[order], stop[order]
+    if not len(doc):
+        return doc, key, start, stop
+    text = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))]) << 32  # texts are shorter
+    reach = np.maximum.accumulate(stop + text)
+    first = np.concatenate([[True], (start + text)[1:] > reach[:-1]])
+    last = np.append(np.flatnonzero(first)[1:] - 1, len(doc) - 1)
+    return doc[first], key[first], start[first], reach[last] - text[last]
+
+
+def cuts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """(anchor, doc, key, at, left, cut): the surroundings of repeated anchors; ``cut`` starts ``left`` bytes before.
 
-    Anchors are looked up in a bitmap of fixed size, so a few others come along; they match nothing.
+    Of equal cuts in a buffer only those of the smallest document are sent. The others are in a later document, so all
+    their strings go: they come as runs from ``at`` to ``left`` without a cut. A passage that very many documents share
+    thus sends a few cuts for each buffer, not for each document. Anchors are looked up in a bitmap of fixed size, so a few
+    others come along; they match nothing.
     """
-    known = docs.sparkSession.sparkContext.broadcast(anchor_bits(wanted))
+    known = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def sent(rows: list[tuple]) -> pd.DataFrame:
+        least: dict[tuple[bytes, int], int] = {}
+        for _, doc, _, _, n, cut in rows:
+            if doc < least.get((cut, n), LAST):
+                least[cut, n] = doc
+        mine = [r for r in rows if r[1] == least.get((r[5], r[4]), LAST)]
+        later = [r for r in rows if len(r[5]) >= LENGTH and r[1] != least.get((r[5], r[4]), LAST)]
+        done = _joined([(doc, key, at - n, at - n + len(cut)) for _, doc, key, at, n, cut in later])
+        table = [pd.DataFrame(mine, columns=["anchor", "doc", "key", "at", "left", "cut"])]
+        table += [pd.DataFrame({"anchor": 0, "doc": done[0], "key": done[1], "at": done[2], "left": done[3], "cut": None})]
+        return pd.concat([t for t in table if len(t)] or table[:1], ignore_index=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["anchor", "doc", "key", "at", "left", "cut"]
         rows: list[tuple] = []
         for b in batches:
             for doc, key, t in zip(b["doc"], b["key"], b["text"]):
@@ -129,11 +182,11 @@ def cuts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 at, h = at[there], h[there]
                 lead = np.minimum(at, LENGTH - GRAM)
                 rows += [(x, doc, key, p, n, t[p - n : p + LENGTH]) for x, p, n in zip(h.tolist(), at.tolist(), lead.tolist())]
-                if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=names)
+                if len(rows) > PLACES:
+                    yield sent(rows)
                     rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=names)
+            yield sent(rows)
 
     return _bytes(docs).mapInPandas(run, "anchor long, doc long, key long, at int, left int, cut binary")
 
@@ -198,14 +251,22 @@ def removed_in_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": doc[rows], "key": pdf["key"].to_numpy(np.int64)[rows], "start": base + begin, "stop": base + end})
 
 
+def _runs_of_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The runs of all cuts of some anchors, and those that came without a cut."""
+    done = pdf["cut"].isna().to_numpy()
+    runs = removed_in_shard(pdf[~done])
+    given = pdf.loc[done, ["doc", "key", "at", "left"]].set_axis(["doc", "key", "start", "stop"], axis=1)
+    return pd.concat([runs, given.astype(np.int64)], ignore_index=True) if len(given) else runs
+
+
 def removed_runs(docs: DataFrame) -> DataFrame:
     """(doc, key, spans): the byte runs to remove, start << 32 | stop, for every document that loses some."""
-    wanted = frozen(repeated_anchors(docs), "anchors")
-    found = cuts(docs, wanted)
-    places = wanted.agg(F.sum("n")).first()[0] or 0
+    bits, places = anchor_bits(docs)
+    found = cuts(docs, bits)
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), places // SHARD + 1)
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
-    runs = found.withColumn("shard", shard).groupBy("shard").applyInPandas(removed_in_shard, "doc long, key long, start long, stop long")
+    spread = F.when(F.col("cut").isNull(), F.xxhash64("doc", "key", "at")).otherwise(F.xxhash64("anchor"))
+    shard = F.pmod(spread, F.lit(shards)).cast("int")
+    runs = found.withColumn("shard", shard).groupBy("shard").applyInPandas(_runs_of_shard, "doc long, key long, start long, stop long")
     spans = F.collect_set(F.shiftleft("start", 32) + F.col("stop"))
     return runs.groupBy("doc", "key").agg(F.sort_array(spans).alias("spans"))
 

@@ -58,7 +58,8 @@ def test_planted(spark):
 
 def test_full_filter_and_shuffled_join(spark, monkeypatch):
     monkeypatch.setattr(passages, "FILTER_BITS", 64)
-    monkeypatch.setattr(passages, "CHUNK_BITS", 16)
+    monkeypatch.setattr(passages, "BUFFERED", 50)
+    monkeypatch.setattr(passages, "PLACES", 30)
     monkeypatch.setattr(passages, "BROADCAST_DOCS", -1)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
     assert rows_of(spark, rows) == plain(rows)

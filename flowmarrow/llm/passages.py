@@ -35,7 +35,7 @@ FILTER_BITS = 2**27
 #: Bytes of text whose anchors are counted in one group, about; there are 64 groups at least.
 GROUP_BYTES = 2**26
 #: Anchors, and places with their cuts, that a task gathers before it sends them.
-BUFFERED, PLACES = 2_000_000, 200_000
+BUFFERED, PLACES = 1_000_000, 100_000
 #: Documents with removals that are sent to all executors at most, and bytes of these; more are joined by shuffle.
 BROADCAST_DOCS, BROADCAST_BYTES = 500_000, 2**26
 #: Places of anchors in a shard, about.
@@ -227,10 +227,8 @@ def removed_in_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     doc = pdf["doc"].to_numpy(np.int64)
     least = np.full(len(texts), LAST)
     np.minimum.at(least, kind, doc)
-    anchor = np.zeros(len(texts), np.int64)
-    anchor[kind] = pdf["anchor"].to_numpy(np.int64)
-    _, rivals = np.unique(anchor, return_inverse=True)
-    rivals = np.bincount(rivals)[rivals] > 1
+    anchor, _ = pd.factorize(pd.Series([cut[left : left + GRAM] for cut, left in texts], dtype=object))
+    rivals = np.bincount(anchor)[anchor] > 1
     starts = LENGTH - GRAM + 1
     low = np.repeat(least[:, None], starts, axis=1)
     if rivals.any():
@@ -260,15 +258,22 @@ def _runs_of_shard(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def removed_runs(docs: DataFrame) -> DataFrame:
-    """(doc, key, spans): the byte runs to remove, start << 32 | stop, for every document that loses some."""
+    """(doc, key, spans): the maximal byte runs to remove, start << 32 | stop, for every document that loses some."""
     bits, places = anchor_bits(docs)
     found = cuts(docs, bits)
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), places // SHARD + 1)
     spread = F.when(F.col("cut").isNull(), F.xxhash64("doc", "key", "at")).otherwise(F.xxhash64("anchor"))
     shard = F.pmod(spread, F.lit(shards)).cast("int")
-    runs = found.withColumn("shard", shard).groupBy("shard").applyInPandas(_runs_of_shard, "doc long, key long, start long, stop long")
+    # the anchor stands in the cut, so its hash need not travel
+    found = found.select(shard.alias("shard"), "doc", "key", "at", "left", "cut")
+    runs = found.groupBy("shard").applyInPandas(_runs_of_shard, "doc long, key long, start long, stop long")
     spans = F.collect_set(F.shiftleft("start", 32) + F.col("stop"))
-    return runs.groupBy("doc", "key").agg(F.sort_array(spans).alias("spans"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(spans=[start << 32 | stop for start, stop in (_merged(np.array(x, np.int64)) for x in b["spans"])])
+
+    return runs.groupBy("doc", "key").agg(F.sort_array(spans).alias("spans")).mapInPandas(run, "doc long, key long, spans array<long>")
 
 
 def _merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

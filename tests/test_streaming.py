@@ -137,6 +137,21 @@ def test_rate_limit_over_batches(spark, batches):
     assert sorted(map(tuple, done.collect())) == limited(rows, 40, 20, 5)
 
 
+def test_keyed_streams_run_in_a_session_with_another_state_store(spark):
+    from flowmarrow.session import STORE
+
+    was, other = spark.conf.get(STORE), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    rows = [(k, T0 + dt.timedelta(minutes=k), 50 + k, None) for k in range(6)]
+    spark.conf.set(STORE, other)
+    try:
+        alerts = fed(spark, ALERT, [rows, [END]])
+        done = live.run_available(keyed.limited_alerts(alerts, min_priority=0, max_per_hour=3, keep=2), "other-store", keyed=True)
+        assert sorted((r["conn_id"], r["suppressed"]) for r in done.collect()) == [(0, 0), (1, 0), (2, 0), (4, 1), (5, 1)]
+        assert spark.conf.get(STORE) == other
+    finally:
+        spark.conf.set(STORE, was)
+
+
 def test_rate_limit_combines_inside_tasks(spark):
     """A busy hour in several tasks with many alerts each, and the number of those that no task sent on."""
     rows = alert_rows(2, 3000, 1)

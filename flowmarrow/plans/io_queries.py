@@ -195,7 +195,9 @@ def anomaly_csv(spark, sf_dir):
 )
 def alert_report_files(spark, sf_dir):
     path = scratch_path(spark, "alert-report")
-    writers.write_alert_report(alert_queries.explained(spark, sf_dir), path)
+    rows = alert_queries.explained_input(spark, sf_dir)
+    by_priority = alert_queries.explanations(rows, urgent_first=True)
+    writers.write_alert_report(alert_queries.explanations(rows), path, by_priority)
     head = spark.read.json(f"{path}/summary", schema="total_anomalies long")
     alerts = spark.read.json(f"{path}/alerts", schema="severity string, priority_score long")
     total = head.select("total_anomalies").scalar()

@@ -68,8 +68,9 @@ def write_features(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
-def write_json_report(df: DataFrame, path: str) -> None:
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
+def write_json_report(df: DataFrame, path: str, compression: str = "none") -> None:
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    lines.write.mode("overwrite").option("compression", compression).text(path)
 
 
 def write_metrics_csv(df: DataFrame, path: str) -> None:
@@ -102,10 +103,13 @@ def write_drift_report(history: DataFrame, baseline: DataFrame, path: str) -> No
     parts.unionByName(tagged("summary", history_summary(history))).write.mode("overwrite").json(path)
 
 
-def write_alert_report(explained: DataFrame, path: str) -> None:
-    """Summary record plus the alerts by priority."""
+def write_alert_report(explained: DataFrame, path: str, by_priority: DataFrame | None = None) -> None:
+    """Summary record plus the alerts by priority, as gzipped JSON lines: their texts repeat from alert to alert.
+
+    ``by_priority`` are the same alerts in order (``explain`` with ``urgent_first``); else the whole records are sorted here.
+    """
     from flowmarrow.operators.explain import alert_summary
 
     write_json_report(alert_summary(explained), f"{path}/summary")
-    alerts = explained.orderBy(F.desc("priority_score")).select("explanation.*")
-    write_json_report(alerts, f"{path}/alerts")
+    rows = explained.orderBy(F.desc("priority_score")) if by_priority is None else by_priority
+    write_json_report(rows.select("explanation.*"), f"{path}/alerts", "gzip")

@@ -1,9 +1,12 @@
 import datetime as dt
+import gzip
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from flowmarrow.operators import explain as ex
+from flowmarrow.sources import writers
 
 NAMES = [
     "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "bytes_ratio", "pkts_ratio",
@@ -78,6 +81,23 @@ def test_deduplication_and_report(spark):
     assert board["top_feature"] == "orig_bytes" and board["top_threat"] == "Data theft"
 
 
+def test_alert_report_is_sorted_as_numbers_and_compressed(spark, tmp_path):
+    base = one(spark)
+    rows = base
+    for k in range(2, 9):
+        rows = rows.unionByName(base.withColumns({"conn_id": F.lit(k).cast("long"), "expected": F.zip_with("original", "expected", lambda o, e: o + (e - o) / 10**k)}))
+    done, sorted_first = ex.explain(rows, NAMES, 0.5), ex.explain(rows, NAMES, 0.5, urgent_first=True)
+    writers.write_alert_report(done, f"{tmp_path}/a", sorted_first)
+    writers.write_alert_report(done, f"{tmp_path}/b")
+    read = lambda x: [line for p in sorted((tmp_path / x / "alerts").glob("part-*.gz")) for line in gzip.decompress(p.read_bytes()).decode().splitlines()]
+    assert len(read("a")) == 8 and sorted(read("a")) == sorted(read("b"))
+    order = [json.loads(line)["priority_score"] for line in read("a")]
+    assert order == sorted(order, reverse=True) and len(set(order)) > 1
+    plan = sorted_first.select("explanation")._jdf.queryExecution().executedPlan().toString().splitlines()
+    sort = next(i for i, line in enumerate(plan) if "rangepartitioning(priority_score" in line)
+    assert any("anomalous_features" in line for line in plan[:sort]) and not any("anomalous_features" in line for line in plan[sort:])
+
+
 def test_filter_does_not_repeat_the_work(spark):
     done = ex.explain(one(spark), NAMES, 0.001).filter("priority_score >= 50")
     plan = done._jdf.queryExecution().executedPlan().toString()

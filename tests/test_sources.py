@@ -200,6 +200,35 @@ def test_a_cut_that_cannot_be_proven_fails(tmp_path):
         pa_rows(reader(20_011))
 
 
+def test_very_many_ranges_grow(tmp_path, monkeypatch):
+    (tmp_path / "a.pcap").write_bytes(capture(many_frames(300)))
+    reader = lambda step: captures.CaptureReader(str(tmp_path), step)
+    expected = pa_rows(reader(1 << 30))
+    monkeypatch.setattr(captures, "RANGES", 10)
+    assert len(reader(500).partitions()) == 10 and pa_rows(reader(500)) == expected
+    monkeypatch.setattr(captures, "RANGE_BYTES", 900)
+    assert max(r.end - r.start for r in reader(500).partitions()) == 900
+
+
+def test_labelled_folders_join_once(spark, tmp_path, monkeypatch):
+    """What is written to each folder is read from a table, not joined again."""
+    from flowmarrow.plans import io_queries
+
+    plans, write = [], writers.write_conn_log
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(df, *args)
+
+    monkeypatch.setattr(writers, "write_conn_log", seen)
+    kinds = ["view", "error", "click", "signup", "purchase"]
+    rows = [(i, dt.datetime(2024, 1, 1, 0, i), i % 4, kinds[i % 5], float(i), f'{{"k": {i}}}') for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert io_queries.labelled_folders(spark, str(tmp_path)).count() == 40
+    assert len(plans) == 5 and not any("Join" in p for p in plans)
+
+
 def test_written_captures(spark, tmp_path):
     rows = [(dt.datetime(2024, 1, 1, 0, 0, i, 5), "1.2.3.4", i, "5.6.7.8", 80, "tcp" if i % 2 else "udp", 60 + i, i if i % 2 else None, True) for i in range(50)]
     rows += [(dt.datetime(2024, 1, 1), None, None, None, None, "other", 20, None, False), (dt.datetime(2024, 1, 1), "9.9.9.9", 0, "8.8.8.8", 0, "icmp", 98, None, True)]

@@ -42,6 +42,8 @@ IPV4, VLAN = 0x0800, 0x8100
 PROTOCOLS = {1: "icmp", 6: "tcp", 17: "udp"}
 HEAD, RECORD = 24, 16
 RANGE_BYTES = 128 << 20
+#: More tasks than that only add their start and the search for their first record; ranges grow instead, up to ``RANGE_BYTES``.
+RANGES = 1_000
 CHUNK = 4 << 20
 #: Bytes after a frame's end that may be looked at (and are then ignored).
 SLACK = 128
@@ -181,8 +183,10 @@ class CaptureReader(DataSourceReader):
         self.path, self.range_bytes = path, range_bytes
 
     def partitions(self) -> list[Range]:
-        step = self.range_bytes
-        return [Range(p, a, min(a + step, n), n) for p, n in _files(self.path) for a in range(0, n, step)]
+        files = _files(self.path)
+        even = -(-sum(n for _, n in files) // RANGES)
+        step = max(self.range_bytes, min(even, RANGE_BYTES))
+        return [Range(p, a, min(a + step, n), n) for p, n in files for a in range(0, n, step)]
 
     def read(self, r: Range) -> Iterator[pa.RecordBatch]:
         fs, _ = _place(self.path)
@@ -309,6 +313,8 @@ class CaptureSource(DataSource):
 def read_packets(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The packets of all ``*.pcap`` files of a folder (or of one file), one task for every range of bytes.
 
+    Small ranges grow when there are very many of them: up to about ``RANGES`` tasks, ``range_bytes`` is kept.
+
     A folder without a non-empty capture is refused; a file that is no capture fails the job; a truncated last record
     ends its file.
     """

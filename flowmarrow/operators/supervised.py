@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from flowmarrow.operators import metrics as mt
 from flowmarrow.operators.scaling import fit_scaler, scale, stratified_split
+from flowmarrow.session import kept_for_fit
 
 # Settings of the compared classifiers. Tree depth 30 is the deepest Spark allows.
 SETTINGS = {
@@ -88,8 +89,6 @@ def fit_classifier(
 ) -> Classifier:
     """Fit one of the three classifiers; logistic regression and forest weigh classes evenly."""
     scaled = kind == "logistic" if scaled is None else scaled
-    scaler = fit_scaler(df, columns, with_mean) if scaled else None
-    rows = with_class_weight(df, y) if kind in BALANCED else df
     options = {**SETTINGS[kind], **settings}
     common = {"featuresCol": "_features", "labelCol": y, "predictionCol": "_predicted"}
     if kind in BALANCED:
@@ -102,7 +101,10 @@ def fit_classifier(
         learner = GBTClassifier(**common, **options)
     learner = learner.setProbabilityCol("_probability").setRawPredictionCol("_raw")
     assemble = VectorAssembler(inputCols=[f"_x_{c}" for c in columns], outputCol="_features")
-    model = Pipeline(stages=[assemble, learner]).fit(_prepared(rows, columns, scaler))
+    with kept_for_fit(df.select(*dict.fromkeys([*columns, y]))) as kept:
+        scaler = fit_scaler(kept, columns, with_mean) if scaled else None
+        rows = with_class_weight(kept, y) if kind in BALANCED else kept
+        model = Pipeline(stages=[assemble, learner]).fit(_prepared(rows, columns, scaler))
     return Classifier(kind, list(columns), scaler, model)
 
 

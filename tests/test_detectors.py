@@ -1,3 +1,6 @@
+import importlib
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +61,49 @@ def test_same_forest_for_any_partitioning(data):
 def test_contamination_sets_the_share(data):
     normal = data.filter("y = 0")
     scored = dt.IsolationForest(contamination=0.2, n_estimators=20).fit(normal, COLUMNS).predict(normal)
+def test_scores_of_a_forest_follow_its_trees(data):
+    forest = dt.IsolationForest(n_estimators=7, max_samples=64).fit(data.filter("y = 0"), COLUMNS)
+    trees = {t: {int(n[1]): n for n in forest.nodes if n[0] == t} for t in range(7)}
+
+    def depth(tree, x):
+        node = tree[0]
+        while node[2] >= 0:
+            node = tree[int(node[4] if x[int(node[2])] < node[3] else node[5])]
+        return node[6]
+
+    rows = forest.score(data.select("*", scaled_array(forest.scaler).alias("x"))).select("x", "score").collect()
+    plain = [2.0 ** (-np.mean([depth(t, r["x"]) for t in trees.values()]) / average_path(64)) - forest.offset for r in rows]
+    np.testing.assert_allclose([r["score"] for r in rows], plain, atol=1e-12)
+
+
+def test_scoring_holds_a_few_rows_at_a_time():
+    seen = []
+    done = in_blocks(lambda m: (seen.append(len(m)), m.sum(axis=1))[1], np.ones((1000, 3)), 256)
+    assert seen == [256, 256, 256, 232] and done.shape == (1000,)
+
+
+def test_rows_of_a_fit_come_in_bounded_tasks(data, monkeypatch):
+    sessions = importlib.import_module("flowmarrow.session")
+    monkeypatch.setattr(sessions, "TASK_ROWS", 100)
+    with sessions.kept_for_fit(data.coalesce(1).select("conn_id")) as kept:
+        assert kept.rdd.getNumPartitions() == -(-data.count() // 100) and kept.distinct().count() == data.count()
+        assert max(kept.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()) <= 110
+    monkeypatch.setattr(sessions, "TASK_ROWS", 100_000)
+    with sessions.kept_for_fit(data.coalesce(1).select("conn_id")) as kept:
+        assert kept.rdd.getNumPartitions() == 1
+
+
+def test_fits_of_folds_overlap(data):
+    met = threading.Barrier(2)
+
+    def member(rows):
+        met.wait(60)
+        return lambda held: held.withColumn("score", F.col(COLUMNS[0]))
+
+    found = out_of_fold(data.select("conn_id", "y", COLUMNS[0]), "y", "conn_id", {"m": member}, k=2)
+    assert found.count() == data.count() and found.filter(~F.col("m").eqNullSafe(F.col(COLUMNS[0]))).isEmpty()
+
+
     assert scored.agg(F.avg("prediction")).first()[0] == pytest.approx(0.2, abs=0.02)
 
 

@@ -10,7 +10,10 @@ from flowmarrow.operators import metrics as mt
 from flowmarrow.operators import supervised as sv
 from flowmarrow.operators import tuning as tn
 from flowmarrow.operators.detectors import nets
+from flowmarrow.operators.detectors.base import in_blocks
 from flowmarrow.operators.detectors.iforest import average_path
+from flowmarrow.operators.ensemble import out_of_fold
+from flowmarrow.operators.scaling import scaled_array
 
 COLUMNS = [f"f{i}" for i in range(12)]
 
@@ -58,9 +61,6 @@ def test_same_forest_for_any_partitioning(data):
     np.testing.assert_allclose(fit(data), fit(data.repartition(3)))
 
 
-def test_contamination_sets_the_share(data):
-    normal = data.filter("y = 0")
-    scored = dt.IsolationForest(contamination=0.2, n_estimators=20).fit(normal, COLUMNS).predict(normal)
 def test_scores_of_a_forest_follow_its_trees(data):
     forest = dt.IsolationForest(n_estimators=7, max_samples=64).fit(data.filter("y = 0"), COLUMNS)
     trees = {t: {int(n[1]): n for n in forest.nodes if n[0] == t} for t in range(7)}
@@ -104,6 +104,9 @@ def test_fits_of_folds_overlap(data):
     assert found.count() == data.count() and found.filter(~F.col("m").eqNullSafe(F.col(COLUMNS[0]))).isEmpty()
 
 
+def test_contamination_sets_the_share(data):
+    normal = data.filter("y = 0")
+    scored = dt.IsolationForest(contamination=0.2, n_estimators=20).fit(normal, COLUMNS).predict(normal)
     assert scored.agg(F.avg("prediction")).first()[0] == pytest.approx(0.2, abs=0.02)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
@@ -20,6 +21,8 @@ from flowmarrow.session import frozen
 # Weights of the weighted score, and the sensitivity presets (factor, minimum score).
 WEIGHTED_SCORE = {"isolation_forest": 0.70, "autoencoder": 0.30}
 SENSITIVITY = {"high": (1.5, 0.8), "mid": (2.0, 1.0), "low": (3.0, 1.5)}
+#: Fits that run side by side.
+FITS = 3
 
 
 def _sum(cols: list[Column]) -> Column:
@@ -88,14 +91,18 @@ def out_of_fold(
     """The rows with ``fold`` and the score of every member, each fitted on the other folds.
 
     A member is a function from training rows to a function that adds ``score``. These scores are what a meta-model may learn
-    from: no member saw the row it scores.
+    from: no member saw the row it scores. Fits are many small jobs, so ``FITS`` of them overlap.
     """
     folds = frozen(stratified_folds(df, y, row_id, k), "folds")
+    wanted = [(fold, name) for fold in range(k) for name in members]
+    with ThreadPoolExecutor(FITS) as pool:
+        fits = pool.map(lambda w: members[w[1]](folds.filter(F.col("fold") != w[0])), wanted)
+        fitted = dict(zip(wanted, fits))
     parts = []
     for fold in range(k):
         held = folds.filter(F.col("fold") == fold)
-        for name, fit in members.items():
-            scored = fit(folds.filter(F.col("fold") != fold))(held)
+        for name in members:
+            scored = fitted[fold, name](held)
             held = scored.select(*held.columns, F.col("score").alias(name))
         parts.append(held)
     return frozen(reduce(lambda a, b: a.unionByName(b), parts), "out-of-fold")

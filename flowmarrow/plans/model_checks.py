@@ -53,9 +53,8 @@ def same_scores(spark, fitted, load, rows, row_id):
     """Whether a saved and loaded model gives every row the score it gave before."""
     path = scratch_path(spark, "saved")
     fitted.save(spark, path)
-    was = fitted.score(rows).select(row_id, F.col("score").alias("was"))
-    now = load(spark, path).score(rows).select(row_id, "score")
-    return was.join(now, row_id).filter(~F.col("was").eqNullSafe(F.col("score"))).isEmpty()
+    was = fitted.score(rows.filter(F.col(row_id).isNotNull())).withColumnRenamed("score", "was").drop("prediction")
+    return load(spark, path).score(was).filter(~F.col("was").eqNullSafe(F.col("score"))).isEmpty()
 
 
 DETECTORS = {

@@ -3,8 +3,8 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. Every such
 string holds an anchor: the place of the smallest hash among its short byte strings, which is the same wherever the
 string occurs. Anchors that occur in two documents are found by an aggregation over all documents, as packed numbers. Around each of
-their places the bytes that a string through the anchor can reach are cut out, and all cuts of one anchor meet in one
-shard. There, distinct cuts that have a rival for their anchor are joined to one text and sorted by external induced
+their places the bytes of all strings whose smallest hash stands there are cut out, and all cuts of one anchor meet in
+one shard, to which a task sends them packed and compressed. There, distinct cuts that have a rival for their anchor are joined to one text and sorted by external induced
 sorting (``induced``); neighbours in that order with ``LENGTH`` equal bytes are one class, whose smallest document id
 decides. A cut without a rival is a class of its own. Cuts are identified by their bytes, so copies are sorted once.
 
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +31,22 @@ LENGTH = 50
 GRAM = 24
 #: The id of rows without one.
 LAST = 2**63 - 1
-#: Bits of the filter for repeated anchors, which goes to all executors (16 MB).
+#: Bits of the filter for repeated anchors, which goes to all executors (16 MB); up to four times as many for larger tables.
 FILTER_BITS = 2**27
+#: Bytes of text for a bit of the filter, until it has reached its largest size.
+FILTER_BYTES = 8
+#: Level of compression of what tasks send.
+LEVEL = 9
 #: Bytes of text whose anchors are counted in one group, about; there are 64 groups at least.
 GROUP_BYTES = 2**26
 #: Anchors, and places with their cuts, that a task gathers before it sends them.
-BUFFERED, PLACES = 1_000_000, 100_000
+BUFFERED, PLACES = 1_000_000, 300_000
 #: Documents with removals that are sent to all executors at most, and bytes of these; more are joined by shuffle.
 BROADCAST_DOCS, BROADCAST_BYTES = 500_000, 2**26
-#: Places of anchors in a shard, about.
-SHARD = 30_000
+#: Places of anchors that meet in a task, and in a shard of these that is sorted at once, about.
+GROUP, SHARD = 400_000, 30_000
+#: Strings that can hold an anchor.
+STARTS = LENGTH - GRAM + 1
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -65,14 +72,63 @@ def _over(f, x: np.ndarray, width: int) -> np.ndarray:
     return f(x[: len(x) - (width - k)], x[width - k :]) if k < width else x
 
 
-def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of a text of at least LENGTH bytes."""
-    width = LENGTH - GRAM + 1
+def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes) of the anchors of a text of at least LENGTH bytes, and the smallest hash of every string in it."""
     h = _gram_hashes(text)
-    edge = np.zeros(width - 1, np.uint64)
-    least = np.concatenate([edge, _over(np.minimum, h, width), edge])
-    at = np.flatnonzero(h == _over(np.maximum, least, width))
-    return at, h[at].view(np.int64)
+    edge = np.zeros(STARTS - 1, np.uint64)
+    least = _over(np.minimum, h, STARTS)
+    at = np.flatnonzero(h == _over(np.maximum, np.concatenate([edge, least, edge]), STARTS))
+    return at, h[at].view(np.int64), least.view(np.int64)
+
+
+def _surroundings(at: np.ndarray, h: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the strings whose smallest hash is that of the anchor; those between are such strings too."""
+    first, last = np.empty_like(at), np.empty_like(at)
+    for lo in range(0, len(at), 50_000):
+        block = slice(lo, lo + 50_000)
+        start = at[block, None] - np.arange(STARTS)
+        mine = (start >= 0) & (start < len(least))
+        mine &= least[np.clip(start, 0, len(least) - 1)] == h[block, None]
+        last[block] = at[block] - mine.argmax(1)
+        first[block] = at[block] - (STARTS - 1) + mine[:, ::-1].argmax(1)
+    return first, last
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then their second bytes and so on, which compresses better."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _packed(columns: list[np.ndarray], more: bytes = b"") -> bytes:
+    """Number columns and bytes, compressed; ``_unpacked`` gives them back."""
+    head = np.array([[len(x), x.itemsize] for x in columns], np.int64)
+    raw = b"".join([head.tobytes(), *[_planes(x) for x in columns], more])
+    return np.int64([len(raw), len(columns)]).tobytes() + pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
+
+
+def _unpacked(packed: bytes) -> tuple[list[np.ndarray], bytes]:
+    size, k = np.frombuffer(packed[:16], np.int64).tolist()
+    raw = pa.decompress(packed[16:], size, codec="zstd", asbytes=True)
+    columns, at = [], 16 * k
+    for n, width in np.frombuffer(raw[:at], np.int64).reshape(-1, 2).tolist():
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        columns.append(np.ascontiguousarray(planes.T).view({1: np.uint8, 4: np.int32, 8: np.int64}[width]).reshape(n))
+        at += n * width
+    return columns, raw[at:]
+
+
+def _packed_places(doc: np.ndarray, key: np.ndarray, at: np.ndarray, cuts: list[bytes]) -> bytes:
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
+    times = np.diff(np.append(first, len(doc))).astype(np.int32)
+    size = np.fromiter(map(len, cuts), np.uint8, len(cuts))
+    return _packed([doc[first], key[first], times, at.astype(np.int32), size], b"".join(cuts))
+
+
+def _places(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    (doc, key, times, at, size), text = _unpacked(packed)
+    end = np.cumsum(size, dtype=np.int64)
+    cuts = [text[a:b] for a, b in zip((end - size).tolist(), end.tolist())]
+    return np.repeat(doc, times), np.repeat(key, times), at.astype(np.int64), cuts
 
 
 def _bytes(docs: DataFrame) -> DataFrame:
@@ -83,25 +139,25 @@ def _bytes(docs: DataFrame) -> DataFrame:
 
 
 def anchor_bits(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(bits, places): a bitmap of FILTER_BITS bits with a bit for every anchor of two or more rows, and how many places
+    """(bits, places): a bitmap of FILTER_BITS bits or more with a bit for every anchor of two or more rows, and how many places
     these anchors have, not counting repetitions inside one buffer.
 
-    A task sends each anchor of a buffer once, as 32 bits in a byte string for each group of anchors. The group number adds
-    six bits or more. Equal numbers of different anchors only bring places that match nothing.
+    A task sends each anchor of a buffer once, as 32 bits in a group of anchors; these numbers are sorted, and their differences
+    are packed. The group number adds six bits or more. Equal numbers of different anchors only bring places that match nothing.
     """
-    width = FILTER_BITS.bit_length() - 1
     size = docs.agg(F.sum(F.octet_length(whole(F.col("text"))).cast("long"))).first()[0] or 0
+    width = FILTER_BITS.bit_length() - 1 + sum(k * FILTER_BITS * FILTER_BYTES < size for k in (1, 2))
     low = width - min(width - 3, max(6, (size // GROUP_BYTES).bit_length()))
 
     def packed(held: list[np.ndarray]) -> pd.DataFrame:
         h = np.concatenate(held).view(np.uint64)
-        part = (h & np.uint64(FILTER_BITS - 1)) >> np.uint64(low)
+        part = (h & np.uint64((1 << width) - 1)) >> np.uint64(low)
         value = (h & np.uint64((1 << low) - 1)) | (h >> np.uint64(width) << np.uint64(low))
         key, times = np.unique(part << np.uint64(32) | value & np.uint64(2**32 - 1), return_counts=True)
         part, value, twice = (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32), times > 1
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         cut = list(zip(first.tolist(), first[1:].tolist() + [len(part)]))
-        strings = [[value[a:b][twice[a:b] == t].tobytes() for a, b in cut] for t in (False, True)]
+        strings = [[_packed([np.diff(value[a:b][twice[a:b] == t], prepend=np.uint32(0))]) for a, b in cut] for t in (False, True)]
         return pd.DataFrame({"part": part[first], "once": strings[0], "twice": strings[1]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,8 +174,8 @@ def anchor_bits(docs: DataFrame) -> tuple[np.ndarray, int]:
             yield packed(held)
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        once = np.sort(np.frombuffer(b"".join(pdf["once"]), np.uint32))
-        twice = np.frombuffer(b"".join(pdf["twice"]), np.uint32)
+        once, twice = (np.concatenate([np.cumsum(_unpacked(b)[0][0].view(np.uint32), dtype=np.uint32) for b in pdf[c]]) for c in ("once", "twice"))
+        once.sort()
         hit = np.union1d(once[1:][once[1:] == once[:-1]], twice)
         bits = np.zeros(1 << low, bool)
         bits[hit & np.uint32((1 << low) - 1)] = True
@@ -127,16 +183,16 @@ def anchor_bits(docs: DataFrame) -> tuple[np.ndarray, int]:
         return pd.DataFrame({"part": pdf["part"].iloc[:1].to_numpy(), "bits": [np.packbits(bits, bitorder="little").tobytes()], "n": [n]})
 
     sent = _bytes(docs).select("text").mapInPandas(run, "part long, once binary, twice binary")
-    out, places = np.zeros((FILTER_BITS >> low, (1 << low) // 8), np.uint8), 0
-    for r in sent.groupBy("part").applyInPandas(merged, "part long, bits binary, n long").collect():  # FILTER_BITS / 8 bytes in all
+    out, places = np.zeros((1 << width - low, (1 << low) // 8), np.uint8), 0
+    for r in sent.groupBy("part").applyInPandas(merged, "part long, bits binary, n long").collect():  # the bitmap, 64 MB at most
         out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
         places += r["n"]
     return out.ravel(), places
 
 
-def _joined(runs: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, ...]:
+def _joined(runs: np.ndarray) -> tuple[np.ndarray, ...]:
     """(doc, key, start, stop) arrays with overlapping and touching runs of a text joined."""
-    doc, key, start, stop = np.array(runs, np.int64).reshape(-1, 4).T
+    doc, key, start, stop = runs.T
     order = np.lexsort((start, key, doc))
     doc, key, start, stop = doc[order], key[order], start[order], stop[order]
     if not len(doc):
@@ -148,53 +204,68 @@ def _joined(runs: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, ...]:
     return doc[first], key[first], start[first], reach[last] - text[last]
 
 
-def cuts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(anchor, doc, key, at, left, cut): the surroundings of repeated anchors; ``cut`` starts ``left`` bytes before.
+def cuts(docs: DataFrame, bits: np.ndarray, groups: int) -> DataFrame:
+    """(part, cuts, runs): the surroundings of repeated anchors, packed by task and group of anchors.
 
+    A place is (doc, key, at, cut): ``cut`` starts at ``at`` and has one more byte, which tells how far the anchor is from there.
     Of equal cuts in a buffer only those of the smallest document are sent. The others are in a later document, so all
-    their strings go: they come as runs from ``at`` to ``left`` without a cut. A passage that very many documents share
-    thus sends a few cuts for each buffer, not for each document. Anchors are looked up in a bitmap of fixed size, so a few
-    others come along; they match nothing.
+    their strings go: they come as runs without a cut. A passage that very many documents share
+    thus sends a few cuts for each buffer, not for each document. Anchors are looked up in a bitmap of bounded size, so a few
+    others come along, more of them in very large tables; they match nothing.
     """
-    known = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def sent(rows: list[tuple]) -> pd.DataFrame:
-        least: dict[tuple[bytes, int], int] = {}
-        for _, doc, _, _, n, cut in rows:
-            if doc < least.get((cut, n), LAST):
-                least[cut, n] = doc
-        mine = [r for r in rows if r[1] == least.get((r[5], r[4]), LAST)]
-        later = [r for r in rows if len(r[5]) >= LENGTH and r[1] != least.get((r[5], r[4]), LAST)]
-        done = _joined([(doc, key, at - n, at - n + len(cut)) for _, doc, key, at, n, cut in later])
-        table = [pd.DataFrame(mine, columns=["anchor", "doc", "key", "at", "left", "cut"])]
-        table += [pd.DataFrame({"anchor": 0, "doc": done[0], "key": done[1], "at": done[2], "left": done[3], "cut": None})]
-        return pd.concat([t for t in table if len(t)] or table[:1], ignore_index=True)
+    known, mask = docs.sparkSession.sparkContext.broadcast(bits), 8 * len(bits) - 1
+    lead = [bytes([n]) for n in range(STARTS)]
+
+    def sent(held: list[tuple], cut: list[bytes]) -> pd.DataFrame:
+        times = [len(x[2]) for x in held]
+        doc, key = (np.repeat(np.array([x[k] for x in held], np.int64), times) for k in (0, 1))
+        at, part = (np.concatenate([x[k] for x in held]) for k in (2, 3))
+        every = np.empty(len(cut), object)
+        every[:] = cut
+        kind, kinds = pd.factorize(every)
+        least = np.full(len(kinds), LAST)
+        np.minimum.at(least, kind, doc)
+        later = np.flatnonzero(doc != least[kind])
+        size = np.array([len(cut[i]) - 1 for i in later], np.int64)
+        rows = []
+        if len(later):
+            done = _joined(np.stack([doc[later], key[later], at[later], at[later] + size], axis=1))
+            rows.append((int(part[later[0]]), None, _packed(list(done))))
+        mine = np.flatnonzero(doc == least[kind])
+        mine = mine[np.argsort(part[mine], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], part[mine][1:] != part[mine][:-1]]))
+        for x in np.split(mine, first[1:]):
+            rows.append((int(part[x[0]]), _packed_places(doc[x], key[x], at[x], every[x].tolist()), None))
+        return pd.DataFrame(rows, columns=["part", "cuts", "runs"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
+        held: list[tuple] = []
+        cut: list[bytes] = []
         for b in batches:
             for doc, key, t in zip(b["doc"], b["key"], b["text"]):
                 if len(t) < LENGTH:
                     continue
-                at, h = anchors(np.frombuffer(t, np.uint8))
-                bit = h & (FILTER_BITS - 1)
+                at, h, least = anchors(np.frombuffer(t, np.uint8))
+                bit = h & mask
                 there = (known.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+                if not there.any():
+                    continue
                 at, h = at[there], h[there]
-                lead = np.minimum(at, LENGTH - GRAM)
-                rows += [(x, doc, key, p, n, t[p - n : p + LENGTH]) for x, p, n in zip(h.tolist(), at.tolist(), lead.tolist())]
-                if len(rows) > PLACES:
-                    yield sent(rows)
-                    rows = []
-        if rows:
-            yield sent(rows)
+                first, last = _surroundings(at, h, least)
+                held.append((doc, key, first, (_mixed(h.view(np.uint64)) % np.uint64(groups)).astype(np.int64)))
+                cut += [t[x : y + LENGTH] + lead[n] for x, y, n in zip(first.tolist(), last.tolist(), (at - first).tolist())]
+                if len(cut) > PLACES:
+                    yield sent(held, cut)
+                    held, cut = [], []
+        if cut:
+            yield sent(held, cut)
 
-    return _bytes(docs).mapInPandas(run, "anchor long, doc long, key long, at int, left int, cut binary")
+    return _bytes(docs).mapInPandas(run, "part long, cuts binary, runs binary")
 
 
 def classes(texts: list[bytes], least: np.ndarray, folder: str | None = None) -> np.ndarray:
     """(texts x starts): for each start of LENGTH bytes the least id of all texts with the same bytes anywhere."""
-    starts = 2 * LENGTH - GRAM - LENGTH + 1
-    out = np.full((len(texts), starts), LAST)
+    out = np.full((len(texts), STARTS), LAST)
     size = np.array([len(t) for t in texts])
     symbols = np.frombuffer(b"\x00".join(texts) + b"\x00\x00", np.uint8).astype(np.int16) + 2
     first = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
@@ -221,52 +292,59 @@ def classes(texts: list[bytes], least: np.ndarray, folder: str | None = None) ->
     return out
 
 
-def removed_in_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(doc, key, start, stop) of the runs to remove, from all cuts of some anchors."""
-    kind, texts = pd.factorize(pd.Series(list(zip(pdf["cut"], pdf["left"])), dtype=object))
-    doc = pdf["doc"].to_numpy(np.int64)
-    least = np.full(len(texts), LAST)
+def _removed(doc: np.ndarray, least: np.ndarray, kind: np.ndarray, texts: list[bytes], rivals: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(place, start, stop) of the runs to remove, from the start of the cut, for places with these kinds of cuts."""
+    low = np.repeat(least[:, None], STARTS, axis=1)
+    if rivals.any():
+        low[rivals] = classes([t for t, r in zip(texts, rivals) if r], least[rivals])
+    fits = np.arange(STARTS) <= (np.array([len(t) for t in texts]) - LENGTH)[:, None]
+    hit = (low[kind] < doc[:, None]) & fits[kind]
+    edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    place, start = np.nonzero(edge == 1)
+    return place, start, np.nonzero(edge == -1)[1] - 1 + LENGTH
+
+
+def removed_in_group(blobs: list[bytes]) -> pd.DataFrame:
+    """(doc, key, start, stop) of the runs to remove, from all cuts of some anchors, shard by shard."""
+    found = [_places(b) for b in blobs]
+    doc, key, at = (np.concatenate([f[k] for f in found]) for k in range(3))
+    every = np.empty(len(doc), object)
+    every[:] = [c for f in found for c in f[3]]
+    del found
+    kind, cuts_ = pd.factorize(every)
+    least = np.full(len(cuts_), LAST)
     np.minimum.at(least, kind, doc)
-    anchor, _ = pd.factorize(pd.Series([cut[left : left + GRAM] for cut, left in texts], dtype=object))
+    grams = np.empty(len(cuts_), object)
+    grams[:] = [c[c[-1] : c[-1] + GRAM] for c in cuts_]
+    anchor, _ = pd.factorize(grams)
     rivals = np.bincount(anchor)[anchor] > 1
-    starts = LENGTH - GRAM + 1
-    low = np.repeat(least[:, None], starts, axis=1)
-    if rivals.any():
-        low[rivals] = classes([t[0] for t, r in zip(texts, rivals) if r], least[rivals])
-    fits = np.arange(starts) <= (np.array([len(t[0]) for t in texts]) - LENGTH)[:, None] if len(texts) else np.zeros((0, starts), bool)
-    rows, runs = [], []
-    for lo in range(0, len(pdf), 50_000):
-        k = kind[lo : lo + 50_000]
-        hit = (low[k] < doc[lo : lo + 50_000, None]) & fits[k]
-        edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        r, s = np.nonzero(edge == 1)
-        _, e = np.nonzero(edge == -1)
-        rows.append(r + lo)
-        runs.append(np.stack([s, e - 1 + LENGTH]))
-    rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    begin, end = np.concatenate(runs, axis=1) if runs else np.zeros((2, 0), np.int64)
-    base = pdf["at"].to_numpy(np.int64)[rows] - pdf["left"].to_numpy(np.int64)[rows]
-    return pd.DataFrame({"doc": doc[rows], "key": pdf["key"].to_numpy(np.int64)[rows], "start": base + begin, "stop": base + end})
-
-
-def _runs_of_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    # the places of an anchor stay together
+    size = np.bincount(anchor[kind])
+    shard = (np.cumsum(size) - size) // SHARD
+    order = np.argsort(shard[anchor[kind]], kind="stable")
+    edges = np.flatnonzero(np.diff(shard[anchor[kind[order]]])) + 1
+    out = []
+    for places in np.split(order, edges):
+        mine, own = np.unique(kind[places], return_inverse=True)
+        place, start, stop = _removed(doc[places], least[mine], own, [c[:-1] for c in cuts_[mine]], rivals[mine])
+        place = places[place]
+        out.append(np.stack([doc[place], key[place], at[place] + start, at[place] + stop], axis=1))
+    return pd.DataFrame(np.concatenate(out), columns=["doc", "key", "start", "stop"])
+
+
+def _runs_of_group(pdf: pd.DataFrame) -> pd.DataFrame:
     """The runs of all cuts of some anchors, and those that came without a cut."""
-    done = pdf["cut"].isna().to_numpy()
-    runs = removed_in_shard(pdf[~done])
-    given = pdf.loc[done, ["doc", "key", "at", "left"]].set_axis(["doc", "key", "start", "stop"], axis=1)
-    return pd.concat([runs, given.astype(np.int64)], ignore_index=True) if len(given) else runs
+    blobs = pdf["cuts"].dropna().tolist()
+    runs = [removed_in_group(blobs)] if blobs else []
+    runs += [pd.DataFrame(dict(zip(("doc", "key", "start", "stop"), _unpacked(b)[0]))) for b in pdf["runs"].dropna()]
+    return pd.concat(runs, ignore_index=True)
 
 
 def removed_runs(docs: DataFrame) -> DataFrame:
     """(doc, key, spans): the maximal byte runs to remove, start << 32 | stop, for every document that loses some."""
     bits, places = anchor_bits(docs)
-    found = cuts(docs, bits)
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), places // SHARD + 1)
-    spread = F.when(F.col("cut").isNull(), F.xxhash64("doc", "key", "at")).otherwise(F.xxhash64("anchor"))
-    shard = F.pmod(spread, F.lit(shards)).cast("int")
-    # the anchor stands in the cut, so its hash need not travel
-    found = found.select(shard.alias("shard"), "doc", "key", "at", "left", "cut")
-    runs = found.groupBy("shard").applyInPandas(_runs_of_shard, "doc long, key long, start long, stop long")
+    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), places // GROUP + 1)
+    runs = cuts(docs, bits, groups).groupBy("part").applyInPandas(_runs_of_group, "doc long, key long, start long, stop long")
     spans = F.collect_set(F.shiftleft("start", 32) + F.col("stop"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

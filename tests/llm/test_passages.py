@@ -76,3 +76,48 @@ def test_broadcast_is_bounded_by_bytes(spark, monkeypatch):
     large = passages.remove(docs)
     assert "strategy=broadcast" in plan(small) and "strategy=broadcast" not in plan(large)
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+
+
+def test_places_travel_packed(spark):
+    """A place of a repeated anchor takes about half of the 64 bytes that a row with its cut took."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    shared = [text(300) for _ in range(40)]
+    rows = [(i, " ".join(x for j in range(3) for x in (text(20), shared[(i + j) % 40]))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bits, places = passages.anchor_bits(docs)
+    sent = passages.cuts(docs, bits, 4).collect()
+    held = [passages._places(r["cuts"]) for r in sent if r["cuts"] is not None]
+    size = sum(len(r["cuts"] or b"") + len(r["runs"] or b"") for r in sent)
+    assert sum(len(h[3]) for h in held) > 4000 and size < 36 * sum(len(h[3]) for h in held)
+    sent = {d: t.encode() for d, t in rows}
+    for doc, _, at, cuts in held:
+        assert all(sent[d][a : a + len(c) - 1] == c[:-1] for d, a, c in zip(doc.tolist(), at.tolist(), cuts))
+    assert rows_of(spark, rows) == plain(rows)
+
+
+def test_every_string_stands_at_its_anchor():
+    rng = np.random.default_rng(6)
+    for n, letters in ((50, 3), (51, 1), (400, 2), (3000, 26)):
+        t = rng.integers(0, letters, n).astype(np.uint8)
+        at, h, least = passages.anchors(t)
+        first, last = passages._surroundings(at, h, least)
+        found = {(s, x) for a, b, x in zip(first.tolist(), last.tolist(), h.tolist()) for s in range(a, b + 1)}
+        assert found == set(enumerate(least.tolist())) and (first <= at).all() and (last >= at - 26).all() and len(least) == n - 49
+
+
+def test_shards_of_a_group_and_size_of_the_filter(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    shared = rng.integers(97, 123, 3000).astype(np.uint8).tobytes().decode()
+    rows = [(i, shared[50 * i : 50 * i + 400] + str(i) * 30 + shared[900:1300]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bits, _ = passages.anchor_bits(docs)
+    blobs = [r["cuts"] for r in passages.cuts(docs, bits, 1).collect() if r["cuts"] is not None]
+    whole = passages.removed_in_group(blobs)
+    monkeypatch.setattr(passages, "SHARD", 20)
+    small = passages.removed_in_group(blobs)
+    assert len(whole) and sorted(map(tuple, whole.to_numpy())) == sorted(map(tuple, small.to_numpy()))
+    monkeypatch.setattr(passages, "FILTER_BITS", 512)
+    assert 8 * len(passages.anchor_bits(docs)[0]) == 2048
+    assert rows_of(spark, rows) == plain(rows)

@@ -71,6 +71,16 @@ def rarity(docs: DataFrame) -> Column:
     return F.lit(levels)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc, key, text): the digest is made here, once a text; beside the explosion it would be made for every line."""
+    t = whole(F.col("text"))
+    return docs.select(F.col("doc_id").alias("doc"), F.xxhash64(t).alias("key"), t.alias("text"))
+
+
+def _numbered(texts: DataFrame) -> DataFrame:
+    return texts.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+
+
 def _codes(words: Column, levels: Column) -> Column:
     """The order codes of a set of word hashes, rarest first: frequency, then hash."""
 
@@ -125,8 +135,7 @@ def _reach(n: Column, percent: int) -> Column:
 def occurrences(docs: DataFrame, percent: int) -> DataFrame:
     """(doc, key, no, sid, n, codes, bits0, bits1): every line with a word, with the codes of its prefix, or more for marks."""
     levels = rarity(docs)
-    t = whole(F.col("text"))
-    d = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(t).alias("key"), F.posexplode(F.split(t, "\n")).alias("no", "line"))
+    d = _numbered(_texts(docs))
     # a test of the words themselves would have them made twice
     d = d.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc", "key", "no", words_of(F.col("line")).alias("words"))
     n = F.size("words")
@@ -175,9 +184,10 @@ def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
     fits = (
         (c("x.code") == c("y.code"))
         & ((size("x") > size("y")) | ((size("x") == size("y")) & (c("x.rid") > c("y.rid"))))
-        & (100 * size("y") >= percent * size("x")) & (at("y") < index_size)
+        & (100 * size("y") >= percent * size("x"))
         & ((is_open("x") & ~before("x", "y")) | (is_open("y") & ~before("y", "x")))
-        & (F.least(size("x") - at("x"), size("y") - at("y")) >= need)
+        # with the last term, at("y") < index_size; alone it would be a filter of one side, and both would be shuffled
+        & (F.least(size("x") - at("x"), size("y") - at("y"), need + index_size - 1 - at("y")) >= need)
         & (size("x") + size("y") - _apart(size, lambda s: c(f"{s}.bits0"), lambda s: c(f"{s}.bits1")) >= 2 * need)
     )
     return x.join(y, fits).select(c("x.rid").alias("a"), c("y.rid").alias("b")).distinct()
@@ -188,9 +198,11 @@ def _whole_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     at = sets.select("rid", "open", F.col("none").alias("at_none"), F.col("doc").alias("at_doc"), F.col("key").alias("at_key"), F.col("no").alias("at_no"))
     at = frozen(at.join(wanted, "rid"), "line-wanted")
-    t = whole(F.col("text"))
-    d = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(t).alias("key"), F.posexplode(F.split(t, "\n")).alias("no", "line"))
-    d = d.join(_small(at), F.col("doc").eqNullSafe(F.col("at_doc")) & (F.col("key") == F.col("at_key")) & (F.col("no") == F.col("at_no")))
+    same = F.col("doc").eqNullSafe(F.col("at_doc")) & (F.col("key") == F.col("at_key"))
+    texts = _texts(docs)
+    if (small := _small(at)) is not at:  # texts without such a line need not be split
+        texts = texts.join(F.broadcast(at.select("at_doc", "at_key").distinct()), same, "left_semi")
+    d = _numbered(texts).join(small, same & (F.col("no") == F.col("at_no")))
     d = d.select("rid", "open", F.struct("at_none", "doc", "key", "no").alias("first"), words_of(F.col("line")).alias("words"))
     d = d.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("open", "first", "words")])  # rows with equal id and text
     return frozen(d.select("*", F.size("words").alias("n"), *_bits(F.col("words"))), "line-sets")

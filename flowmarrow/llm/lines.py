@@ -7,8 +7,9 @@ stay. All lines are compared, over all documents.
 Words are ordered by rarity: frequencies are counted over the whole table in a fixed number of buckets, which gives
 every word the same short order code everywhere. Only the first words of a line in that order can be the first
 common word of a similar pair (prefix filter); the longer line of a pair needs the longer prefix, the shorter one a
-shorter one. Pairs that meet on a code must fit in length and position, and a bitmap of the words bounds their overlap,
-so almost only similar pairs are compared word by word. Equal sets are one entry from the start, and every
+shorter one. Sets meet on a code and a class of lengths, so sets of very different lengths are never looked at together. Pairs
+that meet must fit in length and position, and a bitmap of the words bounds their overlap, so almost only similar pairs are
+compared word by word. Equal sets are one entry from the start, and every
 step is a join or an aggregation. Codes may collide, which only adds pairs to compare; whole sets and texts are
 identified by 64-bit hashes.
 
@@ -22,6 +23,9 @@ text have the same lines removed.
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +43,12 @@ LONG = 64
 MARKS = 3
 #: Rounds of guesses before the join: the first by marks, the others by sets that settled others.
 ROUNDS = 2
+#: A class of lengths spans so many times the ratio of lengths that similar sets may have.
+CLASS = 3
 #: Marks a set that still needs an earlier partner, between the length and the place of a code.
 OPEN = 2**31
+#: Marks an entry in the class of its own length; a pair is taken where its longer set is.
+HOME = 2**30
 
 
 def _small(df: DataFrame, width: int = 64) -> DataFrame:
@@ -49,8 +57,8 @@ def _small(df: DataFrame, width: int = 64) -> DataFrame:
 
 
 def _words(line: Column) -> Column:
-    """The lower-cased words of a line; a plain blank as separator is much cheaper than a pattern."""
-    plain = ~line.rlike(r"[\x09-\x0D]")
+    """The lower-cased words of a line; a plain blank as separator is much cheaper than a pattern, and so is looking for the others."""
+    plain = ~functools.reduce(Column.__or__, [F.contains(line, F.lit(blank)) for blank in "\t\n\x0b\x0c\r"])
     return F.array_remove(F.when(plain, F.split(F.lower(line), " ")).otherwise(F.split(F.lower(line), BLANKS)), "")
 
 
@@ -67,7 +75,7 @@ def rarity(docs: DataFrame) -> Column:
     level = F.least(F.lit(127), F.floor(5 * F.log2(F.col("n") + 1))).cast("int")
     levels = bytearray(BUCKETS)
     for bucket, found in counts.select("bucket", level).collect():  # BUCKETS rows at most
-        levels[bucket] = found
+        levels[max(bucket - 1, 0)] = found  # substrings count from 1, and from 0 is the same; buckets 0 and 1 share a byte
     return F.lit(levels)
 
 
@@ -82,11 +90,11 @@ def _numbered(texts: DataFrame) -> DataFrame:
 
 
 def _codes(words: Column, levels: Column) -> Column:
-    """The order codes of a set of word hashes, rarest first: frequency, then hash."""
+    """The order codes of a set of word hashes, rarest first: frequency, then the upper bits of the hash."""
 
     def code(h):
-        level = F.ascii(F.substring(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level, 24) + F.shiftright(h, 20).bitwiseAND(F.lit(2**24 - 1)).cast("int")
+        level = F.ascii(F.substring(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"), F.lit(1)).cast("string"))
+        return F.shiftleft(level, 24) + F.shiftrightunsigned(h, 40).cast("int")
 
     return F.sort_array(F.transform(words, code))
 
@@ -166,18 +174,37 @@ def centre_guesses(sets: DataFrame, settled: DataFrame, percent: int) -> DataFra
     return met.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
 
 
+def _class(n: Column, percent: int) -> Column:
+    """A class of lengths; the longest set that may be similar to one of ``n`` words is in the same class or the next."""
+    return F.floor(F.log(n) / math.log(max((100 / percent) ** CLASS, 2))).cast("int")
+
+
+def entries(sets: DataFrame, percent: int) -> DataFrame:
+    """(code, rid, doc, place, bits0, bits1): the prefix of every set, each code joined with the class of the set's length,
+    and the shorter prefix with the next class too, if longer sets there may be similar."""
+    codes = F.slice("codes", F.lit(1), _reach(F.col("n"), percent))
+    found = sets.select("rid", "doc", "n", "open", "bits0", "bits1", F.posexplode(codes).alias("at", "code"))
+    n, own, longest = F.col("n"), _class(F.col("n"), percent), _class(F.floor(F.col("n") * 100 / percent), percent)
+    index_size = n - F.ceil(n * 2 * percent / (100 + percent)) + 1
+    # length, mark and place in the prefix share a column, which makes the shuffled rows smaller
+    place = F.shiftleft(n.cast("long"), 32) + F.when(F.col("open"), F.lit(OPEN)).otherwise(0) + F.col("at")
+    classes = F.when((F.col("at") < index_size) & (longest > own), F.array(own, longest)).otherwise(F.array(own))
+    found = found.select("code", "rid", "doc", place.alias("place"), "bits0", "bits1", F.posexplode(classes).alias("further", "class"))
+    code = F.shiftleft(F.col("class").cast("long"), 32) + F.col("code")
+    return found.select(
+        code.alias("code"), "rid", "doc", (F.col("place") + F.when(F.col("further") == 0, F.lit(HOME)).otherwise(0)).alias("place"), "bits0", "bits1"
+    )
+
+
 def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): candidate pairs of distinct sets that pass the length, position and overlap bounds, the later one open."""
-    # length, mark and place in the prefix share a column, which makes the shuffled rows smaller
-    codes = F.slice("codes", F.lit(1), _reach(F.col("n"), percent))
-    entries = sets.select("rid", "doc", "n", "open", "bits0", "bits1", F.posexplode(codes).alias("at", "code"))
-    place = F.shiftleft(F.col("n").cast("long"), 32) + F.when(F.col("open"), F.lit(OPEN)).otherwise(0) + F.col("at")
-    entries = entries.select("code", "rid", "doc", place.alias("place"), "bits0", "bits1")
-    x, y = entries.alias("x"), entries.alias("y")
+    entered = entries(sets, percent)
+    x, y = entered.alias("x"), entered.alias("y")
     c = F.col
     size = lambda side: F.shiftright(c(f"{side}.place"), 32)
-    at = lambda side: c(f"{side}.place").bitwiseAND(F.lit(OPEN - 1))
+    at = lambda side: c(f"{side}.place").bitwiseAND(F.lit(HOME - 1))
     is_open = lambda side: c(f"{side}.place").bitwiseAND(F.lit(OPEN)) != 0
+    is_home = c("x.place").bitwiseAND(F.lit(HOME)) != 0
     before = lambda a, b: F.coalesce(c(f"{a}.doc") < c(f"{b}.doc"), F.lit(False))
     need = F.ceil((size("x") + size("y")) * percent / (100 + percent))
     index_size = size("y") - F.ceil(size("y") * 2 * percent / (100 + percent)) + 1
@@ -186,8 +213,8 @@ def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
         & ((size("x") > size("y")) | ((size("x") == size("y")) & (c("x.rid") > c("y.rid"))))
         & (100 * size("y") >= percent * size("x"))
         & ((is_open("x") & ~before("x", "y")) | (is_open("y") & ~before("y", "x")))
-        # with the last term, at("y") < index_size; alone it would be a filter of one side, and both would be shuffled
-        & (F.least(size("x") - at("x"), size("y") - at("y"), need + index_size - 1 - at("y")) >= need)
+        # with the last term, at("y") < index_size; alone it or is_home would be a filter of one side, and both would be shuffled
+        & (F.when(is_home, F.least(size("x") - at("x"), size("y") - at("y"), need + index_size - 1 - at("y"))).otherwise(0) >= need)
         & (size("x") + size("y") - _apart(size, lambda s: c(f"{s}.bits0"), lambda s: c(f"{s}.bits1")) >= 2 * need)
     )
     return x.join(y, fits).select(c("x.rid").alias("a"), c("y.rid").alias("b")).distinct()

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmarrow.operators import metrics as mt
+from flowmarrow.operators.forest import Forest, fit_forest, load_forest
 from flowmarrow.operators.scaling import fit_scaler, scale, stratified_split
 from flowmarrow.session import kept_for_fit
 
@@ -24,6 +25,8 @@ SETTINGS = {
     "gradient_boosting": {"maxIter": 100, "stepSize": 0.1, "maxDepth": 6, "seed": 42},
 }
 BALANCED = {"logistic", "random_forest"}
+#: Forests with more levels grow on cells (``forest``); Spark's learner sends a histogram of every node of a level.
+LEVELS = 12
 
 
 def with_class_weight(df: DataFrame, y: str = "y", name: str = "class_weight") -> DataFrame:
@@ -40,37 +43,45 @@ class Classifier:
     kind: str
     columns: list[str]
     scaler: dict[str, tuple[float, float]] | None
-    model: PipelineModel
+    model: PipelineModel | Forest
 
     def score(self, df: DataFrame, threshold: float = 0.5) -> DataFrame:
         """``score`` = probability of the positive class, ``prediction`` = score >= threshold.
 
         Features go through a copy, so the input columns keep their values.
         """
-        made = self.model.transform(_prepared(df, self.columns, self.scaler))
-        p = made.withColumn("score", vector_to_array("_probability")[1])
+        rows = _prepared(df, self.columns, self.scaler)
+        if isinstance(self.model, Forest):
+            p = self.model.score(rows, [f"_x_{c}" for c in self.columns])
+        else:
+            p = self.model.transform(rows).withColumn("score", vector_to_array("_probability")[1])
         return p.withColumn("prediction", (F.col("score") >= threshold).cast("int")).drop(
             "_features", "_probability", "_raw", "_predicted", *[f"_x_{c}" for c in self.columns]
         )
 
     def importances(self) -> DataFrame:
         """Features by importance, highest first."""
-        values = self.model.stages[-1].featureImportances.toArray().tolist()
+        values = self.model.gains if isinstance(self.model, Forest) else self.model.stages[-1].featureImportances.toArray().tolist()
         rows = sorted(zip(self.columns, values), key=lambda r: (-r[1], r[0]))
         ranked = [(i + 1, c, v) for i, (c, v) in enumerate(rows)]
         return SparkSession.active().createDataFrame(ranked, "rank int, feature string, importance double")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """The fitted pipeline, and kind, columns and scaler as JSON text."""
-        self.model.write().overwrite().save(f"{path}/model")
-        head = {"kind": self.kind, "columns": self.columns, "scaler": self.scaler}
+        """The fitted pipeline or forest, and kind, columns and scaler as JSON text."""
+        deep = isinstance(self.model, Forest)
+        if deep:
+            self.model.save(spark, f"{path}/model")
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
+        head = {"kind": self.kind, "columns": self.columns, "scaler": self.scaler, "deep": deep}
         spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
 
 
 def load_classifier(spark: SparkSession, path: str) -> Classifier:
     head = json.loads(spark.read.text(f"{path}/head").first()["value"])
     scaler = {c: tuple(v) for c, v in head["scaler"].items()} if head["scaler"] is not None else None
-    return Classifier(head["kind"], head["columns"], scaler, PipelineModel.load(f"{path}/model"))
+    model = load_forest(spark, f"{path}/model") if head.get("deep") else PipelineModel.load(f"{path}/model")
+    return Classifier(head["kind"], head["columns"], scaler, model)
 
 
 def _prepared(df, columns, scaler):
@@ -103,6 +114,17 @@ def fit_classifier(
     assemble = VectorAssembler(inputCols=[f"_x_{c}" for c in columns], outputCol="_features")
     with kept_for_fit(df.select(*dict.fromkeys([*columns, y]))) as kept:
         scaler = fit_scaler(kept, columns, with_mean) if scaled else None
+        if kind == "random_forest" and set(options) <= {"numTrees", "maxDepth", "seed"} and options["maxDepth"] > LEVELS:
+            known = kept.filter(F.col(y).isNotNull())
+            sizes = {r[y]: r["n"] for r in known.groupBy(y).agg(F.count("*").alias("n")).collect()}
+            if not sizes:
+                raise ValueError("no training rows")
+            if set(sizes) <= {0, 1}:
+                cells = [f"_x_{c}" for c in columns]
+                forest = fit_forest(
+                    _prepared(known, columns, scaler), cells, y, sizes, options["numTrees"], options["maxDepth"], options["seed"]
+                )
+                return Classifier(kind, list(columns), scaler, forest)
         rows = with_class_weight(kept, y) if kind in BALANCED else kept
         model = Pipeline(stages=[assemble, learner]).fit(_prepared(rows, columns, scaler))
     return Classifier(kind, list(columns), scaler, model)

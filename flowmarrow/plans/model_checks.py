@@ -21,20 +21,31 @@ from flowmarrow.session import frozen, scratch_path, spread
 TEXT_COLUMNS = ["chars", "words", "lines", "long_words", "symbols", "digits", "capitals", "accents", "distinct_words", "distinct_lines"]
 
 
+#: Labels that fit a broadcast.
+FEW_LABELS = 2_000_000
+
+
 def document_rows(spark, sf_dir):
     """Features of the labelled documents; ``y`` is 1 for those of low quality, ``kind`` is their language."""
-    text = F.coalesce("text", F.lit(""))
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    lines = F.split(text, "\n")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("y"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("kind"), F.coalesce("text", F.lit("")).alias("text")))
+    if labels.count() > FEW_LABELS:  # the join shuffles, so features are taken before it
+        return frozen(text_features(docs).join(labels, "doc_id"), "document-rows")
+    return frozen(text_features(docs.join(F.broadcast(labels), "doc_id")).select("doc_id", "kind", *TEXT_COLUMNS, "y"), "document-rows")
+
+
+def text_features(docs):
+    """``TEXT_COLUMNS`` instead of the text; a generator of one row keeps the words from being cut once for every feature."""
+    cut = F.struct("text", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("words"), F.split("text", "\n").alias("parts"))
+    rows = docs.select(*[c for c in docs.columns if c != "text"], F.inline(F.array(cut)))
+    text, words, lines = F.col("text"), F.col("words"), F.col("parts")
     share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(text), F.lit(1))
     part = lambda a: F.size(F.array_distinct(a)) / F.greatest(F.size(a), F.lit(1))
     cells = [
         F.log1p(F.length(text)), F.log1p(F.size(words)), F.log1p(F.size(lines)), F.length(F.array_join(words, "")) / F.greatest(F.size(words), F.lit(1)),
         share("[#*$%&|<>]"), share("[0-9]"), share("[A-Z]"), share("[\u00c0-\u024f]"), part(words), part(lines),
     ]
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("kind"), *[c.cast("double").alias(n) for c, n in zip(cells, TEXT_COLUMNS)])
-    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("y"))
-    return frozen(spread(docs).join(labels, "doc_id"), "document-rows")
+    return rows.select(*[c for c in docs.columns if c != "text"], *[c.cast("double").alias(n) for c, n in zip(cells, TEXT_COLUMNS)])
 
 
 def outlier_rows(spark, sf_dir):

@@ -32,3 +32,15 @@ def test_cross_day_fits_with_full_settings(spark, tables, monkeypatch):
     assert fits["logistic"]["maxIter"] == 2000
     assert (fits["random_forest"]["numTrees"], fits["random_forest"]["maxDepth"]) == (300, 30)
     assert (fits["gradient_boosting"]["maxIter"], fits["gradient_boosting"]["maxDepth"]) == (100, 7)
+
+
+def test_cross_validation_has_five_folds_of_whole_forests(spark, tables, monkeypatch):
+    fits, real = [], IsolationForest.fit
+
+    def fit(self, *args, **options):
+        fits.append(self._params())
+        return real(self, *args, **options)
+
+    monkeypatch.setattr(IsolationForest, "fit", fit)
+    assert sorted(r["fold"] for r in mq.cross_validation(spark, tables).collect()) == [0, 1, 2, 3, 4]
+    assert fits == [IsolationForest()._params()] * 5 and fits[0]["n_estimators"] == 100

@@ -44,3 +44,17 @@ def test_cross_validation_has_five_folds_of_whole_forests(spark, tables, monkeyp
     monkeypatch.setattr(IsolationForest, "fit", fit)
     assert sorted(r["fold"] for r in mq.cross_validation(spark, tables).collect()) == [0, 1, 2, 3, 4]
     assert fits == [IsolationForest()._params()] * 5 and fits[0]["n_estimators"] == 100
+
+
+def test_tuning_draws_twenty_of_the_whole_grids_on_five_folds(spark, tables, monkeypatch):
+    seen, real = {}, tn.search
+
+    def search(df, columns, make, grid, row_id, y, n_iter, k, **options):
+        drawn = tn.candidates(grid, n_iter)
+        seen[make.__name__] = (grid, len(drawn), k)
+        return real(df, columns, make, {name: [value] for name, value in drawn[0].items()}, row_id, y, None, 2)
+
+    monkeypatch.setattr(tn, "search", search)
+    assert mq.tune_then_test(spark, tables).count() == 2
+    assert seen == {"IsolationForest": (tn.IFOREST_GRID, 20, 5), "OneClassSvm": (tn.SVM_GRID, 20, 5)}
+    assert len(tn.candidates(tn.IFOREST_GRID)) == 108 and len(tn.candidates(tn.SVM_GRID)) == 100
